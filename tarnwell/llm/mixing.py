@@ -87,7 +87,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.substring(F.md5(F.col(id_col).cast("string")), 1, 16), F.lit("")).alias("key"), F.monotonically_increasing_id().alias("rid"),
+        F.coalesce(F.substring(F.md5(F.col(id_col).cast("string")), 1, 16), F.lit("")).alias("key"),
+        F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("rid"),
     )
     rows = stage(rows)
     sources = stage(targets(rows.groupBy("source").agg(F.sum("size").alias("size")), weights, most))
@@ -125,12 +126,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return Mix(placed, sources, schedule, pieces, block)
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, to the nearest whole text; all columns stay as they are."""
-    kept = stage(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("tag")))
-    made = mix(kept.select(F.col("tag").alias("doc_id"), F.col("row")[options.pop("text_col", "text")].alias("text"), F.col("row")[options.pop("source_col", "source")].alias("source")), **options)
-    times = made.docs.select("rid", "id", "size").join(made.taken(), "rid").select(F.col("id").alias("tag"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    return kept.join(times.where("times > 0"), "tag").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, to the nearest whole text; all columns stay as they are. Rows
+    that repeat an id and its text share what the mix takes of them evenly."""
+    made = mix(docs, id_col, text_col, source_col, **options)
+    often = made.docs.join(made.taken(), "rid").groupBy("id", "hash").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    often = stage(often.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "times"))
+    near = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), F.xxhash64(text_col).alias("_text"))
+    met = rows.join(near, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ The maximum passes gradients to one window a chunk and filter, so training costs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,16 +174,15 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Net:
     return fit([_bytes(t) for t in got["text"]], got["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score: one row per row; a null text is empty and scores like one. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(net)
+def probability(spark: SparkSession, net: Net):
+    """A function of a text column: the probability of label 1. A null text is empty and scores like one."""
+    held = spark.sparkContext.broadcast(net)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "score": score_texts(held.value, [_bytes(t) for t in frame["text"]])})
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(held.value, [_bytes(t) for t in text]))
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return score
 
 
 def held_out(doc_id):
@@ -194,4 +192,5 @@ def held_out(doc_id):
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), held_out)
-    return score(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", probability(spark, net)("text").alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, exact, html, mixing, quality, toxicity
+from . import chat, decontam, exact, html, jaccard, licences, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard_join": jaccard.op1_jaccard_join,
         "op2_mixing": mixing.op2_mixing,
+        "op3_token_packing": packing.op3_token_packing,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_html_extraction": html.op5_html_extraction,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_decontamination": decontam.op8_decontamination,
+        "op9_licence_scan": licences.op9_licence_scan,
         "op10_quality": quality.op10_quality,
     }
 

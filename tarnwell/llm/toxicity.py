@@ -145,18 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
     return fit(list(got["text"][got["p"] == 1]), list(got["text"][got["p"] == 0]), float(prior))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score: one row per row. Null and empty texts score what the bias says. Other columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def probability(spark: SparkSession, model: Model):
+    """A function of a text column: the probability of being toxic. Null and empty texts score what the bias says."""
+    held = spark.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = held.value.scorer()
-        for frame in frames:
-            m = np.clip(np.array([one(t) for t in frame["text"]], float), -30, 30)
-            yield pd.DataFrame({"id": frame["id"], "score": 1 / (1 + np.exp(-m))})
+        for texts in frames:
+            m = np.clip(np.array([one(t) for t in texts], float), -30, 30)
+            yield pd.Series(1 / (1 + np.exp(-m)))
 
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return score
 
 
 def held_out(doc_id):
@@ -166,4 +166,5 @@ def held_out(doc_id):
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")), held_out)
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", probability(spark, model)("text").alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

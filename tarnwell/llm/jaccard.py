@@ -19,12 +19,12 @@ from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import tokens
-from .common import BROADCAST_ROWS, grouped, stage, table, unstage
+from .common import BROADCAST_ROWS, grouped, small, stage, table, unstage
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -33,6 +33,8 @@ COORDINATES, LAMBDA = 64, 0.8
 START, DEEPEST, SMALL, RECALL = 4, 6, 200, 0.99
 #: Share of equal coordinates from which a pair is a candidate: four standard deviations under the threshold.
 CANDIDATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Sketches of a block.
+BLOCK_SKETCHES = 2048
 #: Sets and shingles of a block of whole sets.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -236,29 +238,40 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """Staged bucket, rep, many (sets in the bucket) of the buckets that more than one set is in. Rows are 16 bytes and
+    go through one exchange; nearly all are alone in their bucket and end here."""
+    return stage(members.withColumn("many", F.count("*").over(Window.partitionBy("bucket"))).where("many > 1"))
+
+
+def _with_sketches(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """members (staged) with the column sig."""
+    return sketches.select("rep", "sig").join(small(members), "rep")
+
+
 def _candidate_links(sketches: DataFrame) -> DataFrame:
     shape = "bucket long, rep long"
-    members = stage(sketches.select("rep", "sig").mapInPandas(_first_buckets, shape))
+    members = _shared(sketches.select("rep", "sig").mapInPandas(_first_buckets, shape))
     leaves, met = [], []
     for depth in range(START, DEEPEST + 1):
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("many > 1")
-        sizes = stage(sizes)
+        sizes = stage(members.groupBy("bucket", "many").agg(F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")))
         whole = sizes if depth == DEEPEST else sizes.where(F.col("many") <= SMALL)
         level = F.lit(depth).alias("level")
         leaves.append(whole.select(level, "*"))
-        met.append(members.select(level, "*"))
+        met.append(members.select(level, "bucket", "rep"))
         large = sizes.where(F.col("many") > SMALL)
         if depth == DEEPEST or large.isEmpty():
             break
-        members = stage(members.join(large.select("bucket"), "bucket").join(sketches.select("rep", "sig"), "rep").mapInPandas(_split, shape))
+        on = members.join(large.select("bucket"), "bucket").select("bucket", "rep")
+        members = _shared(_with_sketches(stage(on), sketches).mapInPandas(_split, shape))
     every, all_met = leaves[0], met[0]
     for more, also in zip(leaves[1:], met[1:], strict=True):
         every, all_met = every.unionAll(more), all_met.unionAll(also)
     chosen = every.groupBy("many", "x1", "x2").agg(F.min(F.struct("level", "bucket")).alias("one")).select("one.level", "one.bucket", "many")
     chosen = stage(chosen)
     near = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS // 4 else chosen
-    in_them = all_met.join(near, ["level", "bucket"]).join(sketches.select("rep", "sig"), "rep")
-    blocked = _blocked(in_them, "bucket", F.ceil(F.col("many") / SMALL))
+    in_them = _with_sketches(stage(all_met.join(near, ["level", "bucket"])), sketches)
+    blocked = _blocked(in_them, "bucket", F.ceil(F.col("many") / BLOCK_SKETCHES))
     return stage(grouped(blocked.select("level", "bucket", "p", "q", "block", "rep", "sig"), ["level", "bucket", "p", "q"], _near, "a long, b long").distinct())
 
 

@@ -72,23 +72,20 @@ class Model:
         return score
 
 
-def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, features, counts of distinct words that have the feature."""
-    known: dict[str, np.ndarray] = {}
-    rows, cols, vals = [], [], []
-    for i, t in enumerate(texts):
-        parts = []
-        for word in distinct_words(t):
-            if word not in known:
-                known[word] = np.array(features(word), np.int64)
-            parts.append(known[word])
-        if parts:
-            f, n = np.unique(np.concatenate(parts), return_counts=True)
-            rows.append(np.full(len(f), i)), cols.append(f), vals.append(n)
-    if not rows:
-        none = np.zeros(0, np.int64)
-        return none, none, none.astype(float)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals).astype(float)
+def _counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of each text, and how many of its distinct words have each."""
+    known: dict[str, list[int]] = {}
+    for text in texts:
+        all_: list[int] = []
+        for word in distinct_words(text):
+            f = known.get(word)
+            if f is None:
+                if len(known) >= KEPT_WORDS // 8:
+                    known.clear()
+                f = known[word] = features(word)
+            all_ += f
+        f, n = np.unique(np.array(all_, np.int32), return_counts=True)
+        yield f, n
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -100,16 +97,21 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = 1
     bias = float(np.log(prior / (1 - prior)))
     if not n_p or not n_u:
         return Model(weights, bias)
-    row, col, val = _sparse([*positive, *unlabelled])
-    in_p = np.bincount(col[row < n_p], minlength=1 << BITS)
-    in_u = np.bincount(col[row >= n_p], minlength=1 << BITS)
+    in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for texts, found in ((positive, in_p), (unlabelled, in_u)):
+        for f, _ in _counted(texts):
+            found[f] += 1
     p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
     z = (p - u) / np.sqrt(p * (1 - p) / n_p + u * (1 - u) / n_u)
     used = np.flatnonzero((in_p + in_u >= 5) & (np.abs(z) >= 3.5))
-    where = np.full(1 << BITS, -1)
+    where = np.full(1 << BITS, -1, np.int32)
     where[used] = np.arange(len(used))
-    keep = where[col] >= 0
-    row, col, val = row[keep], where[col[keep]], val[keep]
+    parts = []
+    for i, (f, many) in enumerate(_counted([*positive, *unlabelled])):
+        keep = where[f] >= 0
+        parts.append((np.full(keep.sum(), i, np.int32), where[f[keep]], many[keep].astype(np.float32)))
+    row, col, val = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     n, sign = n_p + n_u, np.where(np.arange(n_p + n_u) < n_p, 1.0, 0.0)
     w, g2 = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
     w[-1] = bias

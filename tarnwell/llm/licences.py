@@ -144,7 +144,7 @@ def fit(plain: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
     """From the templates and plain paragraphs; of the latter, those that hold a whole template teach nothing."""
     classes = [*FAMILIES, NONE]
     rng = np.random.default_rng(seed)
-    whole = [t for c in FAMILIES for x in FAMILIES[c][0] for t in [_pairs(x)] if len(t) > 1]
+    whole = [t for c in FAMILIES for x in FAMILIES[c][0] for t in [_pairs(x)] if len(next(iter(t))) > 1]
     texts, y = [], []
     for c, (names, notices) in enumerate(FAMILIES.values()):
         for text in [lead.format(n) for n in names for lead in LEADS] + [n + "." for n in names] + notices * 4:

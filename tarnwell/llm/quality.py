@@ -99,7 +99,11 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
     while start < len(texts):
         if len(texts[start]) > PART:
             whole = texts[start]
-            tops = [pooled(net, laid_out([whole[at : at + PART + WIDTH]])[0])[: PART // CHUNK if at + PART < len(whole) else None] for at in range(0, len(whole), PART)]
+            tops = []
+            for at in range(0, len(whole), PART):  # each with the chunk before it, which the repeat channel looks back to
+                ahead = min(at, CHUNK)
+                part = pooled(net, laid_out([whole[at - ahead : at + PART + WIDTH]])[0])[ahead // CHUNK :]
+                tops.append(part[: PART // CHUNK] if at + PART < len(whole) else part)
             tops = np.concatenate(tops)
             out[start] = combined(net, tops, np.array([0, len(tops)]))[0][0]
             start += 1

@@ -99,7 +99,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarra
     total = len(hashes)
     acc = np.zeros(total, np.uint64)
     left = np.repeat(offsets[1:], counts) - np.arange(total)  # words from here to the end of the text
-    for k in range(n):
+    for k in range(min(n, total)):
         part = np.zeros(total, np.uint64)
         part[: total - k] = hashes[k:] * _STEP[k]
         acc += np.where(left > k, part, np.uint64(0))

@@ -5,21 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gold_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_trunc("day", "o_orderdate").cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").groupBy(day.alias("time")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
+def query(name: str, sql: str | None = None):
+    """Registers a function of (t, spark), t being a reader of tables by name."""
+
+    def add(fn):
+        _QUERIES[name] = lambda spark, sf_dir: fn(lambda n: table(spark, sf_dir, n), spark)
+        if sql:
+            _SQL[name] = sql
+        return fn
+
+    return add
+
+
+def _load() -> None:
+    from . import queries_analysis, queries_charts, queries_clean, queries_language  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"gold_trend": gold_trend}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"gold_trend": "SELECT date_trunc('day', o_orderdate) AS time, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1"}
+    _load()
+    return dict(_SQL)

@@ -1,0 +1,28 @@
+"""Filters in the condition language, one an operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from . import dsl
+from .catalogue import query
+
+_CASES = {
+    "between": ("orders", "o_orderkey", "o_totalprice between 1000 and 50000 and not (o_orderkey between 10 and 20)", "o_totalprice BETWEEN 1000 AND 50000 AND NOT o_orderkey BETWEEN 10 AND 20"),
+    "in": ("customer", "c_custkey", "c_mktsegment in ['BUILDING', 'MACHINERY'] or c_nationkey notin [1, 2, 3, 4, 5, 6, 7, 8, 9]", "c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_nationkey NOT IN (1, 2, 3, 4, 5, 6, 7, 8, 9)"),
+    "like": ("part", "p_partkey", "p_name like '%e_ %' and p_name not ilike 'A%'", "p_name LIKE '%e_ %' AND p_name NOT ILIKE 'A%'"),
+    "regex": ("customer", "c_custkey", r"c_name =~ '#0+1' and c_mktsegment ~* '^b|y$' and c_name !~ '7$'", "regexp_matches(c_name, '#0+1') AND regexp_matches(c_mktsegment, '(?i)^b|y$') AND NOT regexp_matches(c_name, '7$')"),
+    "null": ("customer", "c_custkey", "odd is null or odd == 7 and not (odd != 7)", "odd IS NULL OR odd = 7"),
+    "compare": ("customer", "c_custkey", "odd > 8 or not (c_acctbal >= 0)", "coalesce(odd > 8, false) OR NOT c_acctbal >= 0"),
+    "functions": ("customer", "c_custkey", "istartswith(c_mktsegment, 'au') or (len(c_name) == 18 and icontains(c_name, '99')) or similarity(c_mktsegment, 'bilding') >= 0.8", "lower(c_mktsegment) LIKE 'au%' OR (length(c_name) = 18 AND c_name LIKE '%99%') OR 1 - levenshtein(lower(c_mktsegment), 'bilding')::DOUBLE / greatest(length(c_mktsegment), 7) >= 0.8"),
+}
+
+for _name, (_table, _key, _cond, _where) in _CASES.items():
+    _from = "(SELECT *, CASE WHEN c_nationkey % 2 = 0 THEN NULL ELSE c_nationkey END AS odd FROM customer)" if "odd" in _where else _table
+
+    @query(f"filter_dsl_{_name}", f"SELECT {_key} FROM {_from} WHERE {_where}")
+    def _(t, spark, name=_table, key=_key, cond=_cond):
+        made = t(name)
+        if name == "customer":
+            made = made.withColumn("odd", F.when(F.col("c_nationkey") % 2 != 0, F.col("c_nationkey")))
+        return made.where(dsl.compile_column(cond)).select(key)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
-from ..operators import gold, stats
+from ..operators import gold, roles, stats
+from ..operators import profile as pr
 from .catalogue import query
 
 r6 = lambda c: F.round(c, 6)
@@ -225,3 +226,58 @@ def _(t, spark):
 def _(t, spark):
     plan = [fe.FeatureSpec("a", "transform", ("value",), {"op": "log1p"}), fe.FeatureSpec("b", "time_derive", ("ts",), {"part": "hour"}), fe.FeatureSpec("c", "window", ("value",), {"op": "lag", "by": _BY}), fe.FeatureSpec("d", "time_delta", ("ts",), {"by": _BY})]
     return rounded(fe.execute(t("events"), plan, _ORDER).select("event_id", "a", "b", "c", "d"), "a", "d")
+
+
+def _profile_sql(table: str, columns: list[tuple[str, str]]) -> str:
+    parts = []
+    for c, kind in columns:
+        num = kind in ("int", "float")
+        stats_ = f"round(avg({c}), 6), round(stddev_samp({c}), 6), round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6), min({c})::DOUBLE, max({c})::DOUBLE" if num else "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+        length = f"round(avg(length({c})), 6)" if kind == "string" else "NULL::DOUBLE"
+        parts.append(f"SELECT '{c}', '{kind}', round(1 - count({c})::DOUBLE / count(*), 6), count(DISTINCT {c}), round(count(DISTINCT {c})::DOUBLE / count(*), 6), {length}, {stats_} FROM {table}")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS p(column_name, type, missing_pct, nunique, unique_ratio, avg_len, mean, std, iqr, min, max)"
+
+
+_LINE = [("l_orderkey", "int"), ("l_quantity", "float"), ("l_extendedprice", "float"), ("l_returnflag", "string"), ("l_shipdate", "datetime")]
+_DOCS = [("doc_id", "int"), ("lang", "string"), ("source", "string"), ("n_chars", "int")]
+
+
+@query("profile_facts_lineitem", _profile_sql("lineitem", _LINE))
+def _(t, spark):
+    return rounded(pr.profile(t("lineitem").select(*[c for c, _ in _LINE])), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+
+
+@query("profile_facts_documents", _profile_sql("documents", _DOCS))
+def _(t, spark):
+    return rounded(pr.profile(t("documents").select(*[c for c, _ in _DOCS])), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+
+
+@query("profile_ratios", """SELECT round(avg((lower(trim(CASE event_type WHEN 'view' THEN ' Yes' WHEN 'error' THEN 'F' ELSE event_type END)) IN ('yes', 'f'))::INT), 6) AS bools, round(avg((event_id % 3 > 0)::INT), 6) AS numbers, round(avg((event_id % 4 > 0)::INT), 6) AS dates FROM events""")
+def _(t, spark):
+    e = t("events")
+    made = F.when(F.col("event_type") == "view", " Yes").when(F.col("event_type") == "error", "F").otherwise(F.col("event_type"))
+    numbers = F.when(F.col("event_id") % 3 > 0, F.lit("1,234.5")).otherwise("1d")
+    dates = F.when(F.col("event_id") % 4 > 0, F.date_format("ts", "M/d/yyyy")).otherwise("today")
+    return e.agg(r6(pr.bool_token_ratio(made)).alias("bools"), r6(pr.numeric_like_ratio(numbers)).alias("numbers"), r6(pr.datetime_parse_ratio(dates)).alias("dates"))
+
+
+@query("profile_is_monotonic", "WITH d AS (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) SELECT user_id, coalesce(min(d) >= 0, true) AS is_monotonic FROM d GROUP BY 1")
+def _(t, spark):
+    return pr.is_monotonic(t("events"), "event_id", ["ts", "event_id"], ["user_id"])
+
+
+@query("role_inference_events", "SELECT * FROM (VALUES ('event_id', 'int', 'id', 0.955::DOUBLE), ('ts', 'datetime', 'time', 0.955), ('user_id', 'int', 'id', 0.8), ('event_type', 'string', 'categorical', 0.755), ('value', 'float', 'numeric', 0.755), ('props', 'string', 'categorical', 0.755)) AS r(column_name, type, role, confidence)")
+def _(t, spark):
+    return roles.role_table(t("events"))
+
+
+@query("canonical_categories", "SELECT DISTINCT c_mktsegment AS value, lower(c_mktsegment) AS canonical FROM customer")
+def _(t, spark):
+    return roles.canonical_categories(t("customer"), "c_mktsegment")
+
+
+@query("unit_hints", "SELECT * FROM (VALUES ('price', 'currency'), ('share', 'percent'), ('amount', 'magnitude_k')) AS u(column_name, hint)")
+def _(t, spark):
+    price = F.format_string("%.2f", "o_totalprice")
+    made = t("orders").select(F.concat(F.lit("$"), price).alias("price"), F.concat(price, F.lit(" pct")).alias("share"), F.concat(price, F.lit(" thousand")).alias("amount"))
+    return spark.createDataFrame([(c, roles.unit_hint(made, c)) for c in made.columns], "column_name string, hint string")

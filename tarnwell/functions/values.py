@@ -52,36 +52,30 @@ def squeeze(c: Column) -> Column:
 def coerce_numeric(c: Column) -> Column:
     """Amounts: (3.5) is negative; currency signs, thousands separators and underscores go; percents are hundredths;
     k, thousand, m, mm and million scale. What is left and no number is null."""
-    s = F.lower(F.regexp_replace(F.translate(F.trim(_text(c)), "\u2212\u2013", "--"), r"(?U)\s+", " "))
-    inner = F.regexp_extract(s, r"^\((.*)\)$", 1)
-    bracketed = inner != ""
-    s = F.trim(F.when(bracketed, inner).otherwise(s))
-    minus = s.startswith("-")
-    s = F.trim(F.regexp_replace(s, r"^[+-]\s*", ""))
-    s = F.trim(F.regexp_replace(s, f"^[{CURRENCY}]\\s*", ""))
-    minus = minus | s.startswith("-")
-    s = F.regexp_replace(s, r"^[+-]\s*", "")
-    percent = s.rlike(r"(%|percent|pct)$")
-    s = F.trim(F.regexp_replace(s, r"(%|percent|pct)$", ""))
-    thousand, million = s.rlike(r"[\d.\s](k|thousand)$"), s.rlike(r"[\d.\s](mm?|million)$")
-    s = F.regexp_replace(F.regexp_replace(s, r"\s*(k|thousand|mm?|million)$", ""), r"[,_ ]", "")
-    scale = F.when(percent, 0.01).otherwise(1.0) * F.when(thousand, 1e3).when(million, 1e6).otherwise(1.0)
-    return number(s) * scale * F.when(bracketed, -1.0).otherwise(1.0) * F.when(minus, -1.0).otherwise(1.0)
+    tidy = F.lower(F.regexp_replace(F.translate(F.trim(_text(c)), "\u2212\u2013", "--"), r"(?U)\s+", " "))
+    # "(3.5)" is written "-3.5", and a sign, a currency sign and a sign again are taken off with the sign kept in front
+    signed = F.regexp_replace(F.regexp_replace(tidy, r"^\((.*)\)$", "-$1"), rf"^([+-]?)\s*[{CURRENCY}]?\s*([+-]?)\s*[{CURRENCY}]?\s*", "$1$2")
+
+    def scaled(s: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^[+-]*", ""), r"\s*(%|percent|pct|(?<=[\d.\s])(k|thousand|mm?|million))$", ""), "[,_ ]", "")
+        scale = F.when(s.rlike("(%|percent|pct)$"), 0.01).when(s.rlike(r"[\d.\s](k|thousand)$"), 1e3).when(s.rlike(r"[\d.\s](mm?|million)$"), 1e6).otherwise(1.0)
+        sign = F.when(F.regexp_extract(s, "^([+-]*)", 1).isin("-", "+-", "-+"), -1.0).otherwise(1.0)
+        return number(body) * scale * sign
+
+    return let(signed, scaled)
 
 
 def coerce_robust(c: Column) -> Column:
     """Numbers in messy text: brackets are negative, a percent sign anywhere is hundredths, and where the whole is no
     number the first numeric token is."""
-    s = F.regexp_replace(F.translate(F.trim(_text(c)), "\u2212\u2013\u00a0", "-- "), r"\s+", " ")
-    inner = F.regexp_extract(s, r"^\(\s*(.*?)\s*\)$", 1)
-    bracketed = inner != ""
-    s = F.when(bracketed, inner).otherwise(s)
-    percent = s.contains("%")
-    s = F.regexp_replace(s, f"[{CURRENCY},_%]", "")
-    whole = number(s)
-    token = F.regexp_extract(s, r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)
-    value = F.coalesce(whole, number(token))
-    return value * F.when(percent, 0.01).otherwise(1.0) * F.when(bracketed, -1.0).otherwise(1.0)
+    tidy = F.regexp_replace(F.translate(F.trim(_text(c)), "\u2212\u2013\u00a0", "-- "), r"\s+", " ")
+
+    def read(s: Column) -> Column:
+        plain = F.trim(F.regexp_replace(F.regexp_replace(s, r"^\((.*)\)$", "$1"), f"[{CURRENCY},_%]", ""))
+        value = let(plain, lambda p: F.coalesce(number(p), number(F.regexp_extract(p, r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0))))
+        return value * F.when(s.contains("%"), 0.01).otherwise(1.0) * F.when(s.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0)
+
+    return let(tidy, read)
 
 
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
@@ -96,9 +90,11 @@ def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
 def enforce_sign(c: Column, sign: str) -> Column:
     """positive and negative: others are null; nonnegative: negatives are 0. An amount in brackets, as accounts write
     it, counts by its size for the first and third, and as null for negative."""
-    s = F.trim(_text(c))
-    bracketed = s.rlike(r"^\(.*\)$")
-    x = coerce_robust(c)
+    bracketed = F.trim(_text(c)).rlike(r"^\(.*\)$")
+    return let(coerce_robust(c), lambda x: _signed(x, bracketed, sign))
+
+
+def _signed(x: Column, bracketed: Column, sign: str) -> Column:
     size = F.when(bracketed, F.abs(x)).otherwise(x)
     if sign == "positive":
         return F.when(size > 0, size)
@@ -128,26 +124,27 @@ def text_normalize(c: Column, strip: bool = True, lower: bool = False) -> Column
     s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"[\x00-\x1f\x7f]", "")
     s = F.trim(s) if strip else s
     s = F.lower(s) if lower else s
-    return F.when(s != "", s)
+    return F.nullif(s, F.lit(""))
 
 
 def null_tokens(c: Column, tokens: tuple = (), ignore_case: bool = True) -> Column:
     """Null where the value means missing; other values keep their case, trimmed."""
-    s = text_normalize(c)
     known = sorted({*NULL_TOKENS, *(t.lower() if ignore_case else t for t in tokens)})
-    return F.when(~(F.lower(s) if ignore_case else s).isin(known), s)
+    return let(text_normalize(c), lambda s: F.when(~(F.lower(s) if ignore_case else s).isin(known), s))
 
 
 def coerce_bool(c: Column, true: tuple = TRUE_TOKENS, false: tuple = FALSE_TOKENS, truthy: bool = False) -> Column:
     """Spellings of booleans, edges that are no words ignored; 0 and 1, or with truthy any number, too. A spelling that
     stands for both is null."""
-    s = F.lower(F.trim(_text(c)))
-    x = number(s)
-    numeric = x.isNotNull()
-    word = F.when(numeric, s).otherwise(F.regexp_replace(s, r"(?U)^\W+|\W+$", ""))
-    yes, no = word.isin(*true), word.isin(*false)
-    by_number = F.when(x != 0, F.lit(True)).otherwise(F.lit(False)) if truthy else F.when(x == 1, F.lit(True)).when(x == 0, F.lit(False))
-    return F.when(yes & no, F.lit(None).cast("boolean")).when(yes, F.lit(True)).when(no, F.lit(False)).when(numeric, by_number)
+
+    def read(s: Column) -> Column:
+        x = number(s)
+        word = F.when(x.isNotNull(), s).otherwise(F.regexp_replace(s, r"(?U)^\W+|\W+$", ""))
+        by_number = F.when(x != 0, F.lit(True)).when(x == 0, F.lit(False)) if truthy else F.when(x == 1, F.lit(True)).when(x == 0, F.lit(False))
+        both = lambda w: F.when(w.isin(*true) & w.isin(*false), F.lit(None).cast("boolean")).when(w.isin(*true), F.lit(True)).when(w.isin(*false), F.lit(False)).otherwise(by_number)
+        return let(word, both)
+
+    return let(F.lower(F.trim(_text(c))), read)
 
 
 def java_replacement(text: str) -> str:

@@ -50,24 +50,33 @@ def _facts_of(df: DataFrame, c: str, formats: tuple) -> dict[str, Column]:
     return out
 
 
-def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS) -> dict[str, dict]:
-    """Facts by column, on the driver: they are numbers, a few dozen a column."""
+def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS, distinct: bool = True) -> dict[str, dict]:
+    """Facts by column, on the driver: they are numbers, a few dozen a column. Without distinct, those of distinct
+    values are left out, and so is their shuffle."""
     cols = columns if columns is not None else df.columns
     if not cols:
         return {}
     wanted = [(c, n, a) for c in cols for n, a in _facts_of(df, c, formats).items()]
     row = df.agg(F.count("*").alias("rows"), *[a.alias(f"f{i}") for i, (_, _, a) in enumerate(wanted)]).first()
+    if not distinct:
+        return {c: _made(c, df, row, {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c}) for c in cols}
     values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)])).alias("s")).select("s.*")
-    distinct = {cols[r.c]: r.n for r in values.where("v IS NOT NULL").groupBy("c").agg(F.countDistinct("v").alias("n")).collect()}
+    counted = {cols[r.c]: r.n for r in values.where("v IS NOT NULL").groupBy("c").agg(F.countDistinct("v").alias("n")).collect()}
     out = {}
     for c in cols:
-        own = {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c}
-        n, unique = row["rows"], distinct.get(c, 0)
-        share = own["non_null"] / n if n else 0.0
-        out[c] = {"type": tag(df.schema[c].dataType), "rows": n, "missing_pct": 1 - share if n else 0.0, "non_null_ratio": share, "nunique": unique, "cardinality": unique, "unique_ratio": unique / n if n else 0.0, **{k: None for k in ("avg_len", "mean", "std", "iqr", "min", "max", "numeric_like_ratio", "datetime_parse_ratio")}, "bool_token_ratio": 0.0, **own}
+        own = _made(c, df, row, {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c})
+        unique = counted.get(c, 0)
+        out[c] = own | {"nunique": unique, "cardinality": unique, "unique_ratio": unique / row["rows"] if row["rows"] else 0.0}
     return out
 
 
+def _made(c: str, df: DataFrame, row, own: dict) -> dict:
+    n = row["rows"]
+    share = own["non_null"] / n if n else 0.0
+    none = dict.fromkeys(("avg_len", "mean", "std", "iqr", "min", "max", "numeric_like_ratio", "datetime_parse_ratio"))
+    return {"type": tag(df.schema[c].dataType), "rows": n, "missing_pct": 1 - share if n else 0.0, "non_null_ratio": share, "bool_token_ratio": 0.0, **none, **own}
+
+
 FACT_COLUMNS = ("missing_pct", "nunique", "unique_ratio", "avg_len", "mean", "std", "iqr", "min", "max")
 
 

@@ -314,6 +314,14 @@ def _calls(node: Node) -> set[str]:
     return own.union(*(_calls(a) for a in node.args if isinstance(a, Node)))
 
 
+def holds(node: Node, facts: Any) -> bool:
+    """Whether a part of a condition is true; what goes wrong is false."""
+    try:
+        return bool(_value(node, facts))
+    except Exception:
+        return False
+
+
 def compile_facts(text: str, allowed: set[str] | None = None) -> Callable[[Any], bool]:
     """A predicate on facts. What goes wrong while it runs is false; names outside of allowed are no condition."""
     node = parse(text)
@@ -322,13 +330,7 @@ def compile_facts(text: str, allowed: set[str] | None = None) -> Callable[[Any],
     if allowed is not None and (unknown := identifiers(node) - allowed):
         raise ConditionError(f"unknown names: {sorted(unknown)}")
 
-    def run(facts: Any) -> bool:
-        try:
-            return bool(_value(node, facts))
-        except Exception:
-            return False
-
-    return run
+    return lambda facts: holds(node, facts)
 
 
 # rows: Columns

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import features as fe
-from ..operators import gold, roles, stats
+from ..operators import gold, roles, stats, topics
 from ..operators import profile as pr
+from ..streaming import windows
+from . import rules
 from .catalogue import query
 
 r6 = lambda c: F.round(c, 6)
@@ -281,3 +283,42 @@ def _(t, spark):
     price = F.format_string("%.2f", "o_totalprice")
     made = t("orders").select(F.concat(F.lit("$"), price).alias("price"), F.concat(price, F.lit(" pct")).alias("share"), F.concat(price, F.lit(" thousand")).alias("amount"))
     return spark.createDataFrame([(c, roles.unit_hint(made, c)) for c in made.columns], "column_name string, hint string")
+
+
+@query("topics_scored", """WITH t AS (SELECT * FROM (VALUES ('correlation', 0.5::DOUBLE, 100, 1.0::DOUBLE, 0.01::DOUBLE, 0), ('correlation', 0.4, 20, 0.9, NULL, 0), ('trend', 0.03, 50, 1.0, NULL, 200), ('kpi', 0.0, 80, 0.95, NULL, 0), ('distribution', 1.0, 500, 0.8, NULL, 0), ('deviation', 4.0, 500, 0.8, NULL, 0), ('cohort', 0.3, 40, 1.0, NULL, 0), ('causal', 0.5, 60, 0.6, 0.2, 0)) AS v(family, e, n, cov, p, pts)),
+s AS (SELECT *, CASE family WHEN 'correlation' THEN e WHEN 'cohort' THEN e WHEN 'trend' THEN least(1, e / 0.06) WHEN 'distribution' THEN e / (1 + e) WHEN 'deviation' THEN e / (3 + e) WHEN 'causal' THEN e / (0.5 + e) WHEN 'kpi' THEN 0.2 END AS norm,
+CASE WHEN family = 'correlation' AND n < 30 THEN 0.3 WHEN family = 'trend' AND pts > 180 THEN 0.1 WHEN family = 'cohort' THEN 0.1 ELSE 0 END AS pen, coalesce(1 - p, least(1, n / 100)) AS sig FROM t)
+SELECT family, n AS n_obs, round(norm, 6) AS effect_norm, round(3 * cov + 2.5 * norm + 2 * sig + 1.5 * (1 - pen) - pen, 6) AS score_total FROM s""")
+def _(t, spark):
+    rows = [("correlation", 0.5, 100, 1.0, 0.01, 0), ("correlation", 0.4, 20, 0.9, None, 0), ("trend", 0.03, 50, 1.0, None, 200), ("kpi", 0.0, 80, 0.95, None, 0), ("distribution", 1.0, 500, 0.8, None, 0), ("deviation", 4.0, 500, 0.8, None, 0), ("cohort", 0.3, 40, 1.0, None, 0), ("causal", 0.5, 60, 0.6, 0.2, 0)]
+    made = topics.as_frame(spark, [topics.Topic(f, [f, str(n)], [], e, {"n_points": pts}, {} if p is None else {"p_value": p}, n, c) for f, e, n, c, p, pts in rows])
+    return rounded(topics.score(made).select("family", F.col("n_obs").cast("int").alias("n_obs"), "effect_norm", "score_total"), "effect_norm", "score_total")
+
+
+@query("topics_candidates")
+def _(t, spark):
+    return topics.candidates(t("orders"))
+
+
+@query("topics_selected")
+def _(t, spark):
+    return topics.select(topics.score(topics.candidates(t("orders"))))
+
+
+@query("cleaned_orders")
+def _(t, spark):
+    made = t("orders").select("o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price_usd"), F.date_format("o_orderdate", "M/d/yyyy").alias("order_date"), F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"))).alias("priority"))
+    schema = roles.Schema("orders", [roles.ColumnSchema(c, "string", r, 1.0) for c, r in (("o_orderkey", "id"), ("price_usd", "numeric"), ("order_date", "time"), ("priority", "categorical"))])
+    return rules.clean(made, schema=schema).df
+
+
+@query("stream_windowed", "SELECT time_bucket(INTERVAL '6 hours', ts)::TIMESTAMP AS start, (time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOUR)::TIMESTAMP AS end, event_type, round(avg(value), 6) AS mean, round(sum(value), 3) AS total, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def _(t, spark):
+    made = windows.windowed(t("events"), "ts", "value", "6 hours", "1 hour", "event_type")
+    return rounded(made, "mean").withColumn("total", F.round("total", 3))
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e) SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 12 HOUR)::TIMESTAMP AS end, count(*) AS n FROM s GROUP BY user_id, s""")
+def _(t, spark):
+    return windows.sessions(t("events"), "ts", "user_id", "12 hours")

@@ -1,8 +1,8 @@
 """Cleaning by rules: when (a condition on a column's facts) then (an action on the column), by priority.
 
 Columns don't read each other, so all go through the rules in step: a rule's actions change its columns, and only
-what a later condition reads of a changed column is computed again, for all changed columns in one aggregate. A pass
-takes as many jobs as rules changed something, not as many as rules times columns. Long chains of changes are cut by
+what a later condition reads of a changed column is computed again, for all such columns in one aggregate, and only
+where what the condition says of name, role and type holds. A pass takes a few jobs, not rules times columns. Long chains of changes are cut by
 writing the frame to the shared folder.
 """
 
@@ -20,6 +20,9 @@ from . import actions, dsl
 
 #: What rules call the roles.
 ROLE_NAMES = {"bool": "boolean", "date": "time", "datetime": "time", "int": "numeric", "float": "numeric", "number": "numeric"}
+#: Facts that take a job to know, and those of them that take a shuffle.
+DISTINCT = {"nunique", "unique_ratio", "cardinality"}
+MEASURED = {*profile.FACT_COLUMNS, *DISTINCT, "non_null_ratio", "bool_token_ratio", "numeric_like_ratio", "datetime_parse_ratio"}
 #: Changes after which the plan is cut.
 LONGEST_CHAIN = 12
 
@@ -130,22 +133,33 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
     ready = []
     for rule in sorted(rules, key=lambda r: (-r.priority, r.id)):
         try:
-            ready.append((rule, dsl.compile_facts(rule.when), dsl.identifiers(dsl.parse(rule.when)), actions.parse_then(rule.then)))
+            node = dsl.parse(rule.when)
+            parts = node.args if node.kind == "and" else (node,)
+            first = [p for p in parts if not dsl.identifiers(p) & MEASURED]
+            ready.append((rule, dsl.compile_facts(rule.when), first, dsl.identifiers(node) & MEASURED, actions.parse_then(rule.then)))
         except ValueError:
             continue
     known = dict(found or profile.facts(df))
-    before, stale, hits, dropped, chain = dict(known), set(), [], [], 0
-    by_facts = set(profile.FACT_COLUMNS) | {"type", "cardinality", "non_null_ratio", "bool_token_ratio", "numeric_like_ratio", "datetime_parse_ratio"}
+    before, hits, dropped, chain = dict(known), [], [], 0
+    stale: dict[str, set] = {"distinct": set(), "other": set()}
     has_time = bool(order_by) and sum(ROLE_NAMES.get(r, r) == "time" for r in role_of.values()) == 1
-    for rule, holds, reads, call in ready:
-        if stale and reads & by_facts:
+
+    def context(col: str) -> dict:
+        role = role_of.get(col, "text")
+        return env | known[col] | {"name": col, "role": ROLE_NAMES.get(role, role), "has_time_index": has_time}
+
+    for rule, holds, first, reads, call in ready:
+        may = [c for c in df.columns if c in known and all(dsl.holds(p, context(c)) for p in first)]
+        distinct = bool(reads & DISTINCT)
+        if again := sorted(c for c in may if (reads - DISTINCT and c in stale["other"]) or (distinct and c in stale["distinct"])):
             if chain >= LONGEST_CHAIN:
                 df, chain = stage(df), 0
-            known |= profile.facts(df, sorted(stale))
-            stale = set()
-        for col in [c for c in df.columns if c in known]:
-            role = role_of.get(col, "text")
-            if not holds(env | known[col] | {"name": col, "role": ROLE_NAMES.get(role, role), "has_time_index": has_time}):
+            for c, f in profile.facts(df, again, distinct=distinct).items():
+                known[c] = known[c] | f
+            stale["other"] -= set(again)
+            stale["distinct"] -= set(again) if distinct else set()
+        for col in may:
+            if not holds(context(col)):
                 continue
             try:
                 made, note = actions.ACTIONS[call.name].run(df, col, call.bound(env), order_by or [])
@@ -156,9 +170,10 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
             if call.name == "drop_column":
                 dropped.append(col)
                 known.pop(col)
-                stale.discard(col)
             elif made is not df:
-                stale.add(col)
+                stale["other"].add(col)
+                stale["distinct"].add(col)
+                known[col] = known[col] | {"type": profile.tag(made.schema[col].dataType)}
                 chain += 1
             df = made
     return Cleaned(df, hits, dropped, before)

@@ -114,7 +114,7 @@ def percent_to_fraction(x: Column) -> Column:
 
 
 def fraction_to_percent(x: Column) -> Column:
-    return F.when(F.abs(x) <= 1, x * 100).otherwise(x)
+    return F.when(x <= 1, x * 100).otherwise(x)
 
 
 def text_normalize(c: Column, strip: bool = True, lower: bool = False) -> Column:

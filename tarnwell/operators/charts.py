@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .frames import with_facts
 
-_ALL = Window.partitionBy(F.lit(0))
+def _all():
+    """A window over a component's few rows."""
+    return Window.partitionBy(F.lit(0))
 
 
 def _check(df: DataFrame, *cols: str) -> None:
@@ -95,7 +97,7 @@ def bump(df: DataFrame, time: Column, entity: str, metric: str, most: int = 10)
 def top_and_other(df: DataFrame, cat: str, metric: str, most: int = 6) -> DataFrame:
     """pie, donut: the largest and, if there are more than most, the rest as Other."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    ranked = sums.withColumn("i", F.row_number().over(Window.orderBy(F.desc("value"), "cat"))).withColumn("n", F.count("*").over(_ALL))
+    ranked = sums.withColumn("i", F.row_number().over(Window.orderBy(F.desc("value"), "cat"))).withColumn("n", F.count("*").over(_all()))
     name = F.when((F.col("n") > most) & (F.col("i") >= most), F.lit("Other")).otherwise(F.col("cat"))
     return ranked.groupBy(name.alias("cat")).agg(F.sum("value").alias("value"))
 
@@ -103,7 +105,7 @@ def top_and_other(df: DataFrame, cat: str, metric: str, most: int = 6) -> DataFr
 def diverging(df: DataFrame, cat: str, metric: str) -> DataFrame:
     """Means less their mean."""
     means = df.groupBy(F.col(cat).alias("cat")).agg(F.avg(metric).alias("value"))
-    return means.withColumn("deviation", F.col("value") - F.avg("value").over(_ALL))
+    return means.withColumn("deviation", F.col("value") - F.avg("value").over(_all()))
 
 
 def spine(df: DataFrame, cat: str, positive: Column) -> DataFrame:
@@ -136,14 +138,14 @@ def first_last_pivot(df: DataFrame, time: Column, entity: str, metric: str) -> D
 def pyramid(df: DataFrame, cat: Column, side: Column) -> DataFrame:
     """population pyramid: shares of all rows, one side negative."""
     n = df.groupBy(cat.alias("cat")).agg(F.count(F.when(side, 1)).alias("r"), F.count(F.when(~side, 1)).alias("l"))
-    total = F.sum(F.col("r") + F.col("l")).over(_ALL)
+    total = F.sum(F.col("r") + F.col("l")).over(_all())
     return n.select("cat", (100 * F.col("r") / total).alias("right"), (-100 * F.col("l") / total).alias("left"))
 
 
 def scaled(df: DataFrame, cat: str, metric: str) -> DataFrame:
     """proportional symbols: areas that go with the value."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    return sums.withColumn("size", F.sqrt(F.col("value") / F.max("value").over(_ALL)))
+    return sums.withColumn("size", F.sqrt(F.col("value") / F.max("value").over(_all())))
 
 
 def top(df: DataFrame, cat: str, metric: str, most: int = 10) -> DataFrame:
@@ -154,7 +156,7 @@ def top(df: DataFrame, cat: str, metric: str, most: int = 10) -> DataFrame:
 def icon_grid(df: DataFrame, cat: str, metric: str, cells: int = 100) -> DataFrame:
     """gridplot, isotype: cells of a grid by share."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    return sums.withColumn("cells", F.round(F.col("value") / F.sum("value").over(_ALL) * cells).cast("long"))
+    return sums.withColumn("cells", F.round(F.col("value") / F.sum("value").over(_all()) * cells).cast("long"))
 
 
 def venn(df: DataFrame, key: str, *sets: Column) -> DataFrame:

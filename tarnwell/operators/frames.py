@@ -80,14 +80,14 @@ def outliers(df: DataFrame, col: str, method: str = "zscore", z: float = 3.0, k:
     return made.drop("_n", "_q1", "_q3", "_med", "_mad", "_mean", "_sd", "_lo", "_hi")
 
 
-def standardize_percent(df: DataFrame, col: str, target: str | None = None, out: str | None = None) -> DataFrame:
-    """Percents to the form that most have: fractions, if four in five are at most 1, or else percents; or to target."""
+def standardize_percent(df: DataFrame, col: str, target: str = "fraction", out: str | None = None) -> DataFrame:
+    """Percents in the form of target. A column is in fractions if four in five values are at most 1, or else in
+    percents; if that isn't the target, values over 1 are divided by 100, or those up to 1 multiplied."""
     x = F.col(col).cast("double")
-    if target:
-        return df.withColumn(out or col, percent_to_fraction(x) if target == "fraction" else fraction_to_percent(x))
-    share = F.avg((x <= 1).cast("double"))
-    made = with_facts(df, share.alias("_share"))
-    return made.withColumn(out or col, F.when(F.col("_share") >= 0.8, percent_to_fraction(x)).otherwise(fraction_to_percent(x))).drop("_share")
+    made = with_facts(df, F.avg((x <= 1).cast("double")).alias("_share"))
+    fractions = F.col("_share") >= 0.8
+    changed = F.when(fractions, x).otherwise(percent_to_fraction(x)) if target != "percent" else F.when(fractions, fraction_to_percent(x)).otherwise(x)
+    return made.withColumn(out or col, changed).drop("_share")
 
 
 def parse_epochs(df: DataFrame, col: str, unit: str | None = None, out: str | None = None) -> DataFrame:

@@ -59,12 +59,12 @@ def value_role(f: dict, cfg: RoleConfig = RoleConfig()) -> str:
 
 
 def guess_role(name: str, f: dict, cfg: RoleConfig = RoleConfig()) -> tuple[str, float]:
-    """(role, confidence): the value's role, or the name's where values say little; agreement makes sure."""
+    """(role, confidence): the value's role; where values are merely unique, the name's; agreement makes sure."""
     by_name, by_value = name_role(name), value_role(f, cfg)
     if by_name and by_name == by_value:
         role, sure = by_name, min(0.99, 0.90 + 0.10 * max(cfg.name_weight, cfg.value_weight))
     elif by_name:
-        role, sure = (by_value if cfg.value_weight >= cfg.name_weight and by_name not in ("time", "id", "bool", "geo") else by_name), 0.75 + (0.05 if cfg.value_weight >= cfg.name_weight else 0.0)
+        role, sure = by_name if by_value == "id" else by_value, 0.75 + (0.05 if cfg.value_weight >= cfg.name_weight else 0.0)
     else:
         role, sure = by_value, 0.70 + 0.10 * cfg.value_weight
     sure *= 0.25 + 0.75 * f["non_null_ratio"]

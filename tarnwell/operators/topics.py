@@ -72,9 +72,9 @@ class Roles:
     @staticmethod
     def of(df: DataFrame, found: dict | None = None, schema: roles.Schema | None = None) -> Roles:
         found = found or profile.facts(df)
-        by = (schema or roles.propose(df, found=found)).roles()
+        by = schema.roles() if schema else {}
         times = [c for c, f in found.items() if f["type"] == "datetime"]
-        entity = next((c for c, r in by.items() if r == "id" and found[c]["unique_ratio"] < 0.95), None)
+        entity = next((c for c, f in found.items() if (by.get(c) == "id" or roles.name_role(c) == "id" or c.endswith("key")) and f["unique_ratio"] < 0.95), None)
         metrics = [c for c, f in found.items() if good_metric(c, f)]
         cats = [c for c, f in found.items() if good_category(c, f)]
         return Roles(times[0] if times else None, entity, metrics[:MOST_NUMERIC], cats[:MOST_CATEGORIES])

@@ -219,7 +219,7 @@ def _(df, col, p, order_by):
 def _(df, col, p, order_by):
     if p.get("unit_hint") != "percent":
         return df, None
-    return frames.standardize_percent(df.withColumn(col, V.coerce_robust(F.col(col))), col, p.get("percent_target")), "standardize_units(percent)"
+    return frames.standardize_percent(df.withColumn(col, V.coerce_robust(F.col(col))), col, p.get("percent_target") or "fraction"), "standardize_units(percent)"
 
 
 @action("drop_column")

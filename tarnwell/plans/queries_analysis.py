@@ -268,7 +268,7 @@ def _(t, spark):
     return pr.is_monotonic(t("events"), "event_id", ["ts", "event_id"], ["user_id"])
 
 
-@query("role_inference_events", "SELECT * FROM (VALUES ('event_id', 'int', 'id', 0.955::DOUBLE), ('ts', 'datetime', 'time', 0.955), ('user_id', 'int', 'id', 0.8), ('event_type', 'string', 'categorical', 0.755), ('value', 'float', 'numeric', 0.755), ('props', 'string', 'categorical', 0.755)) AS r(column_name, type, role, confidence)")
+@query("role_inference_events", "SELECT * FROM (VALUES ('event_id', 'int', 'id', 0.955::DOUBLE), ('ts', 'datetime', 'time', 0.955), ('user_id', 'int', 'numeric', 0.8), ('event_type', 'string', 'categorical', 0.755), ('value', 'float', 'numeric', 0.755), ('props', 'string', 'categorical', 0.755)) AS r(column_name, type, role, confidence)")
 def _(t, spark):
     return roles.role_table(t("events"))
 

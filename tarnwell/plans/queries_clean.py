@@ -49,9 +49,9 @@ def _(t, spark):
     return t("lineitem").select("l_orderkey", "l_linenumber", V.zero_as_missing(F.col("l_discount"), 0.005).alias("value"))
 
 
-@query("clean_percent_units", "SELECT l_orderkey, l_linenumber, round(CASE WHEN v > 1 THEN v / 100 ELSE v END, 6) AS value FROM (SELECT *, CASE WHEN l_linenumber = 1 THEN l_discount * 100 ELSE l_discount END AS v FROM lineitem)")
+@query("clean_percent_units", "SELECT l_orderkey, l_linenumber, round(CASE WHEN v > 1 THEN v / 100 ELSE v END, 6) AS value FROM (SELECT *, CASE WHEN l_linenumber < 5 THEN l_discount * 100 ELSE l_discount END AS v FROM lineitem)")
 def _(t, spark):
-    made = t("lineitem").withColumn("v", F.when(F.col("l_linenumber") == 1, F.col("l_discount") * 100).otherwise(F.col("l_discount")))
+    made = t("lineitem").withColumn("v", F.when(F.col("l_linenumber") < 5, F.col("l_discount") * 100).otherwise(F.col("l_discount")))
     return frames.standardize_percent(made, "v").select("l_orderkey", "l_linenumber", r6("v").alias("value"))
 
 

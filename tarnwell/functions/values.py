@@ -220,9 +220,18 @@ def _ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
+def format_pattern(fmt: str) -> str:
+    """What a text in that format looks like: a failed parse costs an exception, a failed match next to nothing."""
+    import re
+
+    known = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}{3,}", "MMM": r"\p{L}{3,}", "M": r"\d{1,2}", "d": r"\d{1,2}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "hh": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
+    parts = re.finditer(r"'(?P<q>[^']*)'|(?P<f>([A-Za-z])\3*)|(?P<o>.)", fmt, re.S)
+    return "^" + "".join(re.escape(m["q"]) if m["q"] is not None else known.get(m["f"], r"\S+") if m["f"] else re.escape(m["o"]) for m in parts) + "$"
+
+
 def parse_datetime(c: Column, formats: tuple = DATE_FORMATS) -> Column:
     """By the first format that fits."""
-    return let(F.trim(_text(c)), lambda s: F.coalesce(*(_ntz(F.try_to_timestamp(s, F.lit(f))) for f in formats)))
+    return let(F.trim(_text(c)), lambda s: F.coalesce(*(_ntz(F.when(s.rlike(format_pattern(f)), F.try_to_timestamp(s, F.lit(f)))) for f in formats)))
 
 
 def extract_datetime(c: Column, patterns: tuple = DATE_PATTERNS) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import epoch, epoch_unit, fraction_to_percent, percent_to_fraction
+from .profile import distinct_counts
 
 
 def with_facts(df: DataFrame, *facts: Column, by: list[str] | None = None) -> DataFrame:
@@ -131,8 +132,8 @@ def column_stats(df: DataFrame) -> DataFrame:
     cols = df.columns
     base = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)])
     one = base.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("non_null")) for i, c in enumerate(cols)])).alias("s")).select("s.*", "n")
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])).alias("s")).select("s.*")
-    distinct = values.where("v IS NOT NULL").groupBy("column_name").agg(F.countDistinct("v").alias("nunique"))
+    names = F.array(*map(F.lit, cols))
+    distinct = distinct_counts(df, cols).select(F.get(names, F.col("c")).alias("column_name"), F.col("n").alias("nunique"))
     return one.join(distinct, "column_name", "left").select(
         "column_name", F.col("n").alias("rows"), "non_null", (1 - F.col("non_null") / F.col("n")).alias("missing_pct"),
         F.coalesce("nunique", F.lit(0).cast("long")).alias("nunique"), (F.coalesce("nunique", F.lit(0)) / F.col("n")).alias("unique_ratio"),

@@ -24,7 +24,7 @@ ROLE_NAMES = {"bool": "boolean", "date": "time", "datetime": "time", "int": "num
 DISTINCT = {"nunique", "unique_ratio", "cardinality"}
 MEASURED = {*profile.FACT_COLUMNS, *DISTINCT, "non_null_ratio", "bool_token_ratio", "numeric_like_ratio", "datetime_parse_ratio"}
 #: Changes after which the plan is cut.
-LONGEST_CHAIN = 12
+LONGEST_CHAIN = 6
 
 
 @dataclass(frozen=True)

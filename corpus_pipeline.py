@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import decontam, jaccard, mixing, packing, quality
-from tarnwell.llm.common import small, stage, table
+from tarnwell.llm.common import light, small, stage, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, that with the smallest id."""
+    light(spark)
     classes = stage(jaccard.jaccard_classes(docs).select(F.col("doc_id").alias("_id"), "xx", "kept"))
     rows = classes.groupBy("_id", "xx").agg(F.max("kept").alias("kept"), F.count("*").alias("many"))
     gone = small(stage(rows.where("NOT kept").select("_id", F.col("xx").alias("_hash"))))
@@ -40,10 +41,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
+    light(spark)
     return mixing.mixed_rows(docs)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    light(spark)
     return packing.pack(docs)
 
 

@@ -2,46 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import stage, unstage  # noqa: F401
+
 #: Rows up to which a side of a join with a few narrow columns is broadcast; it is counted first.
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of whole texts that a Python worker gets at once, where the session leaves that at Spark's default.
+BATCH_ROWS = 1500
+
+
+def light(spark: SparkSession) -> SparkSession:
+    """Keeps batches of whole texts small, so that workers beside an executor's heap stay so too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again. Files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path
-    return out
-
-
-def unstage(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for df in staged:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(df._staged)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return light(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

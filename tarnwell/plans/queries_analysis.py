@@ -305,7 +305,7 @@ def _(t, spark):
     return topics.select(topics.score(topics.candidates(t("orders"))))
 
 
-@query("cleaned_orders")
+@query("cleaned_orders", "SELECT o_orderkey, round(o_totalprice, 2) AS price_usd, date_trunc('day', o_orderdate)::TIMESTAMP AS order_date, CASE WHEN o_orderkey % 9 = 0 THEN 'Unknown' ELSE lower(o_orderpriority) END AS priority FROM orders")
 def _(t, spark):
     made = t("orders").select("o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price_usd"), F.date_format("o_orderdate", "M/d/yyyy").alias("order_date"), F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(F.concat(F.lit("  "), F.col("o_orderpriority"))).alias("priority"))
     schema = roles.Schema("orders", [roles.ColumnSchema(c, "string", r, 1.0) for c, r in (("o_orderkey", "id"), ("price_usd", "numeric"), ("order_date", "time"), ("priority", "categorical"))])

@@ -2,8 +2,9 @@
 
 A seed's mask says which of a window's words count; the others may be anything. The hashes of the benchmark's windows
 under each mask are joined with those of the documents' windows, and around every hit document and item are laid side
-by side: the stretch that scores best, +1 for an equal word and -4 for another, is an overlap if enough words in it
-are equal. So a passage is found although words in it were replaced, as long as four in five stay.
+by side: of the stretches of which four in five words are equal, the one with most equal words is an overlap if they are
+enough. So a passage is found although words in it were replaced, as long as four in five stay: the masks together leave
+no way to place the replaced words of LEAST_EQUAL or more equal ones such that none of them hits.
 
 The benchmark is cut into parts of bounded size; each part is an index of its own, sent to the tasks, and the documents
 are read once for each part. Benchmarks of up to PART_WORDS words, about a hundred thousand items, are one part.
@@ -23,12 +24,15 @@ from . import tokens
 from .common import table
 
 #: Fixed masks: 1 marks the words of a window that count.
-MASKS = ("111101011", "110110010111", "1101000110111", "11100101001101")
-#: Equal words that an overlap has at least, or MOST_SHORT of an item's words where it has fewer.
+MASKS = ("111101011", "110110010111", "1101000110111", "11100101001101", "1101110001", "111111")
+#: Equal words that an overlap has at least, or MOST_SHORT of an item's words where it has fewer; and how many of them
+#: each other word in it needs.
 LEAST_EQUAL, MOST_SHORT, MISS = 13, 0.8, 4
 #: Words of an item at least; shorter ones say nothing.
 LEAST_WORDS = 4
 PART_WORDS = 4_000_000
+#: Words of items that are laid beside texts at once.
+_BESIDE = 1 << 20
 _BITS = 22
 
 
@@ -46,6 +50,16 @@ def _windows(hashes: np.ndarray, offsets: np.ndarray, places: list[int], span: i
     return tokens.mix(acc[first]), first
 
 
+def _stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """(equal words, first, end) of the stretch with most equal words that has at least MISS of them for each other."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS))])
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)  # for each end the first start from which it has them
+    end = int((equal - equal[first]).argmax())
+    inside = np.flatnonzero(same[first[end] : end]) + first[end]
+    return (len(inside), int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0, 0)
+
+
 @dataclass
 class Index:
     """One part of the benchmark: its items' words, and its windows' hashes in order with item and place."""
@@ -97,18 +111,26 @@ class Index:
         text = np.searchsorted(offsets, hits[:, 0], "right") - 1
         item = np.searchsorted(self.offsets, hits[:, 1], "right") - 1
         ways = np.unique(np.stack([text, item, hits[:, 0] - offsets[text] - (hits[:, 1] - self.offsets[item])], 1), axis=0)
+        text, item, shift = ways.T
+        counts = np.diff(self.offsets)[item]
+        low, high = np.maximum(0, -shift), np.minimum(counts, np.diff(offsets)[text] - shift)
+        least = np.minimum(LEAST_EQUAL, np.ceil(MOST_SHORT * counts)).astype(np.int64)
         best: dict[tuple, tuple] = {}
-        for t, i, shift in ways.tolist():
-            a, b = words[offsets[t] : offsets[t + 1]], self.words[self.offsets[i] : self.offsets[i + 1]]
-            lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-            same = a[lo + shift : hi + shift] == b[lo:hi]
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISS))])
-            low = np.minimum.accumulate(sums)
-            end = int((sums - low).argmax())
-            start = int(sums[: end + 1].argmin())
-            equal = int(same[start:end].sum())
-            if equal >= min(LEAST_EQUAL, int(np.ceil(MOST_SHORT * len(b)))) and equal > best.get((t, i), (0,))[0]:
-                best[t, i] = (equal, end - start, lo + start + shift, lo + start)
+        at = np.cumsum(high - low)
+        cut = np.flatnonzero(np.diff(at // _BESIDE)) + 1
+        for some in np.split(np.arange(len(ways)), cut):
+            n = (high - low)[some]
+            begin = np.concatenate([[0], np.cumsum(n)])
+            place = np.arange(begin[-1]) - np.repeat(begin[:-1] - low[some], n)
+            mine, theirs = offsets[text[some]] + shift[some], self.offsets[item[some]]
+            same = words[place + np.repeat(mine, n)] == self.words[place + np.repeat(theirs, n)]
+            enough = np.flatnonzero(np.add.reduceat(same, begin[:-1], dtype=np.int64) >= least[some])
+            for k in enough.tolist():
+                equal, start, end = _stretch(same[begin[k] : begin[k + 1]])
+                w = some[k]
+                t, i, lo = int(text[w]), int(item[w]), int(low[w])
+                if equal >= least[w] and equal > best.get((t, i), (0,))[0]:
+                    best[t, i] = (equal, end - start, lo + start + int(shift[w]), lo + start)
         return [(*k, *v) for k, v in sorted(best.items())]
 
 
@@ -140,7 +162,7 @@ def _finder(spark: SparkSession, index: Index):
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, equal, words, doc_from, item_from: one row for each document and item that overlap, with the
-    longest overlap. Null and empty texts and items overlap with nothing, nor do items under LEAST_WORDS words. Rows
+    overlap of most equal words. Null and empty texts and items overlap with nothing, nor do items under LEAST_WORDS words. Rows
     that repeat give a row each. Other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     kind = dict(items.dtypes)["item_id"]

@@ -107,6 +107,40 @@ def test_spaced_seeds_find_passages_with_substitutions_and_nothing_else():
     assert got[0, 0] == [15, 15, 200, 0] and got[1, 1][:2] == [27, 30]
 
 
+def brute_overlap(text, item):
+    """Most equal words of a stretch on any diagonal that has at least four for each other word."""
+    most = 0
+    for shift in range(-len(item) + 1, len(text)):
+        lo, hi = max(0, -shift), min(len(item), len(text) - shift)
+        same = [text[k + shift] == item[k] for k in range(lo, hi)]
+        for start in (k for k, x in enumerate(same) if x):
+            equal = 0
+            for end in range(start, len(same)):
+                equal += same[end]
+                if equal > most and 5 * equal >= 4 * (end + 1 - start):
+                    most = equal
+    return most
+
+
+def test_passages_with_replaced_words_are_found_as_by_brute_force():
+    rng = np.random.default_rng(8)
+    items, texts = [], []
+    for n in (59, 40, 20):  # every fifth word
+        items.append(wordy(rng, n))
+        texts.append(wordy(rng, 20) + [f"z{k}" if k % 5 == 4 else w for k, w in enumerate(items[-1])] + wordy(rng, 20))
+    for n, replaced in [(14, 1), (16, 3), (17, 3), (20, 2), (20, 4), (30, 6), (40, 9), (60, 11)] * 12:
+        items.append(wordy(rng, n + 6))
+        passage = items[-1][3 : 3 + n]
+        for at in rng.choice(n, replaced, replace=False):
+            passage[at] = f"z{at}"
+        texts.append(wordy(rng, 10) + passage + wordy(rng, 10))
+    index = decontam.Index.of(list(range(len(items))), [" ".join(x) for x in items])
+    got = {(t, i): equal for t, i, equal, *_ in index.overlaps([" ".join(x) for x in texts])}
+    most = [brute_overlap(t, i) for t, i in zip(texts, items, strict=True)]
+    assert got == {(k, k): equal for k, equal in enumerate(most) if equal >= 13}
+    assert all(got[k, k] == equal for k, equal in enumerate((48, 32, 16)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b> part&hellip;<br>next<p>Second&nbsp; one &lt;x&gt;</p><div class="ad-slot">Buy</div>

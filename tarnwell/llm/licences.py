@@ -3,9 +3,10 @@
 A multinomial logistic regression on sparse word 1- to 3-grams, fitted in numpy on notices that are made from templates
 and on paragraphs of the corpus, names a paragraph's licence family or none. Its probabilities are calibrated by a
 temperature on notices and paragraphs held back from the fit; what stays under LEAST_PROBABILITY is unknown. A named
-family is confirmed by comparison with its templates: enough of one's word pairs must stand in the paragraph.
+family is confirmed by comparison with its templates: enough of one's word pairs must stand close together.
 
-Paragraphs are lines; a line longer than a window is read in overlapping windows.
+Paragraphs are lines; a line longer than a window is read in overlapping windows. Where a window speaks of a licence, the
+classifier reads it as a whole and the words of each template that stands in it alone, so every family of a line is named.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ NEUTRAL = (
 NONE = "none"
 WINDOW, STEP = 60, 30
 LEAST_PROBABILITY, LEAST_SIMILAR = 0.5, 0.6
+#: Words over which a template's may be spread, as a multiple of its own.
+SPREAD = 1.5
 #: Documents whose paragraphs teach the class of no licence, at most, and paragraphs of them.
 MOST_DOCUMENTS, MOST_PARAGRAPHS = 400, 3000
 
@@ -91,7 +94,11 @@ class Classifier:
         self.map[self.keys >> np.uint64(44)] = True
         of_licences = self.weights[:, :-1].max(1) - self.weights[:, -1] if len(self.keys) else np.zeros(0)
         self.marks = of_licences > 0.3
-        self.templates = {c: [(_pairs(x), x) for x in [*FAMILIES[c][0], *FAMILIES[c][1]]] for c in self.classes[:-1]}
+        self.templates = [(c, _pairs(x)) for c, name in enumerate(self.classes[:-1]) for x in [*FAMILIES[name][0], *FAMILIES[name][1]]]
+        self.holders: dict[tuple, list[int]] = {}
+        for t, (_, pairs) in enumerate(self.templates):
+            for pair in pairs:
+                self.holders.setdefault(pair, []).append(t)
 
     def known(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the n-gram, place) of those that it knows."""
@@ -107,12 +114,60 @@ class Classifier:
         z = np.exp((z - z.max(1, keepdims=True)) / self.heat)
         return z / z.sum(1, keepdims=True)
 
-    def similarity(self, family: str, text: str) -> float:
-        mine = _pairs(text)
-        return max(len(mine & t) / len(t) for t, _ in self.templates[family])
+    def matches(self, words: list[int]) -> list[tuple]:
+        """(class, similarity, places of the word pairs) of each template of which enough stands close together."""
+        where: dict[int, list[tuple]] = {}
+        for at in range(len(words)):
+            for pair in ((words[at],), tuple(words[at : at + 2])):
+                for t in self.holders.get(pair, ()) if at + len(pair) <= len(words) else ():
+                    where.setdefault(t, []).append((at, pair))
+        out = []
+        for t, places in where.items():
+            c, pairs = self.templates[t]
+            best, reach = (0.0, 0, []), SPREAD * (len(pairs) + 1)
+            for k, (start, _) in enumerate(places):
+                if best[0] == 1 and best[1] == -len(pairs):
+                    break
+                firsts: dict[tuple, int] = {}
+                for at, pair in places[k:]:
+                    if at + len(pair) - start > reach:
+                        break
+                    firsts.setdefault(pair, at)
+                held = [(at, at + len(pair)) for pair, at in firsts.items()]
+                best = max(best, (len(held) / len(pairs), start - max(y for _, y in held), held), key=lambda x: x[:2])
+            if best[0] >= LEAST_SIMILAR:
+                out.append((c, best[0], best[2]))
+        return out
+
+    def families(self, words: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, float]]:
+        """{class: (probability, similarity)} of a window's licences; known: numbers of its n-grams."""
+        whole = None
+        found = []
+        for c, near, held in self.matches(words.tolist()):
+            if whole is None:
+                whole = self.probabilities([known])[0]
+                if whole[-1] > 1 - LEAST_PROBABILITY:
+                    return {}
+            of = np.zeros(len(words) + 2, np.int8)  # the template's own words, in runs
+            for x, y in held:
+                of[x + 1 : y + 1] = 1
+            edge = np.diff(of)
+            runs = np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+            own = self.probabilities([np.unique(self.known(words[of[1:-1] == 1], np.concatenate([[0], np.cumsum(runs)]))[0])])[0]
+            p = max(float(x[c]) if x.argmax() == c else 0.0 for x in (whole, own))
+            if p >= LEAST_PROBABILITY:
+                found.append((near, len(held), p, c, set(held)))
+        out: dict[int, tuple[float, float]] = {}
+        taken: set = set()
+        for near, _, p, c, held in sorted(found, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
+            if c not in out and (near == 1 and held - taken or not held & taken):  # what lies in a better match is part of it
+                out[c] = (p, near)
+            if c in out:
+                taken |= held
+        return out
 
     def found(self, paragraphs: list[str]) -> list[tuple]:
-        """(paragraph, family, probability, similarity, text of the best window) of those with a licence."""
+        """(paragraph, family, probability, similarity, text) of each licence of each paragraph."""
         words, offsets = tokens.words(paragraphs)
         if not len(words) or not len(self.keys):
             return []
@@ -124,19 +179,15 @@ class Classifier:
         for i in np.unique(line[self.marks[k]]).tolist():
             mine = slice(*np.searchsorted(line, [i, i + 1]))
             own_k, own_at = k[mine], at[mine] - offsets[i]
-            n, best = int(offsets[i + 1] - offsets[i]), None
+            n = int(offsets[i + 1] - offsets[i])
+            best: dict[int, tuple[float, float]] = {}
             for start in range(0, max(1, n - STEP), STEP):
-                inside = (own_at >= start) & (own_at < start + WINDOW)
-                if not self.marks[own_k[inside]].any():
-                    continue
-                p = self.probabilities([np.unique(own_k[inside])])[0]
-                c = int(p.argmax())
-                if c < len(self.classes) - 1 and p[c] >= LEAST_PROBABILITY and (best is None or p[c] > best[1]):
-                    best = (self.classes[c], float(p[c]), start)
-            if best:
-                near = self.similarity(best[0], paragraphs[i])
-                if near >= LEAST_SIMILAR:
-                    out.append((i, best[0], best[1], near, paragraphs[i]))
+                inside = own_k[slice(*np.searchsorted(own_at, [start, start + WINDOW]))]
+                if self.marks[inside].any():
+                    window = words[offsets[i] + start : min(offsets[i] + start + WINDOW, offsets[i + 1])]
+                    for c, got in self.families(window, np.unique(inside)).items():
+                        best[c] = max(best.get(c, got), got)
+            out += [(i, self.classes[c], *got, paragraphs[i]) for c, got in sorted(best.items())]
         return out
 
 
@@ -194,8 +245,8 @@ def train(docs: DataFrame) -> Classifier:
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, paragraph, licence, probability, similarity, notice: one row for each paragraph with a licence. Null and
-    empty texts have none. Rows that repeat give a row each. Other columns are ignored, whatever their names."""
+    """id, paragraph, licence, probability, similarity, notice: one row for each licence of each paragraph. Null
+    and empty texts have none. Rows that repeat give a row each. Other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -205,3 +205,16 @@ def test_licences_are_named_and_confirmed_and_other_talk_is_not():
     got = model.found(notices + other + ["word " * 100 + notices[0]])
     assert [(g[0], g[1]) for g in got] == [(0, "MIT"), (1, "Apache-2.0"), (2, "GPL-3.0"), (3, "CC-BY-NC"), (8, "MIT")]
     assert all(g[2] >= 0.5 and g[3] >= 0.6 for g in got)
+
+
+def test_every_licence_of_a_line_is_named_and_confirmed_where_it_stands():
+    model = licences.fit(["The cat sat on the mat.", "Nothing to see here, move along."] * 10)
+    mit, gpl = licences.FAMILIES["MIT"][1][0], licences.FAMILIES["GPL-3.0"][1][0]
+    lines = [
+        mit + " word" * 200 + " " + gpl + ".", "Released under the MIT License or the Apache License, Version 2.0, at your choice.",
+        "Licensed under the GNU General Public License, version 2 or version 3.", "word " * 300, "Released under the MIT License." + " word" * 200 + " Released under the MIT License.",
+        "This work is licensed under CC BY-NC-SA 4.0.", "The code is covered by the GNU Lesser General Public License, version 3; the docs by CC BY 4.0.",
+    ]
+    got = model.found(lines)
+    assert sorted(g[:2] for g in got) == [(0, "GPL-3.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (2, "GPL-2.0"), (2, "GPL-3.0"), (4, "MIT"), (5, "CC-BY-NC-SA"), (6, "CC-BY"), (6, "LGPL")]
+    assert all(g[2] >= 0.5 and g[3] >= 0.6 for g in got)

@@ -166,6 +166,20 @@ def test_a_host_s_constant_lines_are_template():
     assert html.extract(pages[2]).startswith("Read on")
 
 
+@pytest.mark.parametrize("views", [lambda i: 7, lambda i: i])
+def test_what_only_copies_of_a_page_share_is_not_template(views):
+    story = lambda i: f"<p>Story {i} says {'word ' * 20}{i}</p><p>and {'so on ' * 9}{i}</p>"
+    own = [f"<body><article>{story(99)}<blockquote>A quote of its own</blockquote><p>{views(i)} views</p></article></body>" for i in range(6)]
+    other = [f"<body><article>{story(i)}<p>Read on</p></article></body>" for i in range(12)]
+    ending = [f"<body><article>{story(20 + i)}<h2>All stories of the week</h2></article></body>" for i in range(6)]
+    slot = html.Slot(html.Folded([html.parse(own[0])]))
+    for p in [*own[1:], *other, *ending]:
+        slot = html.merge(slot, html.Slot(html.Folded([html.parse(p)])))
+    for p in own:
+        assert html.extract(html.parse(p), slot) == html.extract(html.parse(p))
+    assert "All stories" not in html.extract(html.parse(ending[0]), slot)
+
+
 def test_simple_tree_matching_counts_the_largest_matching():
     tree = lambda s: html.Folded([html.parse(s)])
     assert html.score(tree("<div><p>a</p><ul><li>x</ul></div>"), tree("<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>")) == 5

@@ -166,6 +166,14 @@ def test_a_host_s_constant_lines_are_template():
     assert html.extract(pages[2]).startswith("Read on")
 
 
+@pytest.mark.parametrize("deep", [250, 3000])
+def test_deep_pages_are_read_whole(deep):
+    inner = "<aside><div>Side</div></aside><script>var x;</script><form><div>Mail</div></form><p>in <b>the</b> depth</p>"
+    page = f"<body><article><p>First</p>{'<div>' * deep}{inner}{'</div>' * deep}<p>Last</p></article><div>Out</div></body>"
+    slot = html.merge(*(html.Slot(html.Folded([html.parse(page)])) for _ in range(2)))
+    assert html.extract(html.parse(page), slot) == html.extract(html.parse(page)) == "First\nin the depth\nLast"
+
+
 @pytest.mark.parametrize("views", [lambda i: 7, lambda i: i])
 def test_what_only_copies_of_a_page_share_is_not_template(views):
     story = lambda i: f"<p>Story {i} says {'word ' * 20}{i}</p><p>and {'so on ' * 9}{i}</p>"

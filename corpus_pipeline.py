@@ -34,9 +34,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
-    hits = small(stage(decontam.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()))
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Documents that overlap with a benchmark item go, by id and text: others with their id or without one stay."""
+    own = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = own.select(F.struct("doc_id", "_text").alias("_key"), "text")
+    found = decontam.overlaps(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    hits = small(stage(found.select(F.col("_key.doc_id").alias("_id"), F.col("_key._text").alias("_hash")).distinct()))
+    out = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

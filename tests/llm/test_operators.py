@@ -299,3 +299,12 @@ def test_pipeline_stages_take_odd_rows(spark):
     assert corpus_pipeline.jaccard_join(spark, frame, SF).count() == 7
     assert corpus_pipeline.benchmark_decontamination(spark, frame, SF).count() == len(odd_rows())
     assert tokens.words([None, ""])[1].tolist() == [0, 0, 0]
+
+
+def test_decontamination_stage_removes_only_the_rows_that_overlap(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    leaks = [(None, f"before {item} after", "a"), (9, f"{item} again", None)]
+    frame = docs_of(spark, [*odd_rows(), *leaks])
+    got = corpus_pipeline.benchmark_decontamination(spark, frame, SF)
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, docs_of(spark, odd_rows()).collect()), key=repr)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..sources.staged import stage, unstage  # noqa: F401
 
-#: Rows up to which a side of a join with a few narrow columns is broadcast; it is counted first.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of rows up to which a side of a join is broadcast; its rows are counted first.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of a value that a row is taken to have, besides ROW_BYTES of its own; texts are held to be short.
+WIDTHS, ROW_BYTES = {"long": 8, "bigint": 8, "int": 8, "double": 8, "boolean": 8, "string": 40}, 16
 
 
 #: Rows of whole texts that a Python worker gets at once, where the session leaves that at Spark's default.
@@ -30,9 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return light(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than that (a staged table: the count reads footers only)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_rows(df: DataFrame) -> int:
+    """Rows of df's columns that BROADCAST_BYTES hold."""
+    return BROADCAST_BYTES // (ROW_BYTES + sum(WIDTHS.get(kind, 64) for _, kind in df.dtypes))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows fit (a staged table: the count reads footers only); else joins shuffle."""
+    return F.broadcast(df) if df.count() <= broadcast_rows(df) else df
 
 
 def grouped(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:

@@ -7,9 +7,13 @@ with all sets in one bucket and splits it recursively: a bucket's path picks eac
 threshold survives a level like a branching process of mean threshold / LAMBDA; runs repeat until a pair at the
 threshold meets in a deepest bucket with the target recall. Buckets that are small enough stop splitting early.
 
-Small buckets are compared by brute force on the sketches, larger ones that no further splitting parts in blocks, each
-pair of blocks a task of its own. What meets there makes candidate clusters; within a cluster, blocks of whole shingle
-sets give the exact similarities. No pair becomes a row: a block gives counts of links and one star for each class.
+Before a bucket is split, each member's sketch is compared with that of the bucket's least member. A member has few
+different least members in its buckets, so this takes a few rows a member however large the group is, and joins nearly
+all of a group of near copies in one component. A bucket whose members all are in one component has nothing left to
+find and ends there. The others go on: small ones are compared by brute force on the sketches, larger ones that no
+further splitting parts in blocks, each pair of blocks a group of its own. What meets makes candidate clusters; within a
+cluster, blocks of whole shingle sets give the exact similarities. No pair becomes a row: a block gives counts of links
+and one star for each class.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from . import tokens
-from .common import BROADCAST_ROWS, grouped, small, stage, table, unstage
+from .common import grouped, small, stage, table, unstage
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -114,7 +118,13 @@ def _first_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         row, path = children(_matrix(frame["sig"]), np.arange(len(frame)), frame["bucket"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"bucket": path.view(np.int64), "rep": frame["rep"].to_numpy()[row]}).drop_duplicates()
+        yield pd.DataFrame({"bucket": path.view(np.int64), "rep": frame["rep"].to_numpy()[row], "comp": frame["comp"].to_numpy()[row]}).drop_duplicates()
+
+
+@F.pandas_udf(BooleanType())
+def _alike(one: pd.Series, other: pd.Series) -> pd.Series:
+    """Whether two sketches make a candidate."""
+    return pd.Series((_matrix(one) == _matrix(other)).mean(1) >= CANDIDATE if len(one) else [], dtype=bool)
 
 
 class _Union:
@@ -140,18 +150,19 @@ class _Union:
 
 
 def _near(group: pd.DataFrame) -> pd.DataFrame | None:
-    """Stars of a bucket's, or a pair of blocks', candidates."""
-    sig = _matrix(group["sig"])
-    block, p, q = group["block"].to_numpy(), group["p"].iloc[0], group["q"].iloc[0]
-    known = _Union(len(sig))
-    for i in range(len(sig) - 1):
-        same = (sig[i] == sig[i + 1 :]).mean(1) >= CANDIDATE
+    """Links between the components of a bucket, or of a pair of blocks, by candidates in different ones."""
+    sig, block, p, q = _matrix(group["sig"]), group["block"].to_numpy(), group["p"].iloc[0], group["q"].iloc[0]
+    names, comp, many = np.unique(group["comp"].to_numpy(), return_inverse=True, return_counts=True)
+    known, out = _Union(len(names)), []
+    for i in np.flatnonzero(comp != many.argmax()):  # the largest component's members are met by all others
+        same = (comp != comp[i]) & ((sig[i] == sig).mean(1) >= CANDIDATE)
         if p != q:
-            same &= block[i] != block[i + 1 :]
-        for j in np.flatnonzero(same):
-            known.join(i, i + 1 + int(j))
-    a, b = known.stars(group["rep"].to_numpy())
-    return pd.DataFrame({"a": a, "b": b}) if a else None
+            same &= block[i] != block
+        for c in np.unique(comp[same]).tolist():
+            if known.find(int(comp[i])) != known.find(c):
+                known.join(int(comp[i]), c)
+                out.append((names[comp[i]], names[c]))
+    return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -195,7 +206,7 @@ def _linked(group: pd.DataFrame) -> pd.DataFrame | None:
     return pd.DataFrame({"a": [*names[has], *a], "b": [*[None] * has.sum(), *b], "w": [*links[has], *[None] * len(a)]}).astype("Int64")
 
 
-def _blocked(members: DataFrame, cluster: str, blocks) -> DataFrame:
+def _blocked(members: DataFrame, blocks) -> DataFrame:
     """members with block, p, q: one row for each pair of blocks that the own block is in."""
     out = members.withColumn("many", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("many")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))
@@ -218,9 +229,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = every.join(reps.select("rep"), F.col("rid") == F.col("rep")).select("rep", "id", "xx", "n", "sig")
     sketches = stage(sketches)
 
-    candidates = _candidate_links(sketches)
-    clusters = stage(components(candidates).select(F.col("node").alias("rep"), F.col("root").alias("cluster")))
-    unstage(candidates)
+    clusters = _candidate_clusters(sketches).select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
     found = _exact_links(rows, sketches, reps, clusters)
     classes = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))
@@ -238,41 +247,63 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Staged bucket, rep, many (sets in the bucket) of the buckets that more than one set is in. Rows are 16 bytes and
-    go through one exchange; nearly all are alone in their bucket and end here."""
-    return stage(members.withColumn("many", F.count("*").over(Window.partitionBy("bucket"))).where("many > 1"))
-
-
 def _with_sketches(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """members (staged) with the column sig."""
     return sketches.select("rep", "sig").join(small(members), "rep")
 
 
-def _candidate_links(sketches: DataFrame) -> DataFrame:
-    shape = "bucket long, rep long"
-    members = _shared(sketches.select("rep", "sig").mapInPandas(_first_buckets, shape))
-    leaves, met = [], []
+def _centred(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Staged rep, center, buckets, near: each member's pairs with the least members of its shared buckets, and of those
+    buckets the ones that have a third member. Buckets meet as partial aggregates, so a bucket that very many sets share
+    is counted in parts, and their members come back by a join that splits."""
+    shared = stage(members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("rep").alias("center"), F.max("rep").alias("last")).where("many > 1"))
+    two = shared.where("many = 2").select(F.col("last").alias("rep"), "center", F.lit(None).cast("long").alias("bucket"))
+    large = small(stage(shared.where("many > 2").select("bucket", "center")))
+    more = members.join(large, "bucket").where("rep <> center").select("rep", "center", "bucket")
+    pairs = stage(two.unionAll(more).groupBy("rep", "center").agg(F.collect_list("bucket").alias("buckets")))
+    ours, theirs = sketches.select("rep", F.col("sig").alias("one")), sketches.select(F.col("rep").alias("center"), F.col("sig").alias("other"))
+    out = stage(pairs.join(ours, "rep").join(theirs, "center").select("rep", "center", "buckets", _alike("one", "other").alias("near")))
+    unstage(shared, pairs)
+    return out
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """Staged bucket, rep, comp, many of the buckets (members: bucket, rep, comp; staged) with more than one component."""
+    mixed = stage(members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket", "many"))
+    out = stage(members.join(small(mixed), "bucket"))
+    unstage(mixed)
+    return out
+
+
+def _candidate_clusters(sketches: DataFrame) -> DataFrame:
+    """Staged node, root: candidates' components."""
+    members = stage(sketches.select("rep", "sig").mapInPandas(_first_buckets, "bucket long, rep long"))
+    centred = _centred(members, sketches)
+    known = components(centred.where("near").select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    mine, theirs = known.select(F.col("node").alias("rep"), F.col("root").alias("x")), known.select(F.col("node").alias("center"), F.col("root").alias("y"))
+    open_ = centred.where("NOT near AND size(buckets) > 0").join(small(mine), "rep", "left").join(small(theirs), "center", "left")
+    open_ = stage(open_.where(F.coalesce("x", "rep") != F.coalesce("y", "center")).select(F.explode("buckets").alias("bucket")).distinct())
+    if open_.isEmpty():
+        unstage(members, centred, open_)
+        return known
+    met = stage(members.join(small(open_), "bucket"))
+    unstage(members, centred, open_)
+    now = _apart(stage(met.join(small(known.select(F.col("node").alias("rep"), "root")), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))))
+    leaves = None
     for depth in range(START, DEEPEST + 1):
-        sizes = stage(members.groupBy("bucket", "many").agg(F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")))
-        whole = sizes if depth == DEEPEST else sizes.where(F.col("many") <= SMALL)
-        level = F.lit(depth).alias("level")
-        leaves.append(whole.select(level, "*"))
-        met.append(members.select(level, "bucket", "rep"))
-        large = sizes.where(F.col("many") > SMALL)
+        whole = (now if depth == DEEPEST else now.where(F.col("many") <= SMALL)).withColumn("level", F.lit(depth))
+        leaves = whole if leaves is None else leaves.unionAll(whole)
+        large = now.where(F.col("many") > SMALL)
         if depth == DEEPEST or large.isEmpty():
             break
-        on = members.join(large.select("bucket"), "bucket").select("bucket", "rep")
-        members = _shared(_with_sketches(stage(on), sketches).mapInPandas(_split, shape))
-    every, all_met = leaves[0], met[0]
-    for more, also in zip(leaves[1:], met[1:], strict=True):
-        every, all_met = every.unionAll(more), all_met.unionAll(also)
-    chosen = every.groupBy("many", "x1", "x2").agg(F.min(F.struct("level", "bucket")).alias("one")).select("one.level", "one.bucket", "many")
-    chosen = stage(chosen)
-    near = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS // 4 else chosen
-    in_them = _with_sketches(stage(all_met.join(near, ["level", "bucket"])), sketches)
-    blocked = _blocked(in_them, "bucket", F.ceil(F.col("many") / BLOCK_SKETCHES))
-    return stage(grouped(blocked.select("level", "bucket", "p", "q", "block", "rep", "sig"), ["level", "bucket", "p", "q"], _near, "a long, b long").distinct())
+        wide = _with_sketches(stage(large.select("bucket", "rep", "comp")), sketches)
+        now = _apart(stage(wide.mapInPandas(_split, "bucket long, rep long, comp long")))
+    sizes = leaves.groupBy("level", "bucket", "many").agg(F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
+    chosen = stage(sizes.groupBy("many", "x1", "x2").agg(F.min(F.struct("level", "bucket")).alias("one")).select("one.level", "one.bucket"))
+    in_them = _with_sketches(stage(leaves.join(small(chosen), ["level", "bucket"])), sketches)
+    blocked = _blocked(in_them, F.ceil(F.col("many") / BLOCK_SKETCHES))
+    found = stage(grouped(blocked.select("level", "bucket", "p", "q", "block", "rep", "comp", "sig"), ["level", "bucket", "p", "q"], _near, "a long, b long").distinct())
+    return known if found.isEmpty() else components(found.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _exact_links(rows: DataFrame, sketches: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -280,15 +311,14 @@ def _exact_links(rows: DataFrame, sketches: DataFrame, reps: DataFrame, clusters
     sizes = clusters.join(sketches.select("rep", "n"), "rep").groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     wanted = stage(wanted.join(sizes, "cluster").select("rep", "cluster", "blocks", "copies", F.col("id").alias("wid"), F.col("xx").alias("wxx")))
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 2 else wanted
-    texts = rows.join(near, F.col("id").eqNullSafe(F.col("wid")) & (F.col("xx") == F.col("wxx"))).select("cluster", "blocks", "rep", "copies", "text")
+    texts = rows.join(small(wanted), F.col("id").eqNullSafe(F.col("wid")) & (F.col("xx") == F.col("wxx"))).select("cluster", "blocks", "rep", "copies", "text")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield frame.drop(columns="text").assign(shingles=[s.tobytes() for s in _sets(list(frame["text"]))])
 
     sets = texts.mapInPandas(cut, "cluster long, blocks long, rep long, copies long, shingles binary")
-    blocked = _blocked(sets, "cluster", F.col("blocks"))
+    blocked = _blocked(sets, F.col("blocks"))
     return stage(grouped(blocked.select("cluster", "p", "q", "block", "rep", "copies", "shingles"), ["cluster", "p", "q"], _linked, "a long, b long, w long"))
 
 

@@ -22,7 +22,8 @@ WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 8, 2, 256, 7, 24
 LAGS = range(2, 29)
 #: Labelled texts that the network is fitted on at most, and bytes of one of them at most.
 MOST_LABELLED, LONGEST = 4000, 20_000
-_BLOCK = 192
+#: Chunks of a product.
+_BLOCK = 64
 #: Bytes that are held as arrays at once; pooling goes on from one part of a longer text to the next.
 PART = 1 << 20
 
@@ -53,30 +54,38 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, first
 
 
-def repeats(buf: np.ndarray) -> np.ndarray:
-    """1 where the four bytes from here also stand from one of LAGS bytes before, of a text and not of its padding."""
+def repeats(buf: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1 where the four bytes from here also stand from one of LAGS bytes before in the same text, padding left out.
+    first: first chunk of each text."""
     b = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.uint32)
     g = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
     hit = np.zeros(len(g), bool)
+    starts = first[:-1] * CHUNK
     for lag in LAGS:
-        hit[lag:] |= g[lag:] == g[:-lag]
+        same = g[lag:] == g[:-lag]
+        same[(starts[1:, None] + np.arange(-lag, 0))] = False  # from here back lies the text before
+        hit[lag:] |= same
     return (hit & (buf > 0)).astype(np.float32)
 
 
-def pooled(net: Net, buf: np.ndarray, trace: bool = False):
-    """(chunks, FILTERS) maxima over a chunk's windows; with trace the windows where they are."""
+def pooled(net: Net, buf: np.ndarray, first: np.ndarray, trace: bool = False):
+    """(chunks, FILTERS) maxima over a chunk's windows; with trace the windows where they are. A chunk's maxima are the
+    same bits whatever stands around its text: every product has the same shape."""
     n = (len(buf) - WIDTH) // CHUNK
     per = CHUNK // STRIDE
     tops, where = np.empty((n, FILTERS), np.float32), np.empty((n, FILTERS), np.int64) if trace else None
-    again = repeats(buf)
+    again = repeats(buf, first)
+    ends = np.zeros(n, bool)
+    ends[first[1:] - 1] = True
+    x = np.zeros((_BLOCK * CHUNK + WIDTH, EMBED + 1), np.float32)
+    flat = np.lib.stride_tricks.as_strided(x, (_BLOCK * per, WIDTH * (EMBED + 1)), (x.strides[0] * STRIDE, 4))
     for at in range(0, n, _BLOCK):
         to = min(n, at + _BLOCK)
         piece = slice(at * CHUNK, to * CHUNK + WIDTH)
-        x = np.empty((piece.stop - piece.start, EMBED + 1), np.float32)
-        x[:, :EMBED] = net.embed[buf[piece]]
-        x[:, EMBED] = again[piece]
-        flat = np.lib.stride_tricks.as_strided(x, ((to - at) * per, WIDTH * (EMBED + 1)), (x.strides[0] * STRIDE, 4))
-        y = (np.ascontiguousarray(flat) @ net.filters).reshape(to - at, per, FILTERS)
+        x[: piece.stop - piece.start, :EMBED] = net.embed[buf[piece]]
+        x[: piece.stop - piece.start, EMBED] = again[piece]
+        y = (np.ascontiguousarray(flat) @ net.filters).reshape(_BLOCK, per, FILTERS)[: to - at]
+        y[ends[at:to], per - WIDTH // STRIDE + 1 :] = -np.inf  # of padding only, and of the next text's first bytes
         if trace:
             where[at:to] = y.argmax(1)
         tops[at:to] = y.max(1)
@@ -89,7 +98,7 @@ def combined(net: Net, tops: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     most = np.maximum.reduceat(tops, first[:-1])
     mean = np.add.reduceat(tops, first[:-1]) / np.diff(first)[:, None]
     both = np.hstack([most, mean])
-    return both @ net.out + net.bias, both
+    return (both * net.out).sum(1) + net.bias, both  # row by row: a product's bits could depend on its number of rows
 
 
 def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
@@ -102,7 +111,7 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
             tops = []
             for at in range(0, len(whole), PART):  # each with the chunk before it, which the repeat channel looks back to
                 ahead = min(at, CHUNK)
-                part = pooled(net, laid_out([whole[at - ahead : at + PART + WIDTH]])[0])[ahead // CHUNK :]
+                part = pooled(net, *laid_out([whole[at - ahead : at + PART + WIDTH]]))[ahead // CHUNK :]
                 tops.append(part[: PART // CHUNK] if at + PART < len(whole) else part)
             tops = np.concatenate(tops)
             out[start] = combined(net, tops, np.array([0, len(tops)]))[0][0]
@@ -114,7 +123,7 @@ def score_texts(net: Net, texts: list[bytes]) -> np.ndarray:
             end += 1
         end = max(end, start + 1)
         buf, first = laid_out(texts[start:end])
-        out[start:end] = combined(net, pooled(net, buf), first)[0]
+        out[start:end] = combined(net, pooled(net, buf, first), first)[0]
         start = end
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -136,7 +145,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 14, batch: int = 48, ra
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
             buf, first = laid_out([texts[i] for i in chosen])
-            tops, where, again = pooled(net, buf, trace=True)
+            tops, where, again = pooled(net, buf, first, trace=True)
             logit, both = combined(net, tops, first)
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[chosen]) / len(chosen)
             g_both = g[:, None] * net.out
@@ -170,7 +179,9 @@ def _bytes(text: str | None) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, held_out) -> Net:
     """docs: doc_id, text; labels: doc_id, y. held_out: an id column -> a boolean column; those rows train nothing.
-    Fits on up to MOST_LABELLED labelled texts, chosen by hash."""
+    Fits on up to MOST_LABELLED labelled texts, chosen by hash; of labels of one id that disagree the largest counts, and
+    rows that repeat an id teach each. Empty tables, and labels of one kind only, give a network that scores every text
+    the labels' mean, or 0.5 without any. Null ids and labels teach nothing."""
     known = labels.select(F.col("doc_id").alias("id"), "y").where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "id")

@@ -4,7 +4,8 @@ A seed's mask says which of a window's words count; the others may be anything.
 under each mask are joined with those of the documents' windows, and around every hit document and item are laid side
 by side: of the stretches of which four in five words are equal, the one with most equal words is an overlap if they are
 enough. So a passage is found although words in it were replaced, as long as four in five stay: the masks together leave
-no way to place the replaced words of LEAST_EQUAL or more equal ones such that none of them hits.
+no way to place the replaced words of LEAST_EQUAL or more equal ones such that none of them hits. Items of few words
+have further masks, and up to LEAVE_ONE words seeds of all their words and of all but one.
 
 The benchmark is cut into parts of bounded size; each part is an index of its own, sent to the tasks, and the documents
 are read once for each part. Benchmarks of up to PART_WORDS words, about a hundred thousand items, are one part.
@@ -30,6 +31,10 @@ MASKS = ("111101011", "110110010111", "1101000110111", "11100101001101", "110111
 LEAST_EQUAL, MOST_SHORT, MISS = 13, 0.8, 4
 #: Words of an item at least; shorter ones say nothing.
 LEAST_WORDS = 4
+#: Further masks for items of few words, and words up to which an item is one of them; words up to which it has seeds that
+#: leave out one word each. With MASKS they hit wherever the other words of an item stand, MOST_SHORT of it being equal.
+SHORT_MASKS, SHORT = ("11010011", "1100111"), 15
+LEAVE_ONE = 7
 PART_WORDS = 4_000_000
 #: Words of items that are laid beside texts at once.
 _BESIDE = 1 << 20
@@ -78,11 +83,17 @@ class Index:
         counts = np.diff(offsets)
         longest = max(len(m) for m in MASKS)
         seeds = [([i for i, c in enumerate(m) if c == "1"], len(m), k) for k, m in enumerate(MASKS)]
-        seeds += [(list(range(n)), n, 100 + n) for n in sorted({int(c) for c in counts if LEAST_WORDS <= c < longest})]
+        short = sorted({int(c) for c in counts if LEAST_WORDS <= c < longest})
+        seeds += [(list(range(n)), n, 100 + n) for n in short]
+        seeds += [([i for i, c in enumerate(m) if c == "1"], len(m), 50 + k) for k, m in enumerate(SHORT_MASKS) if any(LEAVE_ONE < c <= SHORT for c in counts)]
+        seeds += [([i for i in range(n) if i != k], n, 200 + n * longest + k) for n in short if LEAST_WORDS < n <= LEAVE_ONE for k in range(n)]
         out = Index(items, words, offsets, seeds, [], [], [])
         for places, span, salt in seeds:
             h, at = _windows(words, offsets, places, span, salt)
-            if salt >= 100:  # the whole of a short item
+            if 50 <= salt < 100:
+                few = counts[np.searchsorted(offsets, at, "right") - 1] <= SHORT
+                h, at = h[few], at[few]
+            if salt >= 100:  # the whole of a short item, or all of it but a word
                 whole = counts[np.searchsorted(offsets, at, "right") - 1] == span
                 h, at = h[whole], at[whole]
             order = np.argsort(h, kind="stable")
@@ -91,47 +102,63 @@ class Index:
             out.keys.append(h[order]), out.where.append(at[order]), out.maps.append(seen)
         return out
 
-    def overlaps(self, texts: list[str | None]) -> list[tuple]:
-        """(text, item, equal words, words, first word in the text, first word in the item)."""
-        words, offsets = tokens.words(texts)
-        found = []
+    def _ways(self, words: np.ndarray, offsets: np.ndarray, scale: tuple[int, int]) -> Iterator[np.ndarray]:
+        """Parts of at most some _BESIDE diagonals (text, item, shift), packed into a number, that hits lie on. Hits are laid
+        out a part at a time: equal words in a long text and in a long item hit as often as the product of their lengths,
+        but lie on no more diagonals than their sum."""
+        held, many_held = [], 0
         for (places, span, salt), keys, where, seen in zip(self.seeds, self.keys, self.where, self.maps, strict=True):
             h, at = _windows(words, offsets, places, span, salt)
             hit = seen[h >> np.uint64(64 - _BITS)]
             h, at = h[hit], at[hit]
             lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
-            many = hi - lo
-            some = many > 0
-            lo, at, many = lo[some], at[some], many[some]
-            steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.stack([np.repeat(at, many), where[np.repeat(lo, many) + steps]], 1))
-        hits = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        if not len(hits):
-            return []
-        text = np.searchsorted(offsets, hits[:, 0], "right") - 1
-        item = np.searchsorted(self.offsets, hits[:, 1], "right") - 1
-        ways = np.unique(np.stack([text, item, hits[:, 0] - offsets[text] - (hits[:, 1] - self.offsets[item])], 1), axis=0)
-        text, item, shift = ways.T
-        counts = np.diff(self.offsets)[item]
-        low, high = np.maximum(0, -shift), np.minimum(counts, np.diff(offsets)[text] - shift)
-        least = np.minimum(LEAST_EQUAL, np.ceil(MOST_SHORT * counts)).astype(np.int64)
+            some = hi > lo
+            lo, at, many = lo[some], at[some], (hi - lo)[some]
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // _BESIDE)) + 1):
+                n = many[part]
+                steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                mine, theirs = np.repeat(at[part], n), where[np.repeat(lo[part], n) + steps]
+                text, item = np.searchsorted(offsets, mine, "right") - 1, np.searchsorted(self.offsets, theirs, "right") - 1
+                shift = mine - offsets[text] - (theirs - self.offsets[item])
+                held.append(np.unique((text * scale[0] + item) * scale[1] + shift + scale[1] // 2))
+                many_held += len(held[-1])
+                if many_held > 2 * _BESIDE:
+                    held = [np.unique(np.concatenate(held))]
+                    many_held = len(held[0])
+                    if many_held > _BESIDE:
+                        yield held[0]
+                        held, many_held = [], 0
+        if many_held:
+            yield np.unique(np.concatenate(held))
+
+    def overlaps(self, texts: list[str | None]) -> list[tuple]:
+        """(text, item, equal words, words, first word in the text, first word in the item)."""
+        words, offsets = tokens.words(texts)
+        longest = max(np.diff(offsets).max(initial=0), np.diff(self.offsets).max(initial=0))
+        scale = len(self.items) + 1, 2 * int(longest) + 2
         best: dict[tuple, tuple] = {}
-        at = np.cumsum(high - low)
-        cut = np.flatnonzero(np.diff(at // _BESIDE)) + 1
-        for some in np.split(np.arange(len(ways)), cut):
-            n = (high - low)[some]
-            begin = np.concatenate([[0], np.cumsum(n)])
-            place = np.arange(begin[-1]) - np.repeat(begin[:-1] - low[some], n)
-            mine, theirs = offsets[text[some]] + shift[some], self.offsets[item[some]]
-            same = words[place + np.repeat(mine, n)] == self.words[place + np.repeat(theirs, n)]
-            enough = np.flatnonzero(np.add.reduceat(same, begin[:-1], dtype=np.int64) >= least[some])
-            for k in enough.tolist():
-                equal, start, end = _stretch(same[begin[k] : begin[k + 1]])
-                w = some[k]
-                t, i, lo = int(text[w]), int(item[w]), int(low[w])
-                if equal >= least[w] and equal > best.get((t, i), (0,))[0]:
-                    best[t, i] = (equal, end - start, lo + start + int(shift[w]), lo + start)
-        return [(*k, *v) for k, v in sorted(best.items())]
+        for ways in self._ways(words, offsets, scale):
+            shift = ways % scale[1] - scale[1] // 2
+            text, item = ways // scale[1] // scale[0], ways // scale[1] % scale[0]
+            counts = np.diff(self.offsets)[item]
+            low, high = np.maximum(0, -shift), np.minimum(counts, np.diff(offsets)[text] - shift)
+            least = np.minimum(LEAST_EQUAL, np.ceil(MOST_SHORT * counts)).astype(np.int64)
+            at = np.cumsum(high - low)
+            for some in np.split(np.arange(len(ways)), np.flatnonzero(np.diff(at // _BESIDE)) + 1):
+                n = (high - low)[some]
+                begin = np.concatenate([[0], np.cumsum(n)])
+                place = np.arange(begin[-1]) - np.repeat(begin[:-1] - low[some], n)
+                mine, theirs = offsets[text[some]] + shift[some], self.offsets[item[some]]
+                same = words[place + np.repeat(mine, n)] == self.words[place + np.repeat(theirs, n)]
+                enough = np.flatnonzero(np.add.reduceat(same, begin[:-1], dtype=np.int64) >= least[some])
+                for k in enough.tolist():
+                    equal, start, end = _stretch(same[begin[k] : begin[k + 1]])
+                    w = some[k]
+                    t, i, lo = int(text[w]), int(item[w]), int(low[w])
+                    found = (equal, -(lo + start + int(shift[w])), -(lo + start), end - start)
+                    if equal >= least[w] and found > best.get((t, i), (0,)):
+                        best[t, i] = found
+        return [(*k, equal, n, -mine, -theirs) for k, (equal, mine, theirs, n) in sorted(best.items())]
 
 
 def parts(items: DataFrame) -> Iterator[Index]:
@@ -162,7 +189,7 @@ def _finder(spark: SparkSession, index: Index):
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, equal, words, doc_from, item_from: one row for each document and item that overlap, with the
-    overlap of most equal words. Null and empty texts and items overlap with nothing, nor do items under LEAST_WORDS words. Rows
+    overlap of most equal words, of equally long ones the first in the document. Null and empty texts and items overlap with nothing, nor do items under LEAST_WORDS words. Rows
     that repeat give a row each. Other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     kind = dict(items.dtypes)["item_id"]

@@ -12,6 +12,7 @@ classifier reads it as a whole and the words of each template that stands in it
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -201,7 +202,9 @@ def fit(plain: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
         for text in [lead.format(n) for n in names for lead in LEADS] + [n + "." for n in names] + notices * 4:
             texts.append(text), y.append(c)
     for text in [*NEUTRAL * 4, *[p for p in plain if not any(t <= _pairs(p) for t in whole)]]:
-        texts.append(" ".join(text.split()[:WINDOW])), y.append(len(classes) - 1)
+        own = text.split()
+        start = crc32(text.encode("utf-8", "replace")) % max(1, len(own) - WINDOW + 1)  # a window anywhere, as scans read them
+        texts.append(" ".join(own[start : start + WINDOW])), y.append(len(classes) - 1)
     y = np.array(y)
     h, at = grams(*(wo := tokens.words(texts)))
     line = np.searchsorted(wo[1], at, "right") - 1
@@ -237,16 +240,17 @@ def fit(plain: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e
 
 
 def train(docs: DataFrame) -> Classifier:
-    """docs: doc_id, text. Paragraphs of up to MOST_DOCUMENTS documents, chosen by hash, teach what no licence is."""
+    """docs: doc_id, text. Up to MOST_PARAGRAPHS different paragraphs of up to MOST_DOCUMENTS documents, all chosen by
+    hash, teach what no licence is. Without documents, the templates and talk of licences alone teach."""
     ids = docs.select(F.col("doc_id").alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(MOST_DOCUMENTS)
     rows = docs.select(F.col("doc_id").alias("id"), "text").where(F.length("text") <= 20_000).join(F.broadcast(ids), "id")
-    texts = sorted(r[0] for r in rows.select("text").collect())
-    return fit([p for t in texts for p in t.split("\n") if p.strip()][:MOST_PARAGRAPHS])
+    every = {p for (t,) in rows.select("text").collect() for p in t.split("\n") if p.strip()}
+    return fit(sorted(every, key=lambda p: (crc32(p.encode("utf-8", "replace")), p))[:MOST_PARAGRAPHS])
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, paragraph, licence, probability, similarity, notice: one row for each licence of each paragraph. Null
-    and empty texts have none. Rows that repeat give a row each. Other columns are ignored, whatever their names."""
+    and empty texts have none, an empty table gives an empty table, texts of any length are read whole. Rows that repeat give a row each. Other columns are ignored, whatever their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     held = docs.sparkSession.sparkContext.broadcast(model)
 

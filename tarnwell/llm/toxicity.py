@@ -136,7 +136,11 @@ def sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out) -> Model:
-    """docs: doc_id, text; labels: doc_id, y. held_out: an id column -> a boolean column; those rows train nothing."""
+    """docs: doc_id, text; labels: doc_id, y. held_out: an id column -> a boolean column; those rows train nothing.
+
+    Of labels of one id that disagree the largest counts, and rows that repeat an id teach each. Without positives or
+    without documents, every text scores the prior. Null ids and labels teach nothing; texts over LONGEST characters are
+    scored whole but teach nothing."""
     known = labels.select(F.col("doc_id").alias("id"), "y").where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     known = known.where(~held_out(F.col("id")))
     prior = known.agg(F.avg("y")).first()[0] or 0.0

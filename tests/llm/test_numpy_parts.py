@@ -1,5 +1,12 @@
 """The operators' parts that run without Spark."""
 
+import pickle
+import random
+import time
+import tracemalloc
+from itertools import combinations
+from math import ceil
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -141,6 +148,28 @@ def test_passages_with_replaced_words_are_found_as_by_brute_force():
     assert all(got[k, k] == equal for k, equal in enumerate((48, 32, 16)))
 
 
+def test_short_items_are_found_wherever_a_word_in_five_was_replaced():
+    for n in range(4, 16):
+        item = [f"w{i}" for i in range(n)]
+        index = decontam.Index.of([1], [" ".join(item)])
+        texts = []
+        for out in combinations(range(n), n - min(13, ceil(0.8 * n))):
+            texts.append(" ".join(["q", *("zz" if k in out else w for k, w in enumerate(item)), "q"]))
+        assert {t for t, *_ in index.overlaps(texts)} == set(range(len(texts)))
+        none = ["zz" if k % 3 == 1 else w for k, w in enumerate(item)]
+        assert n < 5 or index.overlaps([" ".join(none)]) == []
+
+
+def test_equal_words_in_long_texts_and_items_take_bounded_memory():
+    index = decontam.Index.of(["a", "b"], [" ".join(["go"] * 400), " ".join(["go", "on"] * 100)])
+    texts = [" ".join(["go"] * 4000), " ".join(["go", "on"] * 2000), "go " * 12]
+    tracemalloc.start()
+    got = {(t, i): equal for t, i, equal, *_ in index.overlaps(texts)}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(0, 0): 400, (1, 1): 200} and most < 160 << 20
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href=/a>A</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Title &amp; more</h1><p>First <b>bold</b> part&hellip;<br>next<p>Second&nbsp; one &lt;x&gt;</p><div class="ad-slot">Buy</div>
@@ -188,6 +217,60 @@ def test_what_only_copies_of_a_page_share_is_not_template(views):
     assert "All stories" not in html.extract(html.parse(ending[0]), slot)
 
 
+def host_of(pages):
+    slot = html.Slot(html.Folded([html.parse(pages[0])]))
+    for p in pages[1:]:
+        slot = html.merge(slot, html.Slot(html.Folded([html.parse(p)])))
+    return slot
+
+
+def plain_page(r, k):
+    """A page without telling tags or names, and its main text."""
+    say = lambda n: " ".join(f"{r.choice('abcdef')}{r.randrange(9999)}" for _ in range(n))
+    title, paragraphs = say(6), [say(30) for _ in range(r.randrange(2, 9))]
+    body = "".join(f"<div>{p}</div>" if k % 3 == 0 else f"<p>{p}</p>" for p in paragraphs)
+    advert = r.choice(["Buy now while it lasts", "Cheaper than ever"])
+    page = (
+        f"<html><body><div class=k1><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></div><div class=k2><h1>{title}</h1><div class='k3 p-{k}' id=n{k}>{body}"
+        f"<blockquote>All our stories are free to read</blockquote></div></div><div class=k4><span>{advert}</span></div><div class=k5>Imprint of the house</div></body></html>"
+    )
+    return page, "\n".join([title, *paragraphs])
+
+
+def test_the_template_names_the_region_of_pages_without_telling_tags():
+    r = random.Random(5)
+    pages = [plain_page(r, k) for k in range(14)]
+    slot = host_of([p for p, _ in pages])
+    for p, text in pages:
+        blocks, by_template = html.read(html.parse(p), slot)
+        assert by_template and "\n".join(blocks) == text
+        assert html.extract(html.parse(p)) != text  # tags and names alone don't know
+    few = host_of([p for p, _ in pages[:2]])
+    assert not html.read(html.parse(pages[0][0]), few)[1]
+
+
+def test_templates_do_not_grow_with_the_number_of_pages():
+    def size(n, kind):
+        return len(pickle.dumps(host_of([kind(k) for k in range(n)])))
+
+    ids = lambda k: f'<body><article id="post-{k}" class="post-{k} x"><p>text {k}</p></article></body>'
+    classes = lambda k: f'<body><div class="{"abcdefghij"[k // 10 % 10]}{"klmnopqrst"[k % 10]}{"uvwxyz"[k // 100]}"><p>text {k}</p></div></body>'
+    assert size(400, ids) == size(50, ids)
+    assert size(400, classes) <= size(60, classes)
+    alternating = [html.Slot(html.Folded([html.parse("<h2>a</h2><p>b</p>" * n)])) for n in (1600, 1580)]
+    began = time.perf_counter()
+    html.merge(*alternating)
+    assert time.perf_counter() - began < 0.2
+
+
+def test_an_article_s_own_sections_stay():
+    page = (
+        "<article><h1>t</h1><section class='related-work'><h2>Related work</h2><p>some</p></section><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>"
+        "<fieldset><legend>L</legend>inside</fieldset><section class=legal>Law</section><div class=related><a href=x>More posts like this</a></div><div class=comments>bad</div></article>"
+    )
+    assert html.extract(html.parse(page)).split("\n") == ["t", "Related work", "some", "Let x=2 be", "L", "inside", "Law"]
+
+
 def test_simple_tree_matching_counts_the_largest_matching():
     tree = lambda s: html.Folded([html.parse(s)])
     assert html.score(tree("<div><p>a</p><ul><li>x</ul></div>"), tree("<div><h1>t</h1><p>b</p><ul><li>y<li>z</ul></div>")) == 5
@@ -220,6 +303,37 @@ def test_the_network_reads_whole_texts_and_scores_parts_alike(monkeypatch):
     assert len(quality.score_texts(net, [])) == 0
 
 
+def plain_score(net, text):
+    """The network by loops: every window of a text's own chunks, padded with zeros."""
+    n = (len(text) + quality.WIDTH + quality.CHUNK - 1) // quality.CHUNK * quality.CHUNK
+    b = text + bytes(n - len(text) + quality.WIDTH)
+    again = [float(b[i] > 0 and any(i - k >= 0 and b[i : i + 4] == b[i - k : i - k + 4] for k in quality.LAGS)) for i in range(n + quality.WIDTH - 4)] + [0.0] * 4
+    tops = []
+    for at in range(0, n, quality.CHUNK):
+        best = np.full(quality.FILTERS, -np.inf)
+        for w in range(at, at + quality.CHUNK, quality.STRIDE):
+            if w + quality.WIDTH <= n:
+                x = np.concatenate([[*net.embed[b[i]], again[i]] for i in range(w, w + quality.WIDTH)])
+                best = np.maximum(best, x @ net.filters.astype(float))
+        tops.append(np.maximum(best + net.shift, 0))
+    tops = np.array(tops)
+    return 1 / (1 + np.exp(-(np.concatenate([tops.max(0), tops.mean(0)]) @ net.out + net.bias)))
+
+
+def test_a_text_s_score_comes_from_the_text_alone():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(wordy(rng, int(n))).encode() for n in rng.integers(0, 250, 60)] + [b"", b"abcdabcd", b"aaaa" * 70, b"x" * 248, b"y" * 256]
+    net = quality.Net.fresh(4)
+    alone = np.array([quality.score_texts(net, [t])[0] for t in texts])
+    assert alone[-8:] == pytest.approx([plain_score(net, t) for t in texts[-8:]], abs=1e-5)
+    for size in (2, 7, len(texts)):
+        order = rng.permutation(len(texts))
+        got = np.empty(len(texts))
+        for at in range(0, len(order), size):
+            got[order[at : at + size]] = quality.score_texts(net, [texts[i] for i in order[at : at + size]])
+        assert (got == alone).all()  # to the bit
+
+
 def test_licences_are_named_and_confirmed_and_other_talk_is_not():
     model = licences.fit(["The cat sat on the mat.", "Nothing to see here, move along."] * 10)
     notices = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0."]

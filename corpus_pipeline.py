@@ -13,43 +13,57 @@ from tarnwell.llm import decontam, jaccard, mixing, packing, quality
 from tarnwell.llm.common import light, small, stage, table
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """docs as one struct, so that no column of theirs can clash, with what rows are known by."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (id, hash). Rows with one of the two only stay, and null ids are an id."""
+    out = _own(docs).join(small(stage(gone)), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_anti")
+    return out.select("row.*")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go. It is fitted on labelled documents of the whole table."""
+    """Documents that the network rejects go. It is fitted on labelled documents of the whole table; without labels all
+    documents score alike, and 0.5 stays. Null and empty texts are scored like others. Rows that repeat stay or go alike;
+    an empty table gives an empty table."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     net = quality.train(table(spark, sf_dir, "documents"), labels, quality.held_out)
     return docs.where(quality.probability(spark, net)("text") >= 0.5)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, that with the smallest id."""
+    """One document of each class of near copies stays, that with the smallest id; of rows that repeat an id and its text
+    one. Texts without words, null ones too, are alone and stay. An empty table gives an empty table."""
     light(spark)
-    classes = stage(jaccard.jaccard_classes(docs).select(F.col("doc_id").alias("_id"), "xx", "kept"))
-    rows = classes.groupBy("_id", "xx").agg(F.max("kept").alias("kept"), F.count("*").alias("many"))
-    gone = small(stage(rows.where("NOT kept").select("_id", F.col("xx").alias("_hash"))))
-    own = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
-    if not rows.where("kept AND many > 1").isEmpty():  # rows that repeat an id and its text
-        out = out.dropDuplicates(["doc_id", "_text"])
-    return out.select(*docs.columns)
+    classes = stage(jaccard.jaccard_classes(docs).select(F.col("doc_id").alias("id"), F.col("xx").alias("hash"), "kept"))
+    rows = classes.groupBy("id", "hash").agg(F.max("kept").alias("kept"), F.count("*").alias("many"))
+    gone = rows.where("NOT kept").select("id", "hash")
+    if rows.where("kept AND many > 1").isEmpty():
+        return _without(docs, gone)
+    once = _own(docs).dropDuplicates(["own_id", "own_hash"]).select("row.*")  # rows that repeat an id and its text
+    return _without(once, gone)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go, by id and text: others with their id or without one stay."""
-    own = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = own.select(F.struct("doc_id", "_text").alias("_key"), "text")
-    found = decontam.overlaps(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
-    hits = small(stage(found.select(F.col("_key.doc_id").alias("_id"), F.col("_key._text").alias("_hash")).distinct()))
-    out = own.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left_anti")
-    return out.select(*docs.columns)
+    """Documents that overlap with a benchmark item go, by id and text: others with their id or without one stay. Null
+    and empty texts overlap with nothing. Rows that repeat go alike; an empty table gives an empty table."""
+    keyed = _own(docs).select(F.struct(F.col("own_id").alias("id"), F.col("own_hash").alias("hash")).alias("key"), F.col("row.text").alias("text"))
+    found = decontam.overlaps(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    return _without(docs, found.select("key.id", "key.hash").distinct())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it. Null and empty texts have no words and are not taken; a null
+    source is a source; an empty table gives an empty table."""
     light(spark)
     return mixing.mixed_rows(docs)
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of packed token ids. Null and empty texts have no tokens and are in no row; rows that repeat are packed each;
+    an empty table gives an empty table."""
     light(spark)
     return packing.pack(docs)
 

@@ -7,13 +7,13 @@ with all sets in one bucket and splits it recursively: a bucket's path picks eac
 threshold survives a level like a branching process of mean threshold / LAMBDA; runs repeat until a pair at the
 threshold meets in a deepest bucket with the target recall. Buckets that are small enough stop splitting early.
 
-Before a bucket is split, each member's sketch is compared with that of the bucket's least member. A member has few
-different least members in its buckets, so this takes a few rows a member however large the group is, and joins nearly
-all of a group of near copies in one component. A bucket whose members all are in one component has nothing left to
-find and ends there. The others go on: small ones are compared by brute force on the sketches, larger ones that no
-further splitting parts in blocks, each pair of blocks a group of its own. What meets makes candidate clusters; within a
-cluster, blocks of whole shingle sets give the exact similarities. No pair becomes a row: a block gives counts of links
-and one star for each class.
+The first FIRST runs make a first join cheap: each member's sketch is compared with that of its bucket's least member. A
+member has few different least members in its buckets, so this takes a few rows a member however large a group is, and
+joins nearly all of a group of near copies in one component. Of all runs' buckets, those whose members are all in one
+component have nothing left to find and end there. The others go on: small ones are compared by brute force on the
+sketches, large ones are split on, and what no further splitting parts is compared in blocks, each pair of blocks a group
+of its own. What meets makes candidate clusters; within a cluster, blocks of whole shingle sets give the exact
+similarities. No pair becomes a row: a block gives counts of links and one star for each class.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from .components import components
 WORDS, THRESHOLD = 5, 0.8
 COORDINATES, LAMBDA = 64, 0.8
 #: Levels that every set is split, and at most; the sets of a bucket that stops early; the recall at the deepest level.
-START, DEEPEST, SMALL, RECALL = 4, 6, 200, 0.99
+START, DEEPEST, SMALL, RECALL = 4, 6, 1024, 0.99
+#: Runs of the first join.
+FIRST = 3
 #: Share of equal coordinates from which a pair is a candidate: four standard deviations under the threshold.
 CANDIDATE = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
 #: Sketches of a block.
@@ -84,6 +86,7 @@ def _sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.unique(shingles[at[i] : at[i + 1]])
 
 
+_MEMBERS = "bucket long, rep long, comp long"
 _DESCRIBED = StructType([StructField("n", LongType()), StructField("f1", LongType()), StructField("f2", LongType()), StructField("sig", BinaryType())])
 
 
@@ -103,16 +106,21 @@ def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES)
 
 
-def _first_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    roots = tokens.mix(np.arange(1, RUNS + 1, dtype=np.uint64))
-    for whole in frames:
-        for at in range(0, len(whole), 1000):
-            frame = whole.iloc[at : at + 1000]
-            sig = _matrix(frame["sig"])
-            row, path = np.repeat(np.arange(len(sig)), RUNS), np.tile(roots, len(sig))
-            for _ in range(START):
-                row, path = children(sig, row, path)
-            yield pd.DataFrame({"bucket": path.view(np.int64), "rep": frame["rep"].to_numpy()[row]}).drop_duplicates()
+def _buckets(sketches: DataFrame, runs: range) -> DataFrame:
+    """Staged bucket, rep, comp of the runs' buckets at level START. sketches: rep, sig, comp."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roots = tokens.mix(np.arange(1 + runs.start, 1 + runs.stop, dtype=np.uint64))
+        for whole in frames:
+            for at in range(0, len(whole), 1000):
+                frame = whole.iloc[at : at + 1000]
+                sig = _matrix(frame["sig"])
+                row, path = np.repeat(np.arange(len(sig)), len(roots)), np.tile(roots, len(sig))
+                for _ in range(START):
+                    row, path = children(sig, row, path)
+                yield pd.DataFrame({"bucket": path.view(np.int64), "rep": frame["rep"].to_numpy()[row], "comp": frame["comp"].to_numpy()[row]}).drop_duplicates()
+
+    return stage(sketches.mapInPandas(cut, _MEMBERS))
 
 
 def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,43 +260,41 @@ def _with_sketches(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return sketches.select("rep", "sig").join(small(members), "rep")
 
 
-def _centred(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Staged rep, center, buckets, near: each member's pairs with the least members of its shared buckets, and of those
-    buckets the ones that have a third member. Buckets meet as partial aggregates, so a bucket that very many sets share
-    is counted in parts, and their members come back by a join that splits."""
-    shared = stage(members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("rep").alias("center"), F.max("rep").alias("last")).where("many > 1"))
-    two = shared.where("many = 2").select(F.col("last").alias("rep"), "center", F.lit(None).cast("long").alias("bucket"))
-    large = small(stage(shared.where("many > 2").select("bucket", "center")))
-    more = members.join(large, "bucket").where("rep <> center").select("rep", "center", "bucket")
-    pairs = stage(two.unionAll(more).groupBy("rep", "center").agg(F.collect_list("bucket").alias("buckets")))
+def _mixed(members: DataFrame) -> DataFrame:
+    """Staged bucket, many, center, last (the least and the greatest member) of the buckets with more than one component.
+    Partial aggregates meet, so a bucket that very many sets share is counted in parts."""
+    return stage(
+        members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("rep").alias("center"), F.max("rep").alias("last"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+        .where("x <> y").select("bucket", "many", "center", "last")
+    )
+
+
+def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Staged a, b of the pairs (rep, center) whose sketches make a candidate."""
     ours, theirs = sketches.select("rep", F.col("sig").alias("one")), sketches.select(F.col("rep").alias("center"), F.col("sig").alias("other"))
-    out = stage(pairs.join(ours, "rep").join(theirs, "center").select("rep", "center", "buckets", _alike("one", "other").alias("near")))
-    unstage(shared, pairs)
-    return out
+    return stage(stage(pairs).join(ours, "rep").join(theirs, "center").where(_alike("one", "other")).select(F.col("rep").alias("a"), F.col("center").alias("b")))
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Staged bucket, rep, comp, many of the buckets (members: bucket, rep, comp; staged) with more than one component."""
-    mixed = stage(members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket", "many"))
-    out = stage(members.join(small(mixed), "bucket"))
-    unstage(mixed)
-    return out
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what is known (node, root) and of more links a, b."""
+    return known if links.isEmpty() else components(links.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def _candidate_clusters(sketches: DataFrame) -> DataFrame:
     """Staged node, root: candidates' components."""
-    members = stage(sketches.select("rep", "sig").mapInPandas(_first_buckets, "bucket long, rep long"))
-    centred = _centred(members, sketches)
-    known = components(centred.where("near").select(F.col("rep").alias("a"), F.col("center").alias("b")))
-    mine, theirs = known.select(F.col("node").alias("rep"), F.col("root").alias("x")), known.select(F.col("node").alias("center"), F.col("root").alias("y"))
-    open_ = centred.where("NOT near AND size(buckets) > 0").join(small(mine), "rep", "left").join(small(theirs), "center", "left")
-    open_ = stage(open_.where(F.coalesce("x", "rep") != F.coalesce("y", "center")).select(F.explode("buckets").alias("bucket")).distinct())
-    if open_.isEmpty():
-        unstage(members, centred, open_)
-        return known
-    met = stage(members.join(small(open_), "bucket"))
-    unstage(members, centred, open_)
-    now = _apart(stage(met.join(small(known.select(F.col("node").alias("rep"), "root")), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))))
+    two = lambda mixed: mixed.where("many = 2").select(F.col("last").alias("rep"), "center")
+    members = _buckets(sketches.select("rep", "sig", F.col("rep").alias("comp")), range(FIRST))
+    mixed = _mixed(members)
+    near = members.select("bucket", "rep").join(small(stage(mixed.where("many > 2").select("bucket", "center"))), "bucket").where("rep <> center").select("rep", "center")
+    known = components(_alike_pairs(two(mixed).unionAll(near).distinct(), sketches))
+    unstage(members, mixed)
+
+    placed = sketches.select("rep", "sig").join(small(known.select(F.col("node").alias("rep"), "root")), "rep", "left").select("rep", "sig", F.coalesce("root", "rep").alias("comp"))
+    members = _buckets(placed, range(RUNS))
+    mixed = _mixed(members)
+    pairs = _alike_pairs(two(mixed).distinct(), sketches)
+    now = stage(members.join(small(stage(mixed.where("many > 2").select("bucket", "many"))), "bucket"))
+    unstage(members, mixed)
     leaves = None
     for depth in range(START, DEEPEST + 1):
         whole = (now if depth == DEEPEST else now.where(F.col("many") <= SMALL)).withColumn("level", F.lit(depth))
@@ -296,14 +302,16 @@ def _candidate_clusters(sketches: DataFrame) -> DataFrame:
         large = now.where(F.col("many") > SMALL)
         if depth == DEEPEST or large.isEmpty():
             break
-        wide = _with_sketches(stage(large.select("bucket", "rep", "comp")), sketches)
-        now = _apart(stage(wide.mapInPandas(_split, "bucket long, rep long, comp long")))
+        split = stage(_with_sketches(stage(large.select("bucket", "rep", "comp")), sketches).mapInPandas(_split, _MEMBERS))
+        now = stage(split.join(small(_mixed(split).select("bucket", "many")), "bucket"))
     sizes = leaves.groupBy("level", "bucket", "many").agg(F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
     chosen = stage(sizes.groupBy("many", "x1", "x2").agg(F.min(F.struct("level", "bucket")).alias("one")).select("one.level", "one.bucket"))
+    if chosen.isEmpty():
+        return _joined(known, pairs)
     in_them = _with_sketches(stage(leaves.join(small(chosen), ["level", "bucket"])), sketches)
     blocked = _blocked(in_them, F.ceil(F.col("many") / BLOCK_SKETCHES))
     found = stage(grouped(blocked.select("level", "bucket", "p", "q", "block", "rep", "comp", "sig"), ["level", "bucket", "p", "q"], _near, "a long, b long").distinct())
-    return known if found.isEmpty() else components(found.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return _joined(known, stage(pairs.unionAll(found)))
 
 
 def _exact_links(rows: DataFrame, sketches: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:

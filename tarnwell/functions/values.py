@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import nfkc
+
 #: Text that means missing, and spellings of booleans.
 NULL_TOKENS = ("", "-", "\u2014", "\u2013", "n/a", "na", "none", "null", "nil", "nan", "nat", "<na>", "<null>", "<none>")
 TRUE_TOKENS = ("true", "t", "y", "yes", "1", "on", "enabled", "active")
@@ -118,33 +120,45 @@ def fraction_to_percent(x: Column) -> Column:
 
 
 def text_normalize(c: Column, strip: bool = True, lower: bool = False) -> Column:
-    """Typographic quotes, dashes and spaces to plain ones, control characters off, white space to single spaces; an
-    empty text is null. Compatibility forms of letters are composed only where a text has any (see nfkc)."""
-    s = F.translate(_text(c), FANCY, PLAIN)
+    """Compatibility forms composed, typographic quotes, dashes and spaces to plain ones, control characters off, white
+    space to single spaces; an empty text is null."""
+    s = F.translate(nfkc(c), FANCY, PLAIN)
     s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), r"[\x00-\x1f\x7f]", "")
     s = F.trim(s) if strip else s
     s = F.lower(s) if lower else s
     return F.nullif(s, F.lit(""))
 
 
-def null_tokens(c: Column, tokens: tuple = (), ignore_case: bool = True) -> Column:
-    """Null where the value means missing; other values keep their case, trimmed."""
+def null_tokens(c: Column, tokens: tuple = (), ignore_case: bool = True, tidy: bool = True) -> Column:
+    """Null where the value means missing; other values keep their case, tidied first or as they are."""
     known = sorted({*NULL_TOKENS, *(t.lower() if ignore_case else t for t in tokens)})
-    return let(text_normalize(c), lambda s: F.when(~(F.lower(s) if ignore_case else s).isin(known), s))
+    return let(text_normalize(c) if tidy else _text(c), lambda s: F.when(~(F.lower(s) if ignore_case else s).isin(known), s))
 
 
-def coerce_bool(c: Column, true: tuple = TRUE_TOKENS, false: tuple = FALSE_TOKENS, truthy: bool = False) -> Column:
-    """Spellings of booleans, edges that are no words ignored; 0 and 1, or with truthy any number, too. A spelling that
-    stands for both is null."""
+def coerce_bool(c: Column, true: tuple = TRUE_TOKENS, false: tuple = FALSE_TOKENS, truthy: bool = False, true_patterns: tuple = (), false_patterns: tuple = (), ignore_case: bool = True, strip: bool = True, edges: bool = True, drop: bool = True) -> Column:
+    """Spellings of booleans, or what whole patterns match, edges that are no words ignored; 0 and 1, or with truthy any
+    number, too. What stands for both is null. Without drop, what stands for neither stays, and the column is text."""
+    either = lambda w, words, patterns: F.coalesce(w.isin(*words), F.lit(False)) | _matches_any(w, patterns, ignore_case)
 
     def read(s: Column) -> Column:
         x = number(s)
-        word = F.when(x.isNotNull(), s).otherwise(F.regexp_replace(s, r"(?U)^\W+|\W+$", ""))
+        word = F.when(x.isNotNull(), s).otherwise(F.regexp_replace(s, r"(?U)^\W+|\W+$", "")) if edges else s
         by_number = F.when(x != 0, F.lit(True)).when(x == 0, F.lit(False)) if truthy else F.when(x == 1, F.lit(True)).when(x == 0, F.lit(False))
-        both = lambda w: F.when(w.isin(*true) & w.isin(*false), F.lit(None).cast("boolean")).when(w.isin(*true), F.lit(True)).when(w.isin(*false), F.lit(False)).otherwise(by_number)
+
+        def both(w: Column) -> Column:
+            yes, no = either(w, true, true_patterns), either(w, false, false_patterns)
+            return F.when(w.isNotNull(), F.when(yes & no, F.lit(None).cast("boolean")).when(yes, F.lit(True)).when(no, F.lit(False)).otherwise(by_number))
+
         return let(word, both)
 
-    return let(F.lower(F.trim(_text(c))), read)
+    text = F.trim(_text(c)) if strip else _text(c)
+    made = let(F.lower(text) if ignore_case else text, read)
+    return made if drop else F.coalesce(made.cast("string"), _text(c))
+
+
+def _matches_any(w: Column, patterns: tuple, ignore_case: bool) -> Column:
+    whole = [java_pattern(p, "I" if ignore_case else "") for p in patterns]
+    return F.coalesce(*[F.when(w.rlike(f"^(?:{p})$"), F.lit(True)) for p in whole], F.lit(False))
 
 
 def java_replacement(text: str) -> str:
@@ -205,7 +219,7 @@ def keep_alnum(c: Column, allowed: str = "", collapse: bool = True, case: str |
     import re
 
     extra = re.escape(allowed).replace("&", r"\&").replace("[", r"\[")
-    s = F.regexp_replace(_text(c), rf"[^\p{{L}}\p{{N}}{extra}]", "")
+    s = F.regexp_replace(nfkc(c), rf"[^\p{{L}}\p{{N}}{extra}]", "")
     if allowed and collapse:
         for ch in allowed:
             s = F.regexp_replace(s, f"{re.escape(ch)}+", ch.replace("\\", "\\\\").replace("$", "\\$"))
@@ -260,10 +274,14 @@ def epoch_unit(size: Column) -> Column:
     return F.when(size > 1e16, "ns").when(size > 1e14, "us").when(size > 1e11, "ms").otherwise("s")
 
 
-def parse_robust(c: Column, dayfirst: bool = False) -> Column:
-    """General formats, then epochs by their number of digits, then a date found in the text."""
+def parse_robust(c: Column, dayfirst: bool = False, yearfirst: bool = False, utc: bool = False) -> Column:
+    """General formats, then epochs by their number of digits, then a date found in the text. dayfirst and yearfirst say
+    how 1/2/03 is read; with utc an offset at the end counts, and the time is that of UTC; without, it is left aside."""
+    years = ("yy/M/d", "yy-M-d") if yearfirst else ()
     days = ("d/M/yyyy HH:mm:ss", "d/M/yyyy", "M/d/yyyy HH:mm:ss", "M/d/yyyy") if dayfirst else ("M/d/yyyy HH:mm:ss", "M/d/yyyy", "d/M/yyyy HH:mm:ss", "d/M/yyyy")
-    formats = (*ROBUST_FORMATS, *days)
+    formats = (*ROBUST_FORMATS, *years, *days)
+    offset = F.regexp_extract(F.trim(_text(c)), r"\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?([+-]\d{2}):?(\d{2})$", 1)
+    minutes = F.regexp_extract(F.trim(_text(c)), r"\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?([+-]\d{2}):?(\d{2})$", 2)
     s = F.regexp_replace(F.trim(_text(c)), r"(?<=\d),?(?=\s+\d{4}$)", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\.\d{1,9}(?=$|Z|[+-])", ""), r"(Z|[+-]\d{2}:?\d{2})$", "")
     digits = F.regexp_extract(F.trim(_text(c)), r"^[+-]?(\d{9,19})$", 1)
@@ -271,7 +289,11 @@ def parse_robust(c: Column, dayfirst: bool = False) -> Column:
     unit = F.when(n >= 18, "ns").when(n >= 15, "us").when(n >= 12, "ms").when(n >= 9, "s")
     inside = F.regexp_replace(extract_datetime(c), r",", "")
     tidy = F.regexp_replace(F.regexp_replace(inside, r"\.\d{1,9}", ""), r"(Z|(?<=:\d{2})[+-]\d{2}:?\d{2})$", "")
-    return F.coalesce(parse_datetime(s, formats), epoch(digits, unit), parse_datetime(tidy, formats))
+    found = F.coalesce(parse_datetime(s, formats), epoch(digits, unit), parse_datetime(tidy, formats))
+    if not utc:
+        return found
+    ahead = F.when(offset != "", offset.try_cast("int") * 60 + F.when(offset.startswith("-"), -1).otherwise(1) * minutes.try_cast("int"))
+    return F.when(ahead.isNotNull(), _ntz(F.timestamp_micros(F.unix_micros(found.cast("timestamp")) - ahead.cast("long") * 60_000_000))).otherwise(found)
 
 
 _UNITS = {"d": 86_400_000_000, "h": 3_600_000_000, "min": 60_000_000, "t": 60_000_000, "s": 1_000_000, "ms": 1000, "l": 1000, "us": 1, "w": 604_800_000_000}

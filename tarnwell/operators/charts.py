@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as order
 from .frames import with_facts
 
-def _all():
-    """A window over a component's few rows."""
-    return Window.partitionBy(F.lit(0))
-
 
 def _check(df: DataFrame, *cols: str) -> None:
     if missing := [c for c in cols if c not in df.columns]:
@@ -49,18 +46,20 @@ def xy_heatmap(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
 
 
 def ecdf(df: DataFrame, col: str, group: str | None = None) -> DataFrame:
-    """Distinct values and the share of rows up to each: counts first, so a window sees distinct values only."""
+    """Distinct values and the share of rows up to each: counts first, so that order is made of distinct values only."""
     by = [group] if group else []
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by or [F.lit(0)])
-    return counts.select(*by, "value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("share"))
+    if group:
+        w = Window.partitionBy(group)
+        return counts.select(group, "value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("share"))
+    return with_facts(order.running(counts, ["value"], F.col("n"), "to"), F.sum("n").alias("all")).select("value", (F.col("to") / F.col("all")).alias("share"))
 
 
 def box(df: DataFrame, col: str, group: str) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, and the number of outliers."""
     x = F.col(col).cast("double")
-    q = df.dropna(subset=[col, group]).groupBy(group).agg(*[F.percentile(x, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    met = df.dropna(subset=[col, group]).join(F.broadcast(q), group)
+    q = order.grouped_quantiles(df, group, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    met = df.dropna(subset=[col, group]).join(q, group)
     inside = x.between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return met.groupBy(F.col(group).alias("grp"), "q1", "median", "q3").agg(F.min(F.when(inside, x)).alias("low"), F.max(F.when(inside, x)).alias("high"), F.count(F.when(~inside, 1)).alias("outliers"))
 
@@ -97,15 +96,16 @@ def bump(df: DataFrame, time: Column, entity: str, metric: str, most: int = 10)
 def top_and_other(df: DataFrame, cat: str, metric: str, most: int = 6) -> DataFrame:
     """pie, donut: the largest and, if there are more than most, the rest as Other."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    ranked = sums.withColumn("i", F.row_number().over(Window.orderBy(F.desc("value"), "cat"))).withColumn("n", F.count("*").over(_all()))
-    name = F.when((F.col("n") > most) & (F.col("i") >= most), F.lit("Other")).otherwise(F.col("cat"))
-    return ranked.groupBy(name.alias("cat")).agg(F.sum("value").alias("value"))
+    named = sums.orderBy(F.desc("value"), "cat").limit(most - 1).select(F.col("cat").alias("c"), F.lit(True).alias("named"))
+    met = with_facts(sums, F.count("*").alias("n")).join(F.broadcast(named), F.col("cat").eqNullSafe(F.col("c")), "left")
+    name = F.when((F.col("n") > most) & F.col("named").isNull(), F.lit("Other")).otherwise(F.col("cat"))
+    return met.groupBy(name.alias("cat")).agg(F.sum("value").alias("value"))
 
 
 def diverging(df: DataFrame, cat: str, metric: str) -> DataFrame:
     """Means less their mean."""
     means = df.groupBy(F.col(cat).alias("cat")).agg(F.avg(metric).alias("value"))
-    return means.withColumn("deviation", F.col("value") - F.avg("value").over(_all()))
+    return with_facts(means, F.avg("value").alias("m")).select("cat", "value", (F.col("value") - F.col("m")).alias("deviation"))
 
 
 def spine(df: DataFrame, cat: str, positive: Column) -> DataFrame:
@@ -116,7 +116,7 @@ def spine(df: DataFrame, cat: str, positive: Column) -> DataFrame:
 def waterfall(df: DataFrame, step: Column, metric: str) -> DataFrame:
     """Each step's change, and the level after it."""
     sums = df.groupBy(step.alias("step")).agg(F.sum(metric).alias("change"))
-    return sums.withColumn("level", F.sum("change").over(Window.orderBy("step")))
+    return order.running(sums, ["step"], F.col("change"), "level")
 
 
 def sankey(df: DataFrame, source: str, target: str, metric: str) -> DataFrame:
@@ -126,7 +126,7 @@ def sankey(df: DataFrame, source: str, target: str, metric: str) -> DataFrame:
 def nodes(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """node, index in order of names, degree."""
     ends = edges.select(F.explode(F.array(F.col(source).cast("string"), F.col(target).cast("string"))).alias("node"))
-    return ends.groupBy("node").agg(F.count("*").alias("degree")).withColumn("index", F.row_number().over(Window.orderBy("node")) - 1)
+    return order.numbered(ends.groupBy("node").agg(F.count("*").alias("degree")), ["node"], "index").withColumn("index", F.col("index") - 1)
 
 
 def first_last_pivot(df: DataFrame, time: Column, entity: str, metric: str) -> DataFrame:
@@ -138,14 +138,13 @@ def first_last_pivot(df: DataFrame, time: Column, entity: str, metric: str) -> D
 def pyramid(df: DataFrame, cat: Column, side: Column) -> DataFrame:
     """population pyramid: shares of all rows, one side negative."""
     n = df.groupBy(cat.alias("cat")).agg(F.count(F.when(side, 1)).alias("r"), F.count(F.when(~side, 1)).alias("l"))
-    total = F.sum(F.col("r") + F.col("l")).over(_all())
-    return n.select("cat", (100 * F.col("r") / total).alias("right"), (-100 * F.col("l") / total).alias("left"))
+    return with_facts(n, F.sum(F.col("r") + F.col("l")).alias("total")).select("cat", (100 * F.col("r") / F.col("total")).alias("right"), (-100 * F.col("l") / F.col("total")).alias("left"))
 
 
 def scaled(df: DataFrame, cat: str, metric: str) -> DataFrame:
     """proportional symbols: areas that go with the value."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    return sums.withColumn("size", F.sqrt(F.col("value") / F.max("value").over(_all())))
+    return with_facts(sums, F.max("value").alias("most")).select("cat", "value", F.sqrt(F.col("value") / F.col("most")).alias("size"))
 
 
 def top(df: DataFrame, cat: str, metric: str, most: int = 10) -> DataFrame:
@@ -156,7 +155,7 @@ def top(df: DataFrame, cat: str, metric: str, most: int = 10) -> DataFrame:
 def icon_grid(df: DataFrame, cat: str, metric: str, cells: int = 100) -> DataFrame:
     """gridplot, isotype: cells of a grid by share."""
     sums = df.groupBy(F.col(cat).alias("cat")).agg(F.sum(metric).alias("value"))
-    return sums.withColumn("cells", F.round(F.col("value") / F.sum("value").over(_all()) * cells).cast("long"))
+    return with_facts(sums, F.sum("value").alias("total")).select("cat", "value", F.round(F.col("value") / F.col("total") * cells).cast("long").alias("cells"))
 
 
 def venn(df: DataFrame, key: str, *sets: Column) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staged import stage
+from . import ordered
 from .frames import with_facts
 
 
@@ -30,10 +35,10 @@ def sqrt(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def zscore_winsorized(df: DataFrame, col: str, out: str, limits: tuple = (0.01, 0.99)) -> DataFrame:
     x = F.col(col).cast("double")
-    made = with_facts(df, F.percentile(x, F.lit(limits[0])).alias("_lo"), F.percentile(x, F.lit(limits[1])).alias("_hi"))
-    made = made.withColumn("_w", F.when(x < F.col("_lo"), F.col("_lo")).when(x > F.col("_hi"), F.col("_hi")).otherwise(x))
-    made = with_facts(made, F.avg("_w").alias("_m"), F.stddev_samp("_w").alias("_s"))
-    return made.withColumn(out, (F.col("_w") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_lo", "_hi", "_w", "_m", "_s")
+    lo, hi = ordered.quantiles(df, [(x, q) for q in limits])
+    held = F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x) if lo is not None else x
+    made = with_facts(df.withColumn("_w", held), F.avg("_w").alias("_m"), F.stddev_samp("_w").alias("_s"))
+    return made.withColumn(out, (F.col("_w") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_w", "_m", "_s")
 
 
 def binary(df: DataFrame, a: str, b: str, op: str, out: str) -> DataFrame:
@@ -67,20 +72,37 @@ def rolling(df: DataFrame, col: str, order_by: list[str], out: str, width: int,
 
 
 def ewm_mean(df: DataFrame, col: str, order_by: list[str], out: str, by: list[str], alpha: float = 0.2) -> DataFrame:
-    """y = (1 - alpha) y + alpha x within each group, from its first value on; one array a group."""
-    keep = [c for c in df.columns if c not in by]
-    ordered = F.array_sort(F.collect_list(F.struct(*order_by, F.col(col).cast("double").alias("_x"), F.struct(*keep).alias("_row"))))
-    step = lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) == 0, s["_x"]).otherwise((1 - alpha) * F.element_at(acc, -1) + alpha * s["_x"])))
-    made = df.groupBy(*by).agg(ordered.alias("_s")).withColumn("_y", F.aggregate("_s", F.array().cast("array<double>"), step))
-    zipped = F.explode(F.arrays_zip("_s", "_y")).alias("_z")
-    return made.select(*by, zipped).select(*by, "_z._s._row.*", F.col("_z._y").alias(out)).select(*df.columns, out)
+    """y = (1 - alpha) y + alpha x within each group, from its first value on; a missing value leaves y as it is. Rows
+    stream through sorted partitions, a batch at a time, with a group's last y handed on."""
+    kind = df.schema.add(out, "double")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, y = None, np.nan
+        for frame in frames:
+            if frame.empty:
+                continue
+            keys = list(zip(*(frame[c] for c in by), strict=True))
+            got = np.empty(len(frame))
+            for i, (key, x) in enumerate(zip(keys, frame[col].astype("float64").to_numpy(), strict=True)):
+                if key != last:
+                    last, y = key, np.nan
+                if x == x:
+                    y = x if y != y else (1 - alpha) * y + alpha * x
+                got[i] = y
+            yield frame.assign(**{out: got})
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order_by).mapInPandas(run, kind)
 
 
 def autocorrelation(df: DataFrame, col: str, order_by: list[str], lags: tuple = (7, 30)) -> DataFrame:
     """One row: ac_<lag> of each lag."""
-    w = Window.orderBy(*order_by)
-    made = df.select(F.col(col).alias("x"), *[F.lag(col, k).over(w).alias(f"l{k}") for k in lags])
-    return made.agg(*[F.corr("x", f"l{k}").alias(f"ac_{k}") for k in lags])
+    placed = stage(ordered.numbered(df, order_by, "_i").select("_i", F.col(col).cast("double").alias("x")))
+    made = None
+    for k in lags:  # each value with the one k places before it, met by place
+        behind = placed.select((F.col("_i") + k).alias("_i"), F.col("x").alias("y"))
+        one = placed.join(behind, "_i").agg(F.corr("x", "y").alias(f"ac_{k}"))
+        made = one if made is None else made.crossJoin(one)
+    return made
 
 
 def text_length(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -140,7 +162,7 @@ def ab_difference(df: DataFrame, value: str, treated) -> DataFrame:
 def difference_in_differences(df: DataFrame, value: str, treated, time: str) -> DataFrame:
     """One row: did, of the arms' means before and from the median time on."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    made = with_facts(df.where(F.col(value).isNotNull()).withColumn("_t", us), F.percentile("_t", F.lit(0.5)).alias("_cut"))
-    x, late = F.col(value).cast("double"), F.col("_t") >= F.col("_cut")
+    made = df.where(F.col(value).isNotNull()).withColumn("_t", us)
+    x, late = F.col(value).cast("double"), F.col("_t") >= F.lit(ordered.quantiles(made, [(F.col("_t"), 0.5)])[0])
     m = made.agg(*[F.avg(F.when(c, x)).alias(n) for n, c in (("t1", treated & late), ("t0", treated & ~late), ("c1", ~treated & late), ("c0", ~treated & ~late))])
     return m.select(((F.col("t1") - F.col("t0")) - (F.col("c1") - F.col("c0"))).alias("did"))

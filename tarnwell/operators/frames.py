@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import epoch, epoch_unit, fraction_to_percent, percent_to_fraction
+from . import ordered
 from .profile import distinct_counts
 
 
@@ -16,14 +17,19 @@ def with_facts(df: DataFrame, *facts: Column, by: list[str] | None = None) -> Da
     return df.crossJoin(F.broadcast(df.agg(*facts)))
 
 
-def impute(df: DataFrame, col: str, method: str, order_by: list[str] | None = None, by: list[str] | None = None, out: str | None = None, value=None, time_col: str | None = None) -> DataFrame:
+def impute(df: DataFrame, col: str, method: str, order_by: list[str] | None = None, by: list[str] | None = None, out: str | None = None, value=None, time_col: str | None = None, limit_direction: str = "both") -> DataFrame:
     """Missing values by mean, median, mode, constant, or in an explicit order by ffill, bfill or interpolate: linear in
-    the row's place, or in time_col, and held at the ends. mode's ties go to the smallest."""
+    the row's place, or in time_col, and held at the ends, or at the one that limit_direction (both, forward, backward)
+    says. mode's ties go to the smallest. An order of the whole frame is dealt out in slices."""
     out = out or col
     x = F.col(col)
-    if method in ("mean", "median"):
-        fact = F.avg(x) if method == "mean" else F.percentile(x, F.lit(0.5))
-        return with_facts(df, fact.alias("_fact"), by=by).withColumn(out, F.coalesce(x.cast("double"), "_fact")).drop("_fact")
+    if method == "median" and not by:
+        return df.withColumn(out, F.coalesce(x.cast("double"), F.lit(ordered.quantiles(df, [(x, 0.5)])[0])))
+    if method == "median":
+        facts = ordered.grouped_quantiles(df.withColumn("_by", F.xxhash64(*by)), "_by", col, {"_fact": 0.5})
+        return df.withColumn("_by", F.xxhash64(*by)).join(facts, "_by", "left").withColumn(out, F.coalesce(x.cast("double"), "_fact")).drop("_by", "_fact")
+    if method == "mean":
+        return with_facts(df, F.avg(x).alias("_fact"), by=by).withColumn(out, F.coalesce(x.cast("double"), "_fact")).drop("_fact")
     if method == "mode":
         counts = df.where(x.isNotNull()).groupBy(col).count()
         best = counts.agg(F.min(F.struct((-F.col("count")).alias("n"), F.col(col).alias("v")))["v"].alias("_fact"))
@@ -32,53 +38,80 @@ def impute(df: DataFrame, col: str, method: str, order_by: list[str] | None = No
         return df.withColumn(out, F.coalesce(x, F.lit(value)))
     if not order_by:
         raise ValueError(f"{method} needs an order")
-    w = Window.partitionBy(*(by or [])).orderBy(*order_by)
-    last, first = F.last(x, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(x, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    if method == "ffill":
-        return df.withColumn(out, last)
-    if method == "bfill":
-        return df.withColumn(out, first)
+    if method not in ("ffill", "bfill", "interpolate"):
+        raise ValueError(f"no such method: {method}")
+    at = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double") if time_col else None
     if method == "interpolate":
-        at = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double") if time_col else F.row_number().over(w).cast("double")
-        df = df.withColumn("_at", at)
+        if at is None and not by:
+            df = ordered.numbered(df, order_by, "_at").withColumn("_at", F.col("_at").cast("double"))
+        else:
+            df = df.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)).cast("double") if at is None else at)
         known = F.when(x.isNotNull(), F.struct(F.col("_at").alias("t"), x.cast("double").alias("v")))
-        df = df.withColumn("_a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-        line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_at") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0.0))
-        return df.withColumn(out, F.coalesce(x.cast("double"), line, "_a.v", "_b.v")).drop("_at", "_a", "_b")
-    raise ValueError(f"no such method: {method}")
-
-
-def outlier_facts(df: DataFrame, col: str, method: str = "zscore", limits: tuple = (0.01, 0.99)) -> DataFrame:
-    """df with what the masks need: _n, and _med, _mad, _mean, _sd, or _q1, _q3; _lo and _hi are the limits' quantiles."""
-    x = F.col(col).cast("double")
-    n = F.count(x).alias("_n")
-    ends = [F.percentile(x, F.lit(q)).alias(a) for q, a in zip(limits, ("_lo", "_hi"), strict=True)]
-    if method == "iqr":
-        return with_facts(df, n, F.percentile(x, F.lit(0.25)).alias("_q1"), F.percentile(x, F.lit(0.75)).alias("_q3"), *ends)
-    df = with_facts(df, n, F.percentile(x, F.lit(0.5)).alias("_med"), F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), *ends)
-    return with_facts(df, F.percentile(F.abs(x - F.col("_med")), F.lit(0.5)).alias("_mad"))
+    else:
+        known = x
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order_by)
+        df = df.withColumn("_k", known)
+        df = df.withColumn("_a", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_k")
+    else:
+        df = ordered.neighbours(df, order_by, known, "_a", "_b")
+    if method != "interpolate":
+        return df.withColumn(out, F.col("_a" if method == "ffill" else "_b")).drop("_a", "_b")
+    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_at") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0.0))
+    ends = {"both": ["_a.v", "_b.v"], "forward": ["_a.v"], "backward": ["_b.v"]}[limit_direction]  # held at the ends
+    inner = F.coalesce(x.cast("double"), line, *ends) if limit_direction == "both" else F.coalesce(x.cast("double"), F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), line), *ends)
+    return df.withColumn(out, inner).drop("_at", "_a", "_b")
+
+
+def outlier_bounds(df: DataFrame, cols: list[str], method: str = "zscore", z: float = 3.0, k: float = 1.5, limits: tuple | None = None) -> dict[str, dict]:
+    """What the masks need, of all columns together: odd under lo or over hi (None: none are), and ends, the quantiles of
+    limits. The distance is from the median over the median deviation, or where that is 0 from the mean over the standard
+    deviation, of 3 values at least; or Tukey's fences, of 4 at least."""
+    if not cols:
+        return {}
+    xs = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    row = df.agg(*[f(xs[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))]).first()
+    shares = (0.25, 0.75) if method == "iqr" else (0.5,)
+    got = ordered.quantiles(df, [(xs[c], q) for c in cols for q in (*shares, *(limits or ()))])
+    per = len(shares) + len(limits or ())
+    found = {c: got[i * per : (i + 1) * per] for i, c in enumerate(cols)}
+    mads = {} if method == "iqr" else dict(zip(cols, ordered.quantiles(df, [(F.abs(xs[c] - F.lit(found[c][0])), 0.5) for c in cols]), strict=True))
+    out = {}
+    for i, c in enumerate(cols):
+        n, lo, hi = row[f"n{i}"], None, None
+        if method == "iqr" and n >= 4 and found[c][1] > found[c][0]:
+            lo, hi = found[c][0] - k * (found[c][1] - found[c][0]), found[c][1] + k * (found[c][1] - found[c][0])
+        elif method != "iqr" and n >= 3:
+            middle, unit = (found[c][0], mads[c] / 0.6745) if mads[c] else (row[f"m{i}"], row[f"s{i}"])
+            lo, hi = (middle - z * unit, middle + z * unit) if unit else (None, None)
+        out[c] = {"lo": lo, "hi": hi, "ends": found[c][len(shares) :]}
+    return out
+
+
+def _odd(x: Column, bounds: dict) -> Column:
+    return F.lit(False) if bounds["lo"] is None else F.coalesce((x < bounds["lo"]) | (x > bounds["hi"]), F.lit(False))
+
+
+def outlier_counts(df: DataFrame, cols: list[str], method: str = "zscore", z: float = 3.0, k: float = 1.5) -> dict[str, int]:
+    """How many outliers each column has, all in one aggregate after their bounds are known."""
+    bounds = outlier_bounds(df, cols, method, z, k)
+    row = df.agg(*[F.count(F.when(_odd(F.col(f"`{c}`").cast("double"), bounds[c]), 1)).alias(f"n{i}") for i, c in enumerate(cols)]).first() if cols else {}
+    return {c: row[f"n{i}"] for i, c in enumerate(cols)}
 
 
 def outliers(df: DataFrame, col: str, method: str = "zscore", z: float = 3.0, k: float = 1.5, handle: str = "flag", limits: tuple = (0.01, 0.99), out: str | None = None) -> DataFrame:
-    """Outliers by the median's absolute deviation (where that is 0, the standard deviation), of 3 values at least, or
-    by Tukey's fences, of 4 at least. handle flag: a boolean column <col>_outlier; drop: null; winsorize: to the limits."""
-    x = F.col(col).cast("double")
-    made = outlier_facts(df, col, method, limits)
-    if method == "iqr":
-        iqr = F.col("_q3") - F.col("_q1")
-        odd = (F.col("_n") >= 4) & (iqr > 0) & ((x < F.col("_q1") - k * iqr) | (x > F.col("_q3") + k * iqr))
-    else:
-        by_mad = F.abs(0.6745 * (x - F.col("_med")) / F.nullif(F.col("_mad"), F.lit(0.0))) > z
-        by_sd = F.abs((x - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))) > z
-        odd = (F.col("_n") >= 3) & F.when(F.col("_mad") > 0, by_mad).otherwise(by_sd)
-    odd = F.coalesce(odd, F.lit(False))
+    """Outliers as outlier_bounds says. handle flag: a boolean column <col>_outlier; drop: null; winsorize: to the
+    limits' quantiles; others change nothing."""
+    x = F.col(f"`{col}`").cast("double")
+    bounds = outlier_bounds(df, [col], method, z, k, limits if handle == "winsorize" else None)[col]
     if handle == "flag":
-        made = made.withColumn(out or f"{col}_outlier", odd)
-    elif handle == "drop":
-        made = made.withColumn(out or col, F.when(~odd, x))
-    elif handle == "winsorize":
-        made = made.withColumn(out or col, F.when(x < F.col("_lo"), F.col("_lo")).when(x > F.col("_hi"), F.col("_hi")).otherwise(x))
-    return made.drop("_n", "_q1", "_q3", "_med", "_mad", "_mean", "_sd", "_lo", "_hi")
+        return df.withColumn(out or f"{col}_outlier", _odd(x, bounds))
+    if handle == "drop":
+        return df.withColumn(out or col, F.when(~_odd(x, bounds), x))
+    if handle == "winsorize" and bounds["ends"][0] is not None:
+        lo, hi = bounds["ends"]
+        return df.withColumn(out or col, F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x))
+    return df
 
 
 def standardize_percent(df: DataFrame, col: str, target: str = "fraction", out: str | None = None) -> DataFrame:
@@ -95,15 +128,14 @@ def parse_epochs(df: DataFrame, col: str, unit: str | None = None, out: str | No
     """Epochs as timestamps, by the unit that the median's size says."""
     if unit:
         return df.withColumn(out or col, epoch(F.col(col), unit))
-    made = with_facts(df, F.percentile(F.abs(F.col(col).try_cast("double")), F.lit(0.5)).alias("_size"))
-    return made.withColumn(out or col, epoch(F.col(col), epoch_unit(F.col("_size")))).drop("_size")
+    size = ordered.quantiles(df, [(F.abs(F.col(col).try_cast("double")), 0.5)])[0]
+    return df.withColumn(out or col, epoch(F.col(col), epoch_unit(F.lit(size))))
 
 
 def rare_categories(df: DataFrame, col: str, least: float = 0.01, other: str = "Other", out: str | None = None) -> DataFrame:
     """Values under that share of the non-null rows become other."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).count()
-    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
-    rare = counts.withColumn("_all", total).where(F.col("count") / F.col("_all") < least).select("_v", F.lit(True).alias("_rare"))
+    rare = with_facts(counts, F.sum("count").alias("_all")).where(F.col("count") / F.col("_all") < least).select("_v", F.lit(True).alias("_rare"))
     return df.join(rare, F.col(col) == F.col("_v"), "left").withColumn(out or col, F.when(F.col("_rare"), F.lit(other)).otherwise(F.col(col))).drop("_v", "_rare")
 
 

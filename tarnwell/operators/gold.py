@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
@@ -34,8 +34,7 @@ def ranking(df: DataFrame, cat: str, metric: str | None = None) -> DataFrame:
 def part_to_whole(df: DataFrame, cat: str, metric: str | None = None) -> DataFrame:
     made = ranking(df, cat, metric)
     x = F.col("count" if metric is None else "total")
-    total = F.sum(x).over(Window.partitionBy(F.lit(0)))
-    return made.withColumn("pct_total", F.when(total != 0, x / total).otherwise(0.0))
+    return with_facts(made, F.sum(x).alias("_t")).withColumn("pct_total", F.when(F.col("_t") != 0, x / F.col("_t")).otherwise(0.0)).drop("_t")
 
 
 def distribution(df: DataFrame, metric: str) -> DataFrame:

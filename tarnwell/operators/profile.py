@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
 from ..functions import values as V
+from . import ordered
 
 #: Spellings of booleans that profiles count.
 BOOL_TOKENS = ("true", "false", "t", "f", "y", "n", "yes", "no", "1", "0")
@@ -46,24 +47,28 @@ def _facts_of(df: DataFrame, c: str, formats: tuple) -> dict[str, Column]:
     elif kind in ("int", "float"):
         d = x.cast("double")
         d = F.when(~F.isnan(d), d) if kind == "float" else d
-        out |= {"non_null": F.count(d), "mean": F.avg(d), "std": F.stddev_samp(d), "iqr": F.percentile(d, F.lit(0.75)) - F.percentile(d, F.lit(0.25)), "min": F.min(d), "max": F.max(d), "bool_token_ratio": F.coalesce(F.avg(d.isin(0.0, 1.0).cast("double")), F.lit(0.0))}
+        out |= {"non_null": F.count(d), "mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "bool_token_ratio": F.coalesce(F.avg(d.isin(0.0, 1.0).cast("double")), F.lit(0.0))}
     return out
 
 
-def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS, distinct: bool = True) -> dict[str, dict]:
+def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS, distinct: bool = True, quartiles: bool = True) -> dict[str, dict]:
     """Facts by column, on the driver: they are numbers, a few dozen a column. Without distinct, those of distinct
-    values are left out, and so is their shuffle."""
+    values are left out, and so is their shuffle; without quartiles the interquartile range."""
     cols = columns if columns is not None else df.columns
     if not cols:
         return {}
     wanted = [(c, n, a) for c in cols for n, a in _facts_of(df, c, formats).items()]
     row = df.agg(F.count("*").alias("rows"), *[a.alias(f"f{i}") for i, (_, _, a) in enumerate(wanted)]).first()
+    numbers = [c for c in cols if tag(df.schema[c].dataType) in ("int", "float")] if quartiles else []
+    q = ordered.quantiles(df, [(F.col(f"`{c}`"), s) for c in numbers for s in (0.25, 0.75)])
+    iqr = {c: {"iqr": q[2 * i + 1] - q[2 * i] if q[2 * i] is not None else None} for i, c in enumerate(numbers)}
+    of = {c: {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c} | iqr.get(c, {}) for c in cols}
     if not distinct:
-        return {c: _made(c, df, row, {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c}) for c in cols}
+        return {c: _made(c, df, row, of[c]) for c in cols}
     counted = {cols[r.c]: r.n for r in distinct_counts(df, cols).collect()}
     out = {}
     for c in cols:
-        own = _made(c, df, row, {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c})
+        own = _made(c, df, row, of[c])
         unique = counted.get(c, 0)
         out[c] = own | {"nunique": unique, "cardinality": unique, "unique_ratio": unique / row["rows"] if row["rows"] else 0.0}
     return out

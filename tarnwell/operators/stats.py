@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
+from . import ordered
 
 
 def _both(df: DataFrame, *cols: str) -> DataFrame:
@@ -64,7 +65,8 @@ def cramers_test(df: DataFrame, a: str, b: str) -> dict:
 
 def trend_slope(df: DataFrame, value: str, order_by: list[str], by: list[str] | None = None) -> DataFrame:
     """slope (against the row's place, over the mean size) and n; under 3 rows the slope is 0."""
-    rows = _both(df, value).withColumn("_i", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order_by)))
+    rows = _both(df, value)
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))) if by else ordered.numbered(rows, order_by, "_i")
     raw = F.regr_slope(F.col(value), F.col("_i")) / F.nullif(F.avg(F.abs(value)), F.lit(0.0))
     slope = F.when(F.count("*") >= 3, F.coalesce(raw, F.lit(0.0))).otherwise(0.0)
     return rows.groupBy(*(by or [])).agg(slope.alias("slope"), F.count("*").alias("n"))
@@ -73,7 +75,7 @@ def trend_slope(df: DataFrame, value: str, order_by: list[str], by: list[str] |
 def concentration(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: gini and hhi of the sums of value by group; negatives aside, nothing to share gives 0."""
     sums = df.groupBy(group).agg(F.sum(value).alias("x")).where("x >= 0")
-    ranked = sums.withColumn("i", F.row_number().over(Window.orderBy("x", group)))
+    ranked = ordered.numbered(sums, ["x", group], "i")
     n, total = F.count("*"), F.sum("x")
     gini = F.when(total > 0, 2 * F.sum(F.col("i") * F.col("x")) / (n * total) - (n + 1) / n).otherwise(0.0)
     hhi = F.when(total > 0, F.sum(F.col("x") * F.col("x")) / (total * total)).otherwise(0.0)

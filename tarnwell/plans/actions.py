@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import frames
+from ..operators import frames, profile
 from . import dsl
 
 
@@ -126,20 +126,24 @@ def _value_action(name: str, fn: Callable, *params: str) -> None:
 
 
 _as_tuple = lambda v: tuple(v or ())
-_value_action("coerce_numeric", lambda c, unit_hint=None: V.coerce_numeric(c), "unit_hint")
+_value_action("coerce_numeric", lambda c, unit_hint=None: V.coerce_numeric(c), "unit_hint")  # units stand in the values; a hint adds nothing
 _value_action("parse_datetime", lambda c, formats=(): V.parse_datetime(c, tuple(java_format(f) for f in formats) or V.DATE_FORMATS), "formats")
-_value_action("parse_datetime_robust", lambda c, utc=False, dayfirst=False, yearfirst=False: V.parse_robust(c, dayfirst), "utc", "dayfirst", "yearfirst")
+_value_action("parse_datetime_robust", lambda c, utc=False, dayfirst=False, yearfirst=False: V.parse_robust(c, dayfirst, yearfirst, utc), "utc", "dayfirst", "yearfirst")
 _value_action("extract_datetime", lambda c, patterns=None, case_insensitive=True: V.extract_datetime(c, tuple(V.java_pattern(p, "I" if case_insensitive else "") for p in patterns) if patterns else V.DATE_PATTERNS), "patterns", "case_insensitive")
 for _how in ("round", "floor", "ceil"):
     _value_action(f"dt_{_how}", lambda c, freq="D", how=_how: V.dt_step(c, freq, how), "freq")
 _value_action("dt_part", lambda c, part="date": V.dt_part(c, part), "part")
 _value_action("cast_string", lambda c: c.cast("string"))
 _value_action("text_normalize", lambda c, strip=True, lower=False: V.text_normalize(c, strip, lower), "strip", "lower")
-_value_action("normalize_null_tokens", lambda c, null_tokens=(), case_insensitive=True, apply_text_normalize_first=True: V.null_tokens(c, _as_tuple(null_tokens), case_insensitive), "null_tokens", "case_insensitive", "apply_text_normalize_first")
-_value_action("coerce_bool", lambda c, true_tokens=V.TRUE_TOKENS, false_tokens=V.FALSE_TOKENS, numeric_truthy=False: V.coerce_bool(c, tuple(true_tokens), tuple(false_tokens), numeric_truthy), "true_tokens", "false_tokens", "numeric_truthy")
+_value_action("normalize_null_tokens", lambda c, null_tokens=(), case_insensitive=True, apply_text_normalize_first=True: V.null_tokens(c, _as_tuple(null_tokens), case_insensitive, apply_text_normalize_first), "null_tokens", "case_insensitive", "apply_text_normalize_first")
+_value_action(
+    "coerce_bool",
+    lambda c, true_tokens=V.TRUE_TOKENS, false_tokens=V.FALSE_TOKENS, numeric_truthy=False, true_regex=(), false_regex=(), case_insensitive=True, strip=True, strip_edges=True, drop_invalid=True: V.coerce_bool(
+        c, tuple(true_tokens), tuple(false_tokens), numeric_truthy, tuple(true_regex), tuple(false_regex), case_insensitive, strip, strip_edges, drop_invalid),
+    "true_tokens", "false_tokens", "numeric_truthy", "true_regex", "false_regex", "case_insensitive", "strip", "strip_edges", "drop_invalid",
+)
 _value_action("map_synonyms", lambda c, mapping=None, case_insensitive=True: V.map_synonyms(c, mapping or {}, case_insensitive), "mapping", "case_insensitive")
 ACTIONS["cat_map_synonyms"] = ACTIONS["map_synonyms"]
-_value_action("cat_extract_key", lambda c, patterns=(), capture_group=0, default=None: V.extract_key(c, list(patterns), capture_group, default), "patterns", "capture_group", "default")
 _value_action("cat_fuzzy_map", lambda c, candidates=(), max_distance=2, max_rel_distance=0.25: V.nearest(c, list(candidates), max_distance, max_rel_distance), "candidates", "max_distance", "max_rel_distance")
 _value_action("regex_replace", lambda c, pattern=None, repl="", flags="", count=0, literal=False: V.regex_replace(c, pattern, repl, flags, count, literal) if pattern else c, "pattern", "repl", "flags", "count", "literal")
 _value_action("extract_digits", lambda c, ascii_only=False, keep_sign=False, keep_decimal=False, empty_to_na=True: V.extract_digits(c, ascii_only, keep_sign, keep_decimal, empty_to_na), "ascii_only", "keep_sign", "keep_decimal", "empty_to_na")
@@ -169,14 +173,16 @@ def _(df, col, p, order_by):
 
 @action("cast_category", "max_card")
 def _(df, col, p, order_by):
-    return df.withMetadata(col, {"categorical": True}), None
+    if (most := p.get("max_card")) is not None and {r.c: r.n for r in profile.distinct_counts(df.select(col), [col]).collect()}.get(0, 0) > most:
+        return df, None
+    return df.withMetadata(col, {"categorical": True}), "cast_category"
 
 
 @action("impute", "method", "time_aware", "limit_direction")
 def _(df, col, p, order_by):
     method = p.get("method") or "median"
     time = order_by[0] if p.get("time_aware") and order_by else None
-    return frames.impute(df, col, method, order_by, time_col=time), f"impute({method})"
+    return frames.impute(df, col, method, order_by, time_col=time, limit_direction=p.get("limit_direction") or "both"), f"impute({method})"
 
 
 @action("impute_value", "value", "force")
@@ -210,8 +216,7 @@ def _(df, col, p, order_by):
     handle = p.get("handle") or "flag"
     kind, z, k, limits = p.get("method") or "zscore", p.get("zscore_threshold") or 3.0, p.get("iqr_multiplier") or 1.5, tuple(p.get("winsor_limits") or (0.01, 0.99))
     if handle == "flag":
-        n = frames.outliers(df.select(col), col, kind, z, k, out="_odd").where("_odd").count()
-        return df, f"outliers(n={n})"
+        return df, f"outliers(n={frames.outlier_counts(df, [col], kind, z, k)[col]})"
     return frames.outliers(df, col, kind, z, k, handle, limits), f"outliers({handle})"
 
 
@@ -235,6 +240,18 @@ def _(df, col, p, order_by):
 ACTIONS["cat_consolidate"] = ACTIONS["rare_cats"]
 
 
+@action("cat_extract_key", "patterns", "capture_group", "default", "mode", "candidates", "max_distance")
+def _(df, col, p, order_by):
+    """By patterns, or with mode anchor by the column's most frequent words; then by candidates near to it."""
+    if p.get("mode") == "anchor":
+        df, _ = ACTIONS["cat_extract_anchor"].run(df, col, {}, order_by)
+    else:
+        df = df.withColumn(col, V.extract_key(F.col(f"`{col}`"), list(p.get("patterns") or ()), p.get("capture_group") or 0, p.get("default")))
+    if near := list(p.get("candidates") or ()):
+        df = df.withColumn(col, V.nearest(F.col(f"`{col}`"), near, p.get("max_distance") or 2))
+    return df, None
+
+
 @action("cat_extract_anchor", "allow_digits", "min_token_len", "stopwords")
 def _(df, col, p, order_by):
     return frames.extract_anchor(df, col, p.get("min_token_len") or 3, bool(p.get("allow_digits")), frozenset(p.get("stopwords") or frames.STOPWORDS)), None

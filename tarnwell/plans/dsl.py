@@ -18,6 +18,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import unicode
 from ..functions import values as V
 
 
@@ -146,6 +147,8 @@ class _Parser:
             return Node("lit", (token.value,))
         if token.kind == "kw" and token.text in ("true", "false", "null", "none"):
             return Node("lit", ({"true": True, "false": False}.get(token.text),))
+        if token.kind == "kw" and token.text in ("like", "ilike") and self.take("("):  # the functions of that name
+            return Node("call", (token.text, *self._items(")")))
         if token.kind == "id":
             return Node("call", (token.text, *self._items(")"))) if self.take("(") else Node("id", (token.text,))
         raise ConditionError(f"unexpected {token.text!r}")
@@ -340,19 +343,67 @@ def _s(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _items(x: Any) -> Column:
+    """A list's items, or an array column; a single value is an array of one."""
+    return F.array(*[i.cast("string") for i in x]) if isinstance(x, list) else x
+
+
+def _share_of(xs: Any, test: Callable) -> Column:
+    items = _items(xs)
+    return F.coalesce(F.size(F.filter(items, test)) / F.nullif(F.size(items), F.lit(0)), F.lit(0.0))
+
+
+def _regex(text: Column, pattern: Any, flags: str = "", full: bool = False) -> Column:
+    """Whether the pattern is found; one that is no regular expression is found nowhere."""
+    if isinstance(pattern, str):
+        made = f"{flags}^(?:{pattern})$" if full else flags + pattern
+        return F.rlike(text, F.lit(made)) if _is_regex(made) else F.lit(False)
+    return F.rlike(text, F.concat(F.lit(flags + "^(?:"), pattern, F.lit(")$")) if full else F.concat(F.lit(flags), pattern))
+
+
+def _is_regex(pattern: str) -> bool:
+    """By the JVM, which will run it."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern) if context else re.compile(pattern)
+        return True
+    except Exception:
+        return False
+
+
 _BOOLISH = lambda c, words: F.lower(F.trim(_s(c))).isin(*sorted(words))
+_ALL_WORDS = TRUE_WORDS | FALSE_WORDS
+_IN = lambda x, y: F.contains(F.lower(_s(x)), F.lower(_s(y)))
+_similar = lambda a, b: V.similarity(unicode.ascii_form(_s(a)), unicode.ascii_form(_s(b)))
+_least = lambda x: F.lit(0.8) if x is None else x
+#: Functions whose last argument is a regular expression, which reaches them as text where it is a literal.
+_REGEX = {"matches": ("", False), "imatches": ("(?i)", False), "fullmatch": ("", True), "ifullmatch": ("(?i)", True)}
 COLUMN_FUNCTIONS: dict[str, Callable] = {
-    "len": lambda x: F.coalesce(F.length(x), F.lit(0)), "isnull": lambda x: x.isNull(), "notnull": lambda x: x.isNotNull(), "exists": lambda x: x.isNotNull(), "coalesce": F.coalesce,
+    "len": lambda x: F.lit(len(x)) if isinstance(x, list) else F.coalesce(F.length(x), F.lit(0)), "isnull": lambda x: x.isNull(), "notnull": lambda x: x.isNotNull(), "exists": lambda x: x.isNotNull(), "coalesce": F.coalesce,
     "lower": lambda x: F.lower(_s(x)), "upper": lambda x: F.upper(_s(x)), "strip": lambda x: F.regexp_replace(_s(x), r"^\s+|\s+$", ""), "lstrip": lambda x: F.regexp_replace(_s(x), r"^\s+", ""), "rstrip": lambda x: F.regexp_replace(_s(x), r"\s+$", ""),
+    "norm": lambda x: unicode.ascii_form(_s(x)),
     "startswith": lambda x, y: F.startswith(_s(x), _s(y)), "endswith": lambda x, y: F.endswith(_s(x), _s(y)), "istartswith": lambda x, y: F.startswith(F.lower(_s(x)), F.lower(_s(y))), "iendswith": lambda x, y: F.endswith(F.lower(_s(x)), F.lower(_s(y))),
-    "contains": lambda x, y: F.contains(_s(x), _s(y)), "icontains": lambda x, y: F.contains(F.lower(_s(x)), F.lower(_s(y))), "iequals": lambda x, y: F.lower(_s(x)) == F.lower(_s(y)),
-    "matches": lambda x, p: F.rlike(_s(x), p), "imatches": lambda x, p: F.rlike(_s(x), F.concat(F.lit("(?i)"), p)), "fullmatch": lambda x, p: F.rlike(_s(x), F.concat(F.lit("^(?:"), p, F.lit(")$"))), "ifullmatch": lambda x, p: F.rlike(_s(x), F.concat(F.lit("(?i)^(?:"), p, F.lit(")$"))),
+    "contains": lambda x, y: F.contains(_s(x), _s(y)), "icontains": _IN, "iequals": lambda x, y: F.lower(_s(x)) == F.lower(_s(y)),
     "like": lambda x, p: F.like(_s(x), p), "ilike": lambda x, p: F.ilike(_s(x), p),
-    "isbool": lambda x: _BOOLISH(x, TRUE_WORDS | FALSE_WORDS), "boolish": lambda x: _BOOLISH(x, TRUE_WORDS | FALSE_WORDS), "istrue": lambda x: _BOOLISH(x, TRUE_WORDS), "isfalse": lambda x: _BOOLISH(x, FALSE_WORDS), "to_bool": lambda x: _BOOLISH(x, TRUE_WORDS),
-    "is_numeric": lambda x: V.number(_s(x)).isNotNull(), "to_number": lambda x, *d: F.coalesce(V.number(_s(x)), *d), "similarity": V.similarity, "similar": lambda a, b, least=None: V.similarity(a, b) >= (F.lit(0.8) if least is None else least),
+    "any_icontains": lambda xs, y: F.exists(_items(xs), lambda x: _IN(x, y)), "all_icontains": lambda xs, y: (F.size(_items(xs)) > 0) & F.forall(_items(xs), lambda x: _IN(x, y)),
+    "any_matches": lambda xs, p: F.exists(_items(xs), lambda x: _regex(_s(x), p)), "all_matches": lambda xs, p: (F.size(_items(xs)) > 0) & F.forall(_items(xs), lambda x: _regex(_s(x), p)),
+    "isbool": lambda x: _BOOLISH(x, _ALL_WORDS), "boolish": lambda x: _BOOLISH(x, _ALL_WORDS), "istrue": lambda x: _BOOLISH(x, TRUE_WORDS), "isfalse": lambda x: _BOOLISH(x, FALSE_WORDS), "to_bool": lambda x: _BOOLISH(x, TRUE_WORDS),
+    "boolish_ratio": lambda xs: _share_of(xs, lambda x: _BOOLISH(x, _ALL_WORDS)), "percent_true": lambda xs: _share_of(xs, lambda x: _BOOLISH(x, TRUE_WORDS)), "percent_false": lambda xs: _share_of(xs, lambda x: _BOOLISH(x, FALSE_WORDS)),
+    "looks_like_bool_name": lambda x: _regex(_s(x), BOOL_NAME, "(?i)"), "looks_like_id_name": lambda x: _regex(_s(x), ID_NAME, "(?i)"), "looks_like_dt_name": lambda x: _regex(_s(x), TIME_NAME, "(?i)"),
+    "is_boolean_dtype": lambda x: _IN(x, F.lit("bool")), "is_numeric_dtype": lambda x: _regex(_s(x), "int|float|double|number|numeric|decimal", "(?i)"), "is_datetime_dtype": lambda x: _regex(_s(x), "timestamp|datetime", "(?i)"),
+    "is_numeric": lambda x: V.number(_s(x)).isNotNull(), "to_number": lambda x, *d: F.coalesce(V.number(_s(x)), *d),
+    "null_ratio": lambda xs: _share_of(xs, lambda x: x.isNull()), "unique_count": lambda xs: F.size(F.array_distinct(_items(xs))),
+    "similarity": _similar, "similar": lambda a, b, least=None: _similar(a, b) >= _least(least), "any_similar": lambda xs, y, least=None: F.exists(_items(xs), lambda x: _similar(x, y) >= _least(least)),
 }
 
 
+def _literal(node: Node) -> Any:
+    """A text literal as it stands, else the Column."""
+    return node.args[0] if node.kind == "lit" and isinstance(node.args[0], str) else _column(node)
+
+
 def _column(node: Node) -> Any:
     kind, args = node.kind, node.args
     if kind == "lit":
@@ -366,8 +417,13 @@ def _column(node: Node) -> Any:
         if name in ("oneof", "iin"):
             x, items = _column(rest[0]), _column(rest[1])
             return F.coalesce(x.isin(*items) if name == "oneof" else F.lower(_s(x)).isin(*[F.lower(_s(i)) for i in items]), F.lit(False))
+        if name in _REGEX:
+            flags, full = _REGEX[name]
+            return _regex(_s(_column(rest[0])), _literal(rest[1]), flags, full)
         if name not in COLUMN_FUNCTIONS:
             raise ConditionError(f"no such function on rows: {name}")
+        if name in ("any_matches", "all_matches"):
+            return COLUMN_FUNCTIONS[name](_column(rest[0]), _literal(rest[1]))
         return COLUMN_FUNCTIONS[name](*(_column(a) for a in rest))
     sure = lambda c: F.coalesce(c.cast("boolean"), F.lit(False))
     if kind in ("and", "or"):
@@ -376,12 +432,15 @@ def _column(node: Node) -> Any:
         return ~sure(_column(args[0]))
     if kind == "between":
         return sure(_column(args[0]).between(_column(args[1]), _column(args[2])))
-    op, a, b = args[0], _column(args[1]), _column(args[2])
+    op, a = args[0], _column(args[1])
+    if op in ("=~", "~*", "!~", "!~*"):
+        found = sure(_regex(_s(a), _literal(args[2]), "(?i)" if op.endswith("*") else ""))
+        return ~found if op.startswith("!") else found
+    b = _column(args[2])
     if op == "in":
         return sure(a.isin(*b)) if isinstance(b, list) else sure(F.contains(b, _s(a)))
     made = {
         "==": lambda: a.eqNullSafe(b), "!=": lambda: ~a.eqNullSafe(b), "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b, "like": lambda: F.like(a, b), "ilike": lambda: F.ilike(a, b),
-        "=~": lambda: F.rlike(_s(a), b), "~*": lambda: F.rlike(_s(a), F.concat(F.lit("(?i)"), b)), "!~": lambda: ~F.rlike(_s(a), b), "!~*": lambda: ~F.rlike(_s(a), F.concat(F.lit("(?i)"), b)),
     }[op]()
     return sure(made)
 

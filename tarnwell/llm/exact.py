@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stage, table, unstage
+from .common import broadcast_rows, small, stage, table, unstage
 
 P = (1 << 31) - 1
 BASES = (1_103_515_245, 69_621_743, 1_812_433_253, 214_013_531)
@@ -124,8 +124,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marks = stage(marks)
     turn = 0
     while True:
-        reps = marks.groupBy(key).agg(F.max(F.struct("id", "rid", "xx")).alias("keep"), F.count("*").alias("size")).where("size > 1")
-        found = _differing(rows, marks, reps, key, turn)
+        # staged, so that a large group's rows meet its one row by a broadcast, or by a join that adaptive execution splits
+        reps = stage(marks.groupBy(key).agg(F.max(F.struct("id", "rid", "xx")).alias("keep"), F.count("*").alias("size")).where("size > 1"))
+        found = _differing(rows, marks, small(reps), key, turn)
         if found is None:
             break
         turn += 1
@@ -134,9 +135,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             marks.join(odd, F.col("id").eqNullSafe(F.col("oid")) & (F.col("xx") == F.col("oxx")), "left")
             .select("id", "n", "xx", "sha", "f1", "f2", F.when(F.col("odd") == 1, F.lit(turn)).otherwise(F.col("sub")).alias("sub"), "rid")
         )
-        unstage(marks)
+        unstage(marks, reps)
         marks = again
-    out = marks.join(reps, key, "left")
+    out = marks.join(small(reps), key, "left")
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
@@ -161,7 +162,7 @@ def _differing(rows: DataFrame, marks: DataFrame, reps: DataFrame, key: list[str
     chunks = F.expr(f"sequence(0L, cast((octet_length(text) - 1) div {COMPARE} as long))")
 
     def cut(wanted: DataFrame, i: str, x: str) -> DataFrame:
-        near = F.broadcast(wanted) if n <= 2_000_000 else wanted
+        near = F.broadcast(wanted) if n <= broadcast_rows(wanted) else wanted
         met = texts.join(near, texts["id"].eqNullSafe(near[i]) & (texts["xx"] == near[x]))
         return met.select(*wanted.columns, bytes_.alias("b"), F.explode(chunks).alias("c")).select(
             *wanted.columns, "c", F.expr(f"substring(b, cast(c * {COMPARE} + 1 as int), {COMPARE})").alias("piece"))

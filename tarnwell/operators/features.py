@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,27 +54,43 @@ def calendar(df: DataFrame, time: str, part: str, out: str) -> DataFrame:
     return df.withColumn(out, made)
 
 
+def _over(df: DataFrame, order_by: list[str], by: list[str] | None, before: int, after: int, columns) -> DataFrame:
+    """columns(window) of each group's order, or of the whole one."""
+    return df.withColumns(columns(Window.partitionBy(*by).orderBy(*order_by))) if by else ordered.windowed(df, order_by, before, after, columns)
+
+
 def interarrival(df: DataFrame, time: str, order_by: list[str], out: str, by: list[str] | None = None) -> DataFrame:
     """Seconds since the row before."""
     us = F.unix_micros(F.col(time).cast("timestamp"))
-    return df.withColumn(out, (us - F.lag(us).over(Window.partitionBy(*(by or [])).orderBy(*order_by))) / 1e6)
+    return _over(df, order_by, by, 1, 0, lambda w: {out: (us - F.lag(us).over(w)) / 1e6})
 
 
 def shifted(df: DataFrame, col: str, order_by: list[str], out: str, by: list[str] | None = None, step: int = 1) -> DataFrame:
     """The value step rows before, or behind where step is negative."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order_by)
-    return df.withColumn(out, F.lag(col, step).over(w) if step > 0 else F.lead(col, -step).over(w))
+    return _over(df, order_by, by, max(0, step), max(0, -step), lambda w: {out: F.lag(col, step).over(w) if step > 0 else F.lead(col, -step).over(w)})
 
 
 def rolling(df: DataFrame, col: str, order_by: list[str], out: str, width: int, least: int, how: str = "mean", by: list[str] | None = None) -> DataFrame:
-    w = Window.partitionBy(*(by or [])).orderBy(*order_by).rowsBetween(1 - width, 0)
-    made = (F.avg if how == "mean" else F.sum)(col).over(w)
-    return df.withColumn(out, F.when(F.count(col).over(w) >= least, made))
+    def made(w) -> dict:
+        last = w.rowsBetween(1 - width, 0)
+        return {out: F.when(F.count(col).over(last) >= least, (F.avg if how == "mean" else F.sum)(col).over(last))}
+
+    return _over(df, order_by, by, width - 1, 0, made)
+
 
+#: What a value still weighs where an average over a whole order begins.
+NOTHING = 1e-20
 
-def ewm_mean(df: DataFrame, col: str, order_by: list[str], out: str, by: list[str], alpha: float = 0.2) -> DataFrame:
+
+def ewm_mean(df: DataFrame, col: str, order_by: list[str], out: str, by: list[str] | None = None, alpha: float = 0.2) -> DataFrame:
     """y = (1 - alpha) y + alpha x within each group, from its first value on; a missing value leaves y as it is. Rows
-    stream through sorted partitions, a batch at a time, with a group's last y handed on."""
+    stream through sorted partitions, a batch at a time, with a group's last y handed on. Without groups, a row's y is
+    made from the rows before it that weigh more than NOTHING."""
+    if not by:
+        back = math.ceil(math.log(NOTHING) / math.log(1 - alpha))
+        step = lambda y, x: F.when(x.isNull(), y).when(y.isNull(), x).otherwise((1 - alpha) * y + alpha * x)
+        values = lambda w: F.collect_list(F.struct(F.col(col).cast("double").alias("x"))).over(w.rowsBetween(-back, 0))
+        return ordered.windowed(df, order_by, back, 0, lambda w: {out: F.aggregate(values(w), F.lit(None).cast("double"), lambda y, s: step(y, s["x"]))})
     kind = df.schema.add(out, "double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,8 +141,14 @@ def unique_token_ratio(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.size(F.array_distinct(words)) / F.nullif(F.size(words), F.lit(0)))
 
 
+def token_hits(df: DataFrame, col: str, tokens: list[str], out: str) -> DataFrame:
+    """How many of the listed tokens a text has."""
+    words = F.regexp_extract_all(F.lower(F.col(col)), F.lit("[a-z]{3,}"), F.lit(0))
+    return df.withColumn(out, F.size(F.array_intersect(words, F.array(*map(F.lit, tokens)))) if tokens else F.lit(0))
+
+
 def execute(df: DataFrame, plan: list[FeatureSpec], order_by: list[str]) -> DataFrame:
-    """df with a column for each spec of the plan."""
+    """df with a column for each spec of the plan; keep_levels leaves other levels of the category out of a window."""
     for s in plan:
         p, base = s.params, list(s.base_cols)
         if s.kind == "transform":
@@ -139,14 +162,23 @@ def execute(df: DataFrame, plan: list[FeatureSpec], order_by: list[str]) -> Data
             df = interarrival(df, base[0], order_by, s.name, p.get("by"))
         elif s.kind == "text_summary":
             df = unique_token_ratio(df, base[0], s.name)
+        elif s.kind == "text_tokens":
+            df = token_hits(df, base[0], list(p.get("tokens") or ()), s.name)
         elif s.kind == "window":
             by, op = p.get("by"), p["op"]
+            if levels := p.get("keep_levels"):
+                df = df.withColumn(f"_{s.name}", F.when(F.col(by[0]).isin(*levels), F.col(base[0])))
+                base = [f"_{s.name}"]
             if op in ("lag", "lead"):
                 df = shifted(df, base[0], order_by, s.name, by, p.get("step", 1) * (1 if op == "lag" else -1))
             elif op == "ewm_mean":
                 df = ewm_mean(df, base[0], order_by, s.name, by, p.get("alpha", 0.2))
+            elif op == "autocorr_lags":
+                df = df.crossJoin(F.broadcast(autocorrelation(df, base[0], order_by, tuple(p.get("lags", (7, 30)))).select(F.struct("*").alias(s.name))))
             else:
                 df = rolling(df, base[0], order_by, s.name, p["window"], p["min_periods"], op.removeprefix("rolling_"), by)
+            if levels:
+                df = df.drop(f"_{s.name}")
         else:
             raise ValueError(f"no such kind: {s.kind}")
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import ordered, stats
 from .frames import with_facts
 
 
@@ -47,6 +47,13 @@ def deviation(df: DataFrame, key: str, metric: str) -> DataFrame:
     return made.select("key", "value", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(0.0).alias("z"))
 
 
+def deviations(df: DataFrame, metric: str, order_by: list[str] | None = None) -> DataFrame:
+    """index, value, z: the rows by their place in the order, or by a number that is unique but tells nothing."""
+    rows = df.where(F.col(metric).isNotNull())
+    rows = ordered.numbered(rows, order_by, "index").withColumn("index", F.col("index") - 1) if order_by else rows.withColumn("index", F.monotonically_increasing_id())
+    return deviation(rows, "index", metric).withColumnRenamed("key", "index")
+
+
 def cohort(df: DataFrame, entity: str, time: str) -> DataFrame:
     return stats.cohorts(df, entity, time)
 

@@ -44,6 +44,23 @@ def numbered(df: DataFrame, order_by: list[str], out: str, descending: bool = Fa
     return running(df, order_by, F.lit(1).cast("long"), out, descending)
 
 
+#: Rows of a block of a window over the whole order.
+BLOCK = 100_000
+
+
+def windowed(df: DataFrame, order_by: list[str], before: int, after: int, columns) -> DataFrame:
+    """df with columns(window): Columns by name over a window of the whole order that looks at most so many rows back and
+    ahead. Blocks of places are windows of their own, each with copies of its neighbours' last and first rows."""
+    if max(before, after) >= BLOCK:
+        raise ValueError("a window wider than a block")
+    at = (F.col("_i") - 1) % BLOCK
+    own = F.floor((F.col("_i") - 1) / BLOCK)
+    copies = F.array_compact(F.array(own, F.when(at >= BLOCK - before, own + 1) if before else F.lit(None), F.when((at < after) & (own > 0), own - 1) if after else F.lit(None)))
+    rows = numbered(df, order_by, "_i").withColumn("_own", own).withColumn("_block", F.explode(copies))
+    w = Window.partitionBy("_block").orderBy("_i")
+    return rows.withColumns(columns(w)).where("_block = _own").drop("_i", "_own", "_block")
+
+
 def neighbours(df: DataFrame, order_by: list[str], known: Column, before: str, after: str) -> DataFrame:
     """df with the last value of known at or before each row, and the first at or after it."""
     cut = sliced(df.withColumn("_known", known), order_by)

@@ -245,7 +245,12 @@ def format_pattern(fmt: str) -> str:
 
 def parse_datetime(c: Column, formats: tuple = DATE_FORMATS) -> Column:
     """By the first format that fits."""
-    return let(F.trim(_text(c)), lambda s: F.coalesce(*(_ntz(F.when(s.rlike(format_pattern(f)), F.try_to_timestamp(s, F.lit(f)))) for f in formats)))
+    return let(F.trim(_text(c)), lambda s: F.coalesce(*(_century(_ntz(F.when(s.rlike(format_pattern(f)), F.try_to_timestamp(s, F.lit(f)))), f) for f in formats)))
+
+
+def _century(ts: Column, fmt: str) -> Column:
+    """Years of two digits from 69 on are of the last century."""
+    return F.when(F.year(ts) >= 2069, ts - F.expr("INTERVAL 100 YEAR")).otherwise(ts) if "yy" in fmt and "yyyy" not in fmt else ts
 
 
 def extract_datetime(c: Column, patterns: tuple = DATE_PATTERNS) -> Column:

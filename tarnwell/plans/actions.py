@@ -120,11 +120,16 @@ def _value_action(name: str, fn: Callable, *params: str) -> None:
     """An action that needs nothing but the value."""
 
     def run(df: DataFrame, col: str, p: dict, order_by: list[str]):
-        return df.withColumn(col, fn(F.col(f"`{col}`"), **{k: v for k, v in p.items() if v is not None})), None
+        x = F.col(f"`{col}`")
+        if name in ON_TEXT and profile.tag(df.schema[col].dataType) == "float":  # a whole number has no point in its text
+            x = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
+        return df.withColumn(col, fn(x, **{k: v for k, v in p.items() if v is not None})), None
 
     ACTIONS[name] = Action(name, params, run)
 
 
+#: Actions on the digits and letters of a value.
+ON_TEXT = frozenset(("keep_alnum", "extract_digits", "zero_pad", "regex_replace", "cast_string", "map_synonyms", "cat_map_synonyms"))
 _as_tuple = lambda v: tuple(v or ())
 _value_action("coerce_numeric", lambda c, unit_hint=None: V.coerce_numeric(c), "unit_hint")  # units stand in the values; a hint adds nothing
 _value_action("parse_datetime", lambda c, formats=(): V.parse_datetime(c, tuple(java_format(f) for f in formats) or V.DATE_FORMATS), "formats")
@@ -190,6 +195,10 @@ def _(df, col, p, order_by):
     value, kind = p.get("value"), df.schema[col].dataType
     if value is None and not p.get("force"):
         return df, None
+    if profile.tag(kind) in ("int", "float") and dsl.to_number(value) is None:
+        raise ActionError(f"{value!r} is no number")
+    if profile.tag(kind) == "datetime" and not isinstance(value, str):
+        raise ActionError(f"{value!r} is no date")
     return df.withColumn(col, F.coalesce(F.col(f"`{col}`"), F.lit("" if value is None else value).cast(kind))), f"impute_value({value})"
 
 

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import queries_analysis, queries_charts, queries_clean, queries_language, queries_shapes  # noqa: F401
+    from . import queries_actions, queries_analysis, queries_charts, queries_clean, queries_language, queries_shapes  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -240,18 +240,18 @@ def _profile_sql(table: str, columns: list[tuple[str, str]]) -> str:
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS p(column_name, type, missing_pct, nunique, unique_ratio, avg_len, mean, std, iqr, min, max)"
 
 
-_LINE = [("l_orderkey", "int"), ("l_quantity", "float"), ("l_extendedprice", "float"), ("l_returnflag", "string"), ("l_shipdate", "datetime")]
-_DOCS = [("doc_id", "int"), ("lang", "string"), ("source", "string"), ("n_chars", "int")]
+_LINE = [(f"l_{c}", k) for c, k in (("orderkey", "int"), ("partkey", "int"), ("suppkey", "int"), ("linenumber", "int"), ("quantity", "float"), ("extendedprice", "float"), ("discount", "float"), ("tax", "float"), ("returnflag", "string"), ("linestatus", "string"), ("shipdate", "datetime"))]
+_DOCS = [("doc_id", "int"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "int")]
 
 
 @query("profile_facts_lineitem", _profile_sql("lineitem", _LINE))
 def _(t, spark):
-    return rounded(pr.profile(t("lineitem").select(*[c for c, _ in _LINE])), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+    return rounded(pr.profile(t("lineitem")), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
 
 
 @query("profile_facts_documents", _profile_sql("documents", _DOCS))
 def _(t, spark):
-    return rounded(pr.profile(t("documents").select(*[c for c, _ in _DOCS])), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+    return rounded(pr.profile(t("documents")), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
 
 
 @query("profile_ratios", """SELECT round(avg((lower(trim(CASE event_type WHEN 'view' THEN ' Yes' WHEN 'error' THEN 'F' ELSE event_type END)) IN ('yes', 'f'))::INT), 6) AS bools, round(avg((event_id % 3 > 0)::INT), 6) AS numbers, round(avg((event_id % 4 > 0)::INT), 6) AS dates FROM events""")
@@ -268,23 +268,11 @@ def _(t, spark):
     return pr.is_monotonic(t("events"), "event_id", ["ts", "event_id"], ["user_id"])
 
 
-@query("role_inference_events", "SELECT * FROM (VALUES ('event_id', 'int', 'id', 0.955::DOUBLE), ('ts', 'datetime', 'time', 0.955), ('user_id', 'int', 'numeric', 0.8), ('event_type', 'string', 'categorical', 0.755), ('value', 'float', 'numeric', 0.755), ('props', 'string', 'categorical', 0.755)) AS r(column_name, type, role, confidence)")
-def _(t, spark):
-    return roles.role_table(t("events"))
-
-
 @query("canonical_categories", "SELECT DISTINCT c_mktsegment AS value, lower(c_mktsegment) AS canonical FROM customer")
 def _(t, spark):
     return roles.canonical_categories(t("customer"), "c_mktsegment")
 
 
-@query("unit_hints", "SELECT * FROM (VALUES ('price', 'currency'), ('share', 'percent'), ('amount', 'magnitude_k')) AS u(column_name, hint)")
-def _(t, spark):
-    price = F.format_string("%.2f", "o_totalprice")
-    made = t("orders").select(F.concat(F.lit("$"), price).alias("price"), F.concat(price, F.lit(" pct")).alias("share"), F.concat(price, F.lit(" thousand")).alias("amount"))
-    return spark.createDataFrame([(c, roles.unit_hint(made, c)) for c in made.columns], "column_name string, hint string")
-
-
 @query("topics_scored", """WITH t AS (SELECT * FROM (VALUES ('correlation', 0.5::DOUBLE, 100, 1.0::DOUBLE, 0.01::DOUBLE, 0), ('correlation', 0.4, 20, 0.9, NULL, 0), ('trend', 0.03, 50, 1.0, NULL, 200), ('kpi', 0.0, 80, 0.95, NULL, 0), ('distribution', 1.0, 500, 0.8, NULL, 0), ('deviation', 4.0, 500, 0.8, NULL, 0), ('cohort', 0.3, 40, 1.0, NULL, 0), ('causal', 0.5, 60, 0.6, 0.2, 0)) AS v(family, e, n, cov, p, pts)),
 s AS (SELECT *, CASE family WHEN 'correlation' THEN e WHEN 'cohort' THEN e WHEN 'trend' THEN least(1, e / 0.06) WHEN 'distribution' THEN e / (1 + e) WHEN 'deviation' THEN e / (3 + e) WHEN 'causal' THEN e / (0.5 + e) WHEN 'kpi' THEN 0.2 END AS norm,
 CASE WHEN family = 'correlation' AND n < 30 THEN 0.3 WHEN family = 'trend' AND pts > 180 THEN 0.1 WHEN family = 'cohort' THEN 0.1 ELSE 0 END AS pen, coalesce(1 - p, least(1, n / 100)) AS sig FROM t)

@@ -186,6 +186,26 @@ def rules_from(suggested: dict[str, list[str]], priority: int = 900) -> list[Rul
     return [Rule(f"suggested:{c}:{i}", priority, f"name == {json.dumps(c)}", then) for c, todo in suggested.items() for i, then in enumerate(todo) if safe(then)]
 
 
+#: What each decided role is cleaned by, in order; the last entry is what fills gaps.
+_TIDY = ["normalize_null_tokens()", "text_normalize(strip=true, lower=false)"]
+FOR_ROLE = {
+    "boolean": (["normalize_null_tokens()", "text_normalize(strip=true, lower=true)", "coerce_bool()"], "impute_value(false)"), "numeric": ([*_TIDY, "coerce_numeric()"], "impute()"),
+    "categorical": ([*_TIDY, "cast_category()", "rare_cats(0.01, 'Other')"], None), "time": (["parse_datetime_robust()"], None), "text": (_TIDY, None),
+}
+
+
+def rules_for(schema: roles.Schema) -> list[Rule]:
+    """Rules for roles that rows decided: text is made what it says it is, gaps are filled where the role has a filling."""
+    out = []
+    for c in schema.columns:
+        todo, filling = FOR_ROLE[c.role]
+        steps = [] if c.role in ("numeric", "time") and c.dtype != "string" else list(todo)
+        steps += [filling] if filling and c.hints.get("missing_pct", 0) > 0 else []
+        steps += ["outliers()"] if c.role == "numeric" else []
+        out += [Rule(f"decided:{c.name}:{i}", 990 - i, f"name == {json.dumps(c.name)}", then) for i, then in enumerate(steps)]
+    return out
+
+
 def score(schema_confidence: float, role_confidence: float, missing_rate: float) -> float:
     """How good a cleaned frame is: mostly its schema's sureness, less what is missing."""
     return 0.7 * schema_confidence + 0.3 * role_confidence - 0.25 * missing_rate
@@ -201,17 +221,18 @@ def improvement(before: dict[str, dict], after: dict[str, dict]) -> float:
     return (missing_rate(before) - missing_rate(after)) + 0.5 * (typed(after) - typed(before))
 
 
-def improve(df: DataFrame, dataset: str = "", most: int = 3, enough: float = 0.9, order_by: list[str] | None = None) -> tuple[Cleaned, list[dict]]:
-    """Passes of rules and of what they suggest, while the score (sureness less missing) grows; the best, and a log."""
-    best, score, log, extra = None, -1.0, [], []
+def improve(df: DataFrame, dataset: str = "", most: int = 3, enough: float = 0.9, order_by: list[str] | None = None, rules: list[Rule] | None = None, env: dict | None = None, least: float = 0.0, cfg: roles.RoleConfig = roles.RoleConfig()) -> tuple[Cleaned, list[dict]]:
+    """Passes of rules and of what they suggest, while the score (sureness less missing) grows by more than least; the best,
+    and a log."""
+    best, top, log, extra = None, -1.0, [], []
     for i in range(most):
-        made = clean(df, RULES + extra, order_by=order_by)
+        made = clean(df, (RULES if rules is None else rules) + extra, env=env, order_by=order_by, cfg=cfg)
         missing = missing_rate(made.after)
         now = score(made.schema.confidence, made.schema.confidence, missing)
         log.append({"iter": i, "schema_conf": made.schema.confidence, "missing_rate": missing, "score": now, "width": len(made.df.columns), "rules_applied": len(made.hits)})
-        if now <= score:
+        if best is not None and now <= top + least:
             break
-        best, score = made, now
+        best, top = made, now
         more = rules_from(follow_ups(made.schema, made.after))
         if made.schema.confidence >= enough or not more or more == extra:
             break
@@ -219,7 +240,8 @@ def improve(df: DataFrame, dataset: str = "", most: int = 3, enough: float = 0.9
     return best, log
 
 
-def recheck(df: DataFrame, schema: roles.Schema, **kw) -> Cleaned:
+def recheck(df: DataFrame, schema: roles.Schema, rules: list[Rule] | None = None, env: dict | None = None, **kw) -> Cleaned:
     """One pass that drops no column and no value."""
-    env = {"handle": "flag", "cleaning": {**DEFAULT_ENV["cleaning"], "outliers": {"handle": "flag"}}}
-    return clean(df, [r for r in RULES if not r.then.startswith("drop_column")], schema, env, **kw)
+    env = DEFAULT_ENV | (env or {})
+    gentle = env | {"handle": "flag", "cleaning": {**env["cleaning"], "outliers": {**env["cleaning"].get("outliers", {}), "handle": "flag"}}}
+    return clean(df, [r for r in (RULES if rules is None else rules) if not r.then.startswith("drop_column")], schema, gentle, **kw)

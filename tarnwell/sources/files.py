@@ -39,6 +39,16 @@ def slugs(spark: SparkSession, root: str) -> list[str]:
     return [r.slug for r in catalog(spark, root).select("slug").distinct().orderBy("slug").collect()]
 
 
+#: Formats that a dataset is made of; plain text is listed but isn't read as one.
+DATASET_KINDS = frozenset(FORMATS) - {"txt"}
+
+
+def discover(spark: SparkSession, root: str, slug: str) -> list[str]:
+    """The files of a dataset under root, in order."""
+    rows = catalog(spark, root).where((F.col("slug") == slug) & F.col("kind").isin(*sorted(DATASET_KINDS)))
+    return [r.path for r in rows.select("path").orderBy("path").collect()]
+
+
 def _is_array(spark: SparkSession, path: str) -> bool:
     first = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").limit(1).collect()
     return bool(first) and first[0].v.startswith("[")
@@ -237,8 +247,8 @@ DATE_NAMES, DATE_SHARE, NUMBER_SHARE, YEARS = ("date", "time", "timestamp", "dt"
 
 def bronze(df: DataFrame) -> DataFrame:
     """Types by content, from one aggregate over all text columns: dates where the name hints at them and most values are
-    of one kind (a date in text, or an epoch in ms or s, of a plausible year); numbers where four in five rows are; nested
-    columns as JSON text, NaN as null, anything else as it is."""
+    of one kind (a date in text, or an epoch in ms or s, of a plausible year); numbers where four in five rows are, unless
+    zeros in front say that they are codes; nested columns as JSON text, NaN as null, anything else as it is."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     texts = [c for c, k in kinds.items() if k == "string" and c != "_source_uri"]
 
@@ -255,7 +265,7 @@ def bronze(df: DataFrame) -> DataFrame:
     hinted = [c for c in texts if any(n in c.lower() for n in DATE_NAMES)]
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(texts):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(number(c)).alias(f"x{i}")]
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.count(number(c)).alias(f"x{i}"), F.count(F.when(F.trim(F.col(f"`{c}`")).rlike(r"^0\d+$"), 1)).alias(f"z{i}")]
         aggs += [F.count(w).alias(f"d{i}_{k}") for k, w in enumerate(dates(c))] if c in hinted else []
     row = df.agg(*aggs).first() if texts else None
     made = {}
@@ -265,7 +275,7 @@ def bronze(df: DataFrame) -> DataFrame:
             if row[f"d{i}_{best}"] and row[f"d{i}_{best}"] / row[f"n{i}"] >= DATE_SHARE:
                 made[c] = dates(c)[best]
                 continue
-        if row["rows"] and row[f"x{i}"] / row["rows"] >= NUMBER_SHARE:
+        if row["rows"] and not row[f"z{i}"] and row[f"x{i}"] / row["rows"] >= NUMBER_SHARE:
             made[c] = number(c)
     out = []
     for c, kind in kinds.items():

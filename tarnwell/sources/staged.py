@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
+    """spark.checkpoint.dir. Where that is unset, a local session, whose driver and tasks share a disk, has a folder in its
+    warehouse; a cluster has none that all machines see, and must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
 
 
 def _path(spark: SparkSession, path: str):
@@ -27,6 +33,7 @@ def stage(df: DataFrame) -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
+    _held.append(path)
     return out
 
 
@@ -35,3 +42,23 @@ def unstage(*staged: DataFrame) -> None:
     for df in staged:
         where, fs = _path(df.sparkSession, df._staged)
         fs.delete(where, True)
+        if df._staged in _held:
+            _held.remove(df._staged)
+
+
+#: Paths of staged tables that are still there.
+_held: list[str] = []
+
+
+def mark() -> int:
+    """A place among the staged tables, for release."""
+    return len(_held)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Delete what was staged since a mark, but for one table: nothing that is read later may come from the others."""
+    for path in _held[since:]:
+        if keep is None or path != getattr(keep, "_staged", None):
+            where, fs = _path(spark, path)
+            fs.delete(where, True)
+            _held.remove(path)

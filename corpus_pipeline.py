@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm import decontam, jaccard, mixing, packing, quality
 from tarnwell.llm.common import light, small, stage, table
+from tarnwell.sources import staged
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -83,5 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
+        since = staged.mark()
         docs = stage(step(spark, docs, sf_dir))
+        staged.release(spark, since, docs)  # what the stage itself had written
     return STAGES[-1][1](spark, docs, sf_dir)

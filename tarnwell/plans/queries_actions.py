@@ -329,11 +329,11 @@ def _(t, spark):
 
 # p-values against their densities, summed up by DuckDB in 40,000 steps of the root of the value
 
-_AREA = "2 * sum({density} * u * x) * x / 40000"
+_AREA = "2 * sum({density} * u * x * x) / 40000"
 _CHI2 = "pow(u * u * x * x, {k} / 2.0 - 1) * exp(-u * u * x * x / 2) / (pow(2, {k} / 2.0) * gamma({k} / 2.0))"
 _F = "sqrt(pow({a} * u * u * x * x, {a}) * pow({b}, {b}) / pow({a} * u * u * x * x + {b}, {a} + {b})) / (u * u * x * x) * gamma(({a} + {b}) / 2.0) / (gamma({a} / 2.0) * gamma({b} / 2.0))"
 _T = "gamma(({k} + 1) / 2.0) / (sqrt({k} * pi()) * gamma({k} / 2.0)) * pow(1 + x * x * u * u / {k}, -({k} + 1) / 2.0)"
-_P = [("z 1.96", "1.96", "1 - 2 * sum(exp(-u * u * x * x / 2) / sqrt(2 * pi())) * x / 40000"), ("t 2.228 10", "2.228", f"1 - 2 * sum({_T.format(k=10)}) * x / 40000")]
+_P = [("z 1.96", "1.96", "1 - 2 * sum(exp(-u * u * x * x / 2) / sqrt(2 * pi()) * x) / 40000"), ("t 2.228 10", "2.228", f"1 - 2 * sum({_T.format(k=10)} * x) / 40000")]
 _P += [(f"chi2 {x} {k}", f"sqrt({x})", f"1 - {_AREA.format(density=_CHI2.format(k=k))}") for x, k in (("3.841", 1), ("11.07", 5))]
 _P += [(f"f {x} {a} {b}", f"sqrt({x})", f"1 - {_AREA.format(density=_F.format(a=a, b=b))}") for x, a, b in (("4.965", 1, 10), ("3.326", 5, 10))]
 

@@ -28,7 +28,7 @@ def plain(v):
     return float(v) if hasattr(v, "is_finite") else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - {"role_inference_events", "stats_autocorrelation"}))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_queries_match_their_sql(spark, duck, name):
     got = duck.execute(catalogue.oracle_sql()[name])
     columns = [c[0] for c in got.description]
@@ -121,7 +121,7 @@ def test_files_round_trip_union_and_catalog(spark, tmp_path):
 
     feather.write_feather(pa.table({"id": [7], "amount": [1.5]}), str(tmp_path / "raw" / "d.feather"))
     union = files.read_union(spark, [str(p) for p in sorted((tmp_path / "raw").rglob("*.*"))])
-    assert sorted(r.id for r in union.collect()) == ["1", "2", "3", "7", "x"] and {"amount", "flag", "_source_uri"} <= set(union.columns)
+    assert sorted(str(r.id) for r in union.collect()) == ["1", "2", "3", "7", "x"] and {"amount", "flag", "_source_uri"} <= set(union.columns)
     assert {(r.kind, r.slug) for r in files.catalog(spark, str(tmp_path / "raw")).collect()} == {("csv", "my-set"), ("json", "my-set"), ("ndjson", "c"), ("parquet", "bad"), ("feather", "d")}
     assert files.slugs(spark, str(tmp_path / "raw")) == ["bad", "c", "d", "my-set"]
     with pytest.raises(ValueError):
@@ -132,9 +132,12 @@ def test_raw_files_to_silver_and_back_from_a_frozen_schema(spark, tmp_path):
     (tmp_path / "a.csv").write_text("order_id,price_usd,cake_type\n" + "".join(f"{i},${i}.50,{'pie' if i % 2 else ' Tart '}\n" for i in range(1, 40)))
     made = pipeline.to_silver(spark, [str(tmp_path / "a.csv")], "cakes", out=str(tmp_path / "silver"))
     assert made.df.count() == 39 and made.log and spark.read.parquet(str(tmp_path / "silver/dataset.parquet")).count() == 39
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "silver/schema")).collect())
-    frozen = type(made.schema).from_toml(text)
+    frozen = type(made.schema).from_toml((tmp_path / "silver/schema.toml").read_text())
     assert pipeline.to_silver(spark, [str(tmp_path / "a.csv")], "cakes", frozen).df.count() == 39 and frozen.roles() == made.schema.roles()
+    again = pipeline.to_silver(spark, [str(tmp_path / "a.csv"), str(tmp_path / "none.parquet")], "cakes", out=str(tmp_path / "silver"))
+    assert len(again.log) == 1 and again.schema.roles() == frozen.roles() and [p for p, _ in again.failed] == [str(tmp_path / "none.parquet")]
+    with pytest.raises(FileNotFoundError):
+        pipeline.to_silver(spark, [str(tmp_path / "a.csv")], "cakes", mode="apply")
 
 
 def test_charts_name_what_is_missing(spark):

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -234,6 +235,20 @@ def test_extraction_query_reads_articles(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_extraction_query_is_that_of_pages_folded_one_by_one(spark):
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    slots, roots = {}, {}
+    for i, url, page in rows:
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url)[1].lower()
+        roots[i] = host, html.parse(page)
+        slot = html.Slot(html.Folded([roots[i][1]]))
+        slots[host] = html.merge(slots[host], slot) if host in slots else slot
+    read = {i: html.read(root, slots[host]) for i, (host, root) in roots.items()}
+    assert sum(by for _, by in read.values()) >= 0.8 * len(rows)  # the template names the region
+    got = {r.page_id: r.text for r in html.op5_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: "\n".join(blocks) for i, (blocks, _) in read.items()}
+
+
 def test_extraction_takes_odd_pages(spark):
     rows = [(1, "http://a/x", None), (2, None, "<p>hi"), (3, "nonsense", ""), (None, "http://a/y", "<p>a<p>b"), (1, "http://a/x", None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "template": F.lit(2), "text": F.lit(3)})
@@ -255,6 +270,34 @@ def test_classifiers_on_what_they_were_not_fitted_on(spark, name, least):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
+def test_scores_are_those_of_plain_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("y")), toxicity.held_out)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in toxicity.op7_toxicity(spark, SF).collect()}
+    for i, text in texts.items():
+        total = model.bias
+        for word in set(re.findall(r"[^\W_]+", (text or "").lower())):
+            total += sum(float(model.weights[f]) for f in set(toxicity.features(word)))
+        p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+        assert got[i][0] == pytest.approx(p, abs=1e-4) and got[i][1] == int(got[i][0] >= 0.5) and got[i][2] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    net = quality.train(docs, labels.select("doc_id", F.col("quality").alias("y")), quality.held_out)
+    for r in quality.op10_quality(spark, SF).collect():
+        assert r.score == quality.score_texts(net, [quality._bytes(texts[r.doc_id])])[0] and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_small_sources_meet_their_targets_beside_any_corpus(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(r.randrange(1, 400))), "big" if i % 40 else f"s{i // 40}") for i in range(1200)]
+    for slots in (50, 1 << 20):
+        made = mixing.mix(docs_of(spark, rows), slots=slots)
+        by = made.docs.join(made.taken(), "rid", "left").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("size").alias("size")).collect()
+        assert all(abs((x.taken or 0) - x.target) <= max(1, 0.01 * x.target) for x in by if x.source != "big")
+        got = made.docs.join(made.taken(), "rid", "left").collect()
+        assert all((x.taken or 0) <= 3 * x["size"] for x in got)
+
+
 def test_classifiers_take_odd_rows_and_no_labels(spark):
     frame = docs_of(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, y int")
@@ -294,8 +337,52 @@ def test_pipeline_stages_do_what_brute_force_does(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select(F.explode("doc_ids").alias("doc_id")).collect()} <= {r.doc_id for r in clean.collect()}
 
 
+def test_the_pipeline_gives_what_plain_loops_give(spark):
+    """Quality by scoring each text alone, classes by all pairs, items by their words, the mixture by its SQL, and the
+    packed rows read back."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
+    net = quality.train(docs, labels, quality.held_out)
+    rows = [r for r in rows if quality.score_texts(net, [quality._bytes(r[1])])[0] >= 0.5]
+    first = {c for _, c, _ in brute_classes(rows)}
+    rows = [r for r in rows if r[0] in first]
+    words = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())) + " "
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not any(i in words(r[1]) for i in items)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    times = {i: int(taken / size + 0.5) if size else 0 for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP2_SQL})").fetchall()}
+    with open(packing.VOCABULARY, "rb") as f:
+        encoding = packing._encoding(f.read())
+    want = {i: sorted(encoding.encode_ordinary(t) * 1) for i, t, _ in rows if times[i]}
+    packed = corpus_pipeline.run(spark, SF).cache()
+    got = defaultdict(list)
+    for r in packing.unpacked(packed).collect():
+        got[r.doc_id] += np.frombuffer(r.input_ids, "<u2").tolist()
+    assert set(got) == set(want)
+    assert all(sorted(got[i]) == sorted(want[i] * times[i]) for i in want)
+    assert all(r.cu_seqlens[-1] == r.n_tokens <= packing.ROW for r in packed.collect())
+
+
+def test_pipeline_stages_take_columns_of_any_name(spark):
+    names = ["_id", "_hash", "_text", "_row", "_own", "row", "own_id", "own_hash", "id", "hash", "key", "kept", "times", "rep"]
+    frame = docs_of(spark, odd_rows()).withColumns({n: F.lit(n) for n in names})
+    for step, many in ((corpus_pipeline.jaccard_join, 7), (corpus_pipeline.benchmark_decontamination, len(odd_rows()))):
+        got = step(spark, frame, SF)
+        assert got.columns == frame.columns and got.count() == many and all(r[n] == n for r in got.collect() for n in names)
+    assert corpus_pipeline.mix_sources(spark, frame, SF).columns == frame.columns
+    assert corpus_pipeline.quality_classifier(spark, frame, SF).columns == frame.columns
+    empty = frame.limit(0)
+    for step in (corpus_pipeline.quality_classifier, corpus_pipeline.jaccard_join, corpus_pipeline.benchmark_decontamination, corpus_pipeline.mix_sources, corpus_pipeline.token_packing):
+        assert step(spark, empty, SF).count() == 0
+
+
 def test_pipeline_stages_take_odd_rows(spark):
     frame = docs_of(spark, odd_rows())
+    assert corpus_pipeline.mix_sources(spark, frame, SF).where("doc_id = 4 OR doc_id = 5").count() == 0  # no words
+    assert 0 < corpus_pipeline.token_packing(spark, frame, SF).count()
     assert corpus_pipeline.jaccard_join(spark, frame, SF).count() == 7
     assert corpus_pipeline.benchmark_decontamination(spark, frame, SF).count() == len(odd_rows())
     assert tokens.words([None, ""])[1].tolist() == [0, 0, 0]

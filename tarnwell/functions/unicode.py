@@ -36,28 +36,36 @@ def _composed() -> dict[str, str]:
     return out
 
 
+#: What stands between a table's entries and its sides, which no form has in it.
+_ENTRY, _SIDE = "\x1e", "\x1f"
+
+
+def let(value: Column, fn) -> Column:
+    """fn of a value that is computed once, where writing it out each time would outgrow generated code."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def _mapped(parts: Column, table: dict[str, str]) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    """parts with those that the table has replaced, as one text. The table is one literal, folded once a plan."""
+    pairs = F.str_to_map(F.lit(_ENTRY.join(f"{k}{_SIDE}{v}" for k, v in table.items())), F.lit(_ENTRY), F.lit(_SIDE))
     return F.array_join(F.transform(parts, lambda p: F.coalesce(pairs[p], p)), "")
 
 
 def _folded(s: Column, plain: bool) -> Column:
     one, to, many = _forms(plain)
-    s = F.translate(s, one, to)
     found = "[" + "".join(sorted(many)).replace("\\", "\\\\").replace("]", "\\]").replace("[", "\\[") + "]"
-    return F.when(s.rlike(found), _mapped(F.split(s, ""), many)).otherwise(s)
+    return let(F.translate(s, one, to), lambda t: F.when(t.rlike(found), _mapped(F.split(t, ""), many)).otherwise(t))
 
 
 def ascii_form(c: Column) -> Column:
     """The ASCII part of the compatibility decomposition: letters without marks, ligatures and widths undone."""
-    s = c.cast("string")
-    return F.when(s.rlike(r"[^\x00-\x7F]"), F.regexp_replace(_folded(s, True), r"[^\x00-\x7F]", "")).otherwise(s)
+    return let(c.cast("string"), lambda s: F.when(s.rlike(r"[^\x00-\x7F]"), F.regexp_replace(_folded(s, True), r"[^\x00-\x7F]", "")).otherwise(s))
+
+
+def _whole(t: Column) -> Column:
+    return F.when(t.rlike(r"\p{Mn}"), _mapped(F.regexp_extract_all(t, F.lit(r"(?s).\p{Mn}*"), F.lit(0)), _composed())).otherwise(t)
 
 
 def nfkc(c: Column) -> Column:
     """The compatibility composition, of texts that hold anything beyond ASCII."""
-    s = c.cast("string")
-    folded = _folded(s, False)
-    apart = F.regexp_extract_all(folded, F.lit(r"(?s).\p{Mn}*"), F.lit(0))
-    whole = F.when(folded.rlike(r"\p{Mn}"), _mapped(apart, _composed())).otherwise(folded)
-    return F.when(s.rlike(r"[^\x00-\x7F]"), whole).otherwise(s)
+    return let(c.cast("string"), lambda s: F.when(s.rlike(r"[^\x00-\x7F]"), let(_folded(s, False), _whole)).otherwise(s))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import nfkc
+from .unicode import let, nfkc
 
 #: Text that means missing, and spellings of booleans.
 NULL_TOKENS = ("", "-", "\u2014", "\u2013", "n/a", "na", "none", "null", "nil", "nan", "nat", "<na>", "<null>", "<none>")
@@ -31,11 +33,6 @@ ROBUST_FORMATS = (
 )
 
 
-def let(value: Column, fn) -> Column:
-    """fn of a value that is computed once, where writing it out each time would outgrow generated code."""
-    return F.transform(F.array(value), fn)[0]
-
-
 def number(text: Column) -> Column:
     """A plain decimal or exponent literal as a double, or null."""
     plain = F.trim(text)
@@ -163,14 +160,10 @@ def _matches_any(w: Column, patterns: tuple, ignore_case: bool) -> Column:
 
 def java_replacement(text: str) -> str:
     """Back references as the regular expressions of the JVM write them."""
-    import re
-
     return re.sub(r"\\g<(\w+)>", lambda m: f"${{{m[1]}}}" if not m[1].isdigit() else f"${m[1]}", re.sub(r"\\(\d+)", r"$\1", text.replace("$", r"\$")))
 
 
 def java_pattern(pattern: str, flags: str = "", literal: bool = False) -> str:
-    import re
-
     pattern = re.escape(pattern) if literal else pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<")
     known = {"I": "i", "M": "m", "S": "s", "X": "x"}
     on = "".join(known[f] for f in flags.upper() if f in known)
@@ -216,8 +209,6 @@ def zero_pad(c: Column, width: int, fill: str = "0", numeric_only: bool = False)
 
 
 def keep_alnum(c: Column, allowed: str = "", collapse: bool = True, case: str | None = None, empty_to_null: bool = False) -> Column:
-    import re
-
     extra = re.escape(allowed).replace("&", r"\&").replace("[", r"\[")
     s = F.regexp_replace(nfkc(c), rf"[^\p{{L}}\p{{N}}{extra}]", "")
     if allowed and collapse:
@@ -236,16 +227,17 @@ def _ntz(c: Column) -> Column:
 
 def format_pattern(fmt: str) -> str:
     """What a text in that format looks like: a failed parse costs an exception, a failed match next to nothing."""
-    import re
-
     known = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"\p{L}{3,}", "MMM": r"\p{L}{3,}", "M": r"\d{1,2}", "d": r"\d{1,2}", "MM": r"\d{2}", "dd": r"\d{2}", "HH": r"\d{2}", "hh": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}"}
     parts = re.finditer(r"'(?P<q>[^']*)'|(?P<f>([A-Za-z])\3*)|(?P<o>.)", fmt, re.S)
     return "^" + "".join(re.escape(m["q"]) if m["q"] is not None else known.get(m["f"], r"\S+") if m["f"] else re.escape(m["o"]) for m in parts) + "$"
 
 
 def parse_datetime(c: Column, formats: tuple = DATE_FORMATS) -> Column:
-    """By the first format that fits."""
-    return let(F.trim(_text(c)), lambda s: F.coalesce(*(_century(_ntz(F.when(s.rlike(format_pattern(f)), F.try_to_timestamp(s, F.lit(f)))), f) for f in formats)))
+    """By the first format that fits. Where all formats begin with digits, other texts are not held against any."""
+    text = F.trim(_text(c))
+    if all(re.match("[yMdH]", f) and not f.startswith("MMM") for f in formats):
+        text = F.when(text.rlike(r"^\d"), text)
+    return let(text, lambda s: F.coalesce(*(_century(_ntz(F.when(s.rlike(format_pattern(f)), F.try_to_timestamp(s, F.lit(f)))), f) for f in formats)))
 
 
 def _century(ts: Column, fmt: str) -> Column:
@@ -306,8 +298,6 @@ _UNITS = {"d": 86_400_000_000, "h": 3_600_000_000, "min": 60_000_000, "t": 60_00
 
 def step_micros(freq: str) -> int | None:
     """Microseconds of a frequency such as D, H or 15min; None if it is none."""
-    import re
-
     m = re.fullmatch(r"(\d*)\s*([A-Za-z]+)", freq.strip())
     unit = _UNITS.get(m[2].lower()) if m else None
     return int(m[1] or 1) * unit if unit else None

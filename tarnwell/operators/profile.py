@@ -38,7 +38,7 @@ def datetime_parse_ratio(c: Column, formats: tuple = V.DATE_FORMATS) -> Column:
     return F.coalesce(F.avg(F.when(c.isNotNull(), V.parse_datetime(c, formats).isNotNull().cast("double"))), F.lit(0.0))
 
 
-def _facts_of(df: DataFrame, c: str, formats: tuple) -> dict[str, Column]:
+def _facts_of(df: DataFrame, c: str, formats: tuple, only: set | None = None) -> dict[str, Column]:
     x, kind = F.col(f"`{c}`"), tag(df.schema[c].dataType)
     out = {"non_null": F.count(x)}
     if kind == "string":
@@ -48,21 +48,31 @@ def _facts_of(df: DataFrame, c: str, formats: tuple) -> dict[str, Column]:
         d = x.cast("double")
         d = F.when(~F.isnan(d), d) if kind == "float" else d
         out |= {"non_null": F.count(d), "mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d), "bool_token_ratio": F.coalesce(F.avg(d.isin(0.0, 1.0).cast("double")), F.lit(0.0))}
-    return out
+    return {n: a for n, a in out.items() if only is None or n == "non_null" or n in only}
 
 
-def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS, distinct: bool = True, quartiles: bool = True) -> dict[str, dict]:
+def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DATE_FORMATS, distinct: bool = True, quartiles: bool = True, only: set | None = None) -> dict[str, dict]:
     """Facts by column, on the driver: they are numbers, a few dozen a column. Without distinct, those of distinct
-    values are left out, and so is their shuffle; without quartiles the interquartile range."""
+    values are left out, and so is their shuffle; without quartiles the interquartile range. only: names of facts, and no
+    others are made but the counts that shares of missing values take."""
     cols = columns if columns is not None else df.columns
     if not cols:
         return {}
-    wanted = [(c, n, a) for c in cols for n, a in _facts_of(df, c, formats).items()]
+    wanted = [(c, n, a) for c in cols for n, a in _facts_of(df, c, formats, only).items()]
     row = df.agg(F.count("*").alias("rows"), *[a.alias(f"f{i}") for i, (_, _, a) in enumerate(wanted)]).first()
     numbers = [c for c in cols if tag(df.schema[c].dataType) in ("int", "float")] if quartiles else []
     q = ordered.quantiles(df, [(F.col(f"`{c}`"), s) for c in numbers for s in (0.25, 0.75)])
     iqr = {c: {"iqr": q[2 * i + 1] - q[2 * i] if q[2 * i] is not None else None} for i, c in enumerate(numbers)}
     of = {c: {n: row[f"f{i}"] for i, (k, n, _) in enumerate(wanted) if k == c} | iqr.get(c, {}) for c in cols}
+    if only is not None:
+        counted = {cols[r.c]: r.n for r in distinct_counts(df, cols).collect()} if distinct else {}
+        shares = {"rows": row["rows"], "type": None}
+        out = {}
+        for c in cols:
+            share = of[c]["non_null"] / row["rows"] if row["rows"] else 0.0
+            unique = {"nunique": counted.get(c, 0), "cardinality": counted.get(c, 0), "unique_ratio": counted.get(c, 0) / row["rows"] if row["rows"] else 0.0} if distinct else {}
+            out[c] = shares | of[c] | unique | {"type": tag(df.schema[c].dataType), "missing_pct": 1 - share if row["rows"] else 0.0, "non_null_ratio": share}
+        return out
     if not distinct:
         return {c: _made(c, df, row, of[c]) for c in cols}
     counted = {cols[r.c]: r.n for r in distinct_counts(df, cols).collect()}

@@ -87,7 +87,7 @@ def _(t, spark):
     return rules.clean(t("lineitem")).df
 
 
-@query("cleaned_events", f"SELECT event_id, {_DAY.format('ts')} AS ts, user_id, lower(event_type) AS event_type, value, lower(props) AS props FROM events")
+@query("cleaned_events", f"SELECT event_id, {_DAY.format('ts')} AS ts, user_id, lower(event_type) AS event_type, value, CASE WHEN few AND n < 0.01 * rows THEN 'Other' ELSE lower(props) END AS props FROM (SELECT *, count(*) OVER (PARTITION BY lower(props)) AS n, count(*) OVER () AS rows FROM events), (SELECT count(DISTINCT props) <= 0.02 * count(*) AND count(DISTINCT props) <= 200 AS few FROM events)")
 def _(t, spark):
     return rules.clean(t("events")).df
 

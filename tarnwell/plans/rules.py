@@ -73,6 +73,11 @@ class Cleaned:
         }
 
 
+def _read(rules: list[Rule], fact: str) -> bool:
+    """Whether a rule's condition names a fact."""
+    return any(fact in r.when for r in rules)
+
+
 def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env: dict | None = None, order_by: list[str] | None = None, found: dict | None = None) -> Cleaned:
     """df after the rules, highest priority first. A rule that doesn't parse, or whose action fails, changes nothing and
     is among the failures. Outliers that are only counted are counted at a rule's end, for all its columns at once."""
@@ -86,9 +91,9 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
             ready.append((rule, dsl.compile_facts(rule.when), first, dsl.identifiers(node) & MEASURED, actions.parse_then(rule.then)))
         except ValueError as e:
             failures.append(Failure(rule.id, None, str(e)))
-    known = dict(found or profile.facts(df))
+    known = dict(found or profile.facts(df, quartiles=_read(rules, "iqr")))
     before, hits, dropped, chain = dict(known), [], [], 0
-    stale: dict[str, set] = {"distinct": set(), "other": set(), "quartiles": set()}
+    stale: dict[str, set] = {}  # facts of changed columns that aren't known any more
     has_time = bool(order_by) and sum(ROLE_NAMES.get(r, r) == "time" for r in role_of.values()) == 1
 
     def context(col: str) -> dict:
@@ -97,15 +102,12 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
 
     for rule, holds, first, reads, call in ready:
         may = [c for c in df.columns if c in known and all(dsl.holds(p, context(c)) for p in first)]
-        distinct, quartiles = bool(reads & DISTINCT), "iqr" in reads
-        if again := sorted(c for c in may if (reads - DISTINCT and c in stale["other"]) or (distinct and c in stale["distinct"]) or (quartiles and c in stale["quartiles"])):
+        if again := sorted(c for c in may if reads & stale.get(c, set())):
             if chain >= LONGEST_CHAIN:
                 df, chain = stage(df), 0
-            for c, f in profile.facts(df, again, distinct=distinct, quartiles=quartiles).items():
+            for c, f in profile.facts(df, again, distinct=bool(reads & DISTINCT), quartiles="iqr" in reads, only=reads).items():
                 known[c] = known[c] | f
-            stale["other"] -= set(again)
-            stale["distinct"] -= set(again) if distinct else set()
-            stale["quartiles"] -= set(again) if quartiles else set()
+                stale[c] -= reads | {"missing_pct", "non_null_ratio"} | (DISTINCT if reads & DISTINCT else set())
         counted: list[tuple[str, dict]] = []
         for col in may:
             if not holds(context(col)):
@@ -125,8 +127,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
                 dropped.append(col)
                 known.pop(col)
             elif made is not df:
-                for kind in stale.values():
-                    kind.add(col)
+                stale[col] = set(MEASURED)
                 known[col] = known[col] | {"type": profile.tag(made.schema[col].dataType)}
                 chain += 1
             df = made
@@ -142,12 +143,13 @@ def apply_rules(df: DataFrame, rules: list[Rule], role_of: dict[str, str], env:
 def clean(df: DataFrame, rules: list[Rule] | None = None, schema: roles.Schema | None = None, env: dict | None = None, order_by: list[str] | None = None, compat: bool = False, cfg: roles.RoleConfig = roles.RoleConfig()) -> Cleaned:
     """Profile, rules, profile: the cleaned frame with its report's facts. What was changed is staged once, before the
     second profile reads it. compat: the rules as they take effect where only the shipped facts are known."""
-    found = profile.facts(df)
+    rules = (shipped() if compat else RULES) if rules is None else rules
+    found = profile.facts(df, quartiles=_read(rules, "iqr"))
     schema = schema or roles.propose(df, cfg=cfg, found=found)
-    made = apply_rules(df, (shipped() if compat else RULES) if rules is None else rules, schema.roles(), env, order_by, found)
+    made = apply_rules(df, rules, schema.roles(), env, order_by, found)
     if made.df is not df:
         made.df = stage(made.df)
-    made.after = profile.facts(made.df)
+    made.after = profile.facts(made.df, quartiles=False)
     made.schema = roles.propose(made.df, schema.dataset, found=made.after)
     return made
 

@@ -52,9 +52,11 @@ def _mapped(parts: Column, table: dict[str, str]) -> Column:
 
 
 def _folded(s: Column, plain: bool) -> Column:
+    """s with its characters' forms. Whether any becomes several is asked by leaving those out: a look-up a character,
+    where a pattern would hold each against all of them."""
     one, to, many = _forms(plain)
-    found = "[" + "".join(sorted(many)).replace("\\", "\\\\").replace("]", "\\]").replace("[", "\\[") + "]"
-    return let(F.translate(s, one, to), lambda t: F.when(t.rlike(found), _mapped(F.split(t, ""), many)).otherwise(t))
+    has = lambda t: F.length(F.translate(t, "".join(many), "")) < F.length(t)
+    return let(F.translate(s, one, to), lambda t: F.when(has(t), _mapped(F.split(t, ""), many)).otherwise(t))
 
 
 def ascii_form(c: Column) -> Column:

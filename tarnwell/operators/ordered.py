@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.staged import stage
 
 #: Values among which a quantile is selected exactly in one aggregate.
-FEW = 1_000_000
+FEW = 50_000
 
 
 def sliced(df: DataFrame, order_by: list[str], descending: bool = False) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Columns don't read each other, so all go through the rules in step: a rule's actions change its columns, and only
 what a later condition reads of a changed column is computed again, for all such columns in one aggregate, and only
-where what the condition says of name, role and type holds. A pass takes a few jobs, not rules times columns. Long chains of changes are cut by
-writing the frame to the shared folder.
+where what the condition says of name, role and type holds. Jobs grow with the waves of changes, not with rules times
+columns. Long chains of changes are cut by writing the frame to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ ROLE_NAMES = {"bool": "boolean", "date": "time", "datetime": "time", "int": "num
 DISTINCT = {"nunique", "unique_ratio", "cardinality"}
 MEASURED = {*profile.FACT_COLUMNS, *DISTINCT, "non_null_ratio", "bool_token_ratio", "numeric_like_ratio", "datetime_parse_ratio"}
 #: Changes after which the plan is cut.
-LONGEST_CHAIN = 6
+LONGEST_CHAIN = 3
 
 
 @dataclass(frozen=True)

@@ -172,6 +172,13 @@ def column_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def hash_sample(df: DataFrame, share: float, key: list[str], seed: int = 42) -> DataFrame:
+    """About that share of the rows, the same ones in every run: those whose key's MD5 is small."""
+    limit = format(min(0xFFFFFFFF, max(0, round(share * 0x100000000))), "08x")
+    mark = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), 1, 8)
+    return df if share >= 1 else df.where(mark < F.lit(limit))
+
+
 def prune(df: DataFrame, missing: float = 0.9, unique: float = 0.001, keep: tuple = ()) -> tuple[DataFrame, dict[str, str]]:
     """Without sparse and constant-like columns; why each went."""
     why = {}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import short_id, slugify
 from .topics import CHARTS
 
 
@@ -52,7 +51,7 @@ def charts(topic, component: str, columns: list[str], most: int) -> list[dict]:
 
 def chart_id(topic_id: str, name: str) -> str:
     """A name that is the same for the same topic and chart."""
-    return f"{re.sub(r'[^a-z0-9]+', '-', name.lower()).strip('-')}-{hashlib.sha1(f'{topic_id}:{name}'.encode()).hexdigest()[:8]}"
+    return f"{slugify(name)}-{short_id([topic_id, name])}"
 
 
 def manifest(components: list[dict], charts: list[dict] = ()) -> dict:

@@ -6,7 +6,6 @@ what planning itself has seen already.
 
 from __future__ import annotations
 
-import json
 import re
 from itertools import combinations
 
@@ -150,9 +149,14 @@ def _screens(r: Roles, seen: Seen) -> list[Topic]:
     return out
 
 
+def best_metric(r: Roles, seen: Seen) -> str | None:
+    """The metric with most values, of equal ones that which varies most."""
+    return max(_known(r, seen), key=lambda m: (_share(seen, m), seen.moments[m]["std"] or 0.0), default=None)
+
+
 def _counts(r: Roles, seen: Seen) -> list[Topic]:
     out = []
-    best = max(_known(r, seen), key=lambda m: (_share(seen, m), seen.moments[m]["std"] or 0.0), default=None)
+    best = best_metric(r, seen)
     for c in r.categories if best else []:
         names, shares = _shares(seen.groups[c], best)
         n = sum(g[best][0] for _, _, g in seen.groups[c])
@@ -194,6 +198,3 @@ def fallback(df: DataFrame, r: Roles, seen: Seen, least: float = 0.3, most: int
         out.append((Topic("correlation", list(best), [], pairs[best], {}, {}, seen.rows, min(_share(seen, m) for m in best), 0.0, CHARTS["correlation"]), 0.87 + min(0.1, pairs[best])))
     return sorted(out, key=lambda x: -x[1])[:most]
 
-
-def plan_of(topic) -> list[dict]:
-    return json.loads(topic.effect_detail or "{}").get("feature_plan", [])

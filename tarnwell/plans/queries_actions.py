@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import periods, pvalues
+from ..functions import ids, periods, pvalues
 from ..operators import frames, layout, ordered, planner, profile, roles, topics
 from ..sources import files, messy
 from ..sources.staged import shared_root
@@ -431,3 +431,26 @@ def _(t, spark):
     found = profile.facts(t("events").select(F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 2).alias("odd"), F.lit("x").alias("same")))
     test = lambda text, f: dsl.compile_facts(text)(f)
     return spark.createDataFrame([(c, test("missing_pct > 0.1", f), test("nunique == 1", f)) for c, f in found.items()], "column_name string, gaps boolean, constant boolean")
+
+
+@query("sample_by_hash", "SELECT o_orderkey FROM orders WHERE substr(md5('42|' || o_orderkey::VARCHAR), 1, 8) < '40000000'")
+def _(t, spark):
+    return frames.hash_sample(t("orders"), 0.25, ["o_orderkey"]).select("o_orderkey")
+
+
+@query("topics_best_metric", """WITH m AS (SELECT 'l_quantity' AS m, count(l_quantity) AS n, stddev_samp(l_quantity) AS s FROM lineitem UNION ALL SELECT 'l_tax', count(l_tax), stddev_samp(l_tax) FROM lineitem
+UNION ALL SELECT 'odd', count(CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice END), stddev_samp(CASE WHEN l_orderkey % 2 = 0 THEN l_extendedprice END) FROM lineitem) SELECT m AS metric FROM m ORDER BY n DESC, s DESC LIMIT 1""")
+def _(t, spark):
+    df = t("lineitem").withColumn("odd", F.when(F.col("l_orderkey") % 2 == 0, F.col("l_extendedprice")))
+    r = topics.Roles(None, None, ["l_tax", "l_quantity", "odd"], [])
+    return spark.createDataFrame([(planner.best_metric(r, topics.Seen.of(df, r)),)], "metric string")
+
+
+@query("row_hashes", "SELECT c_custkey, substr(sha256('=' || c_custkey || chr(31) || CASE WHEN c_nationkey > 5 THEN '=' || c_name ELSE '' END), 1, 16) AS hash FROM customer")
+def _(t, spark):
+    return t("customer").select("c_custkey", ids.row_hash(F.col("c_custkey"), F.when(F.col("c_nationkey") > 5, F.col("c_name")), size=16).alias("hash"))
+
+
+@query("ids", "SELECT 'my-set-2024' AS slug, substr(sha256('[\"a\", 1]'), 1, 8) AS id")
+def _(t, spark):
+    return spark.createDataFrame([(ids.dataset_slug("My Set!", "2024"), ids.short_id(["a", 1]))], "slug string, id string")

@@ -9,16 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..functions.ids import slugify  # noqa: F401
 from ..functions.unicode import nfkc
 
 #: Extensions and their formats.
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "ndjson": "json", "jsonl": "json", "feather": "feather", "arrow": "feather", "xlsx": "xlsx"}
 
 
-def slugify(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
-
-
 def extension(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name else "csv"

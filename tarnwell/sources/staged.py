@@ -55,10 +55,11 @@ def mark() -> int:
     return len(_held)
 
 
-def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
-    """Delete what was staged since a mark, but for one table: nothing that is read later may come from the others."""
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what was staged since a mark, but for some tables: nothing that is read later may come from the others."""
+    kept = {getattr(df, "_staged", None) for df in keep}
     for path in _held[since:]:
-        if keep is None or path != getattr(keep, "_staged", None):
+        if path not in kept:
             where, fs = _path(spark, path)
             fs.delete(where, True)
             _held.remove(path)

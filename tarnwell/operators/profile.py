@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
@@ -101,6 +103,14 @@ def _made(c: str, df: DataFrame, row, own: dict) -> dict:
 FACT_COLUMNS = ("missing_pct", "nunique", "unique_ratio", "avg_len", "mean", "std", "iqr", "min", "max")
 
 
+def coverage(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: the share of rows that have all of the columns; of columns that aren't there nothing is asked."""
+    have = [F.col(f"`{c}`").isNotNull() for c in cols if c in df.columns]
+    if not have:
+        return df.agg(F.lit(0.0).alias("coverage"))
+    return df.agg(F.coalesce(F.avg(reduce(lambda a, b: a & b, have).cast("double")), F.lit(0.0)).alias("coverage"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Facts as rows: column_name, type and FACT_COLUMNS."""
     made = facts(df, columns)

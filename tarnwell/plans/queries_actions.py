@@ -454,3 +454,48 @@ def _(t, spark):
 @query("ids", "SELECT 'my-set-2024' AS slug, substr(sha256('[\"a\", 1]'), 1, 8) AS id")
 def _(t, spark):
     return spark.createDataFrame([(ids.dataset_slug("My Set!", "2024"), ids.short_id(["a", 1]))], "slug string, id string")
+
+
+@query("profile_coverage", "SELECT round(avg((event_id % 7 > 0 AND event_id % 3 > 0)::INT), 6)::DOUBLE AS coverage FROM events")
+def _(t, spark):
+    df = t("events").selectExpr("CASE WHEN event_id % 7 > 0 THEN value END AS a", "CASE WHEN event_id % 3 > 0 THEN value END AS b")
+    return profile.coverage(df, ["a", "b", "none"]).withColumn("coverage", r6("coverage"))
+
+
+@query("rules_improvement", "SELECT round(avg((event_id % 7 = 0)::INT) / 2 + 0.25, 6)::DOUBLE AS better FROM events")
+def _(t, spark):
+    df = t("events").selectExpr("event_id", "CASE WHEN event_id % 7 > 0 THEN concat('$', cast(value AS string)) END AS amount")
+    own = [pack.Rule("a", 2, "name == 'amount'", "coerce_numeric()"), pack.Rule("b", 1, "name == 'amount'", "impute('median')")]
+    made = rules.clean(df, own, roles.derived(df))
+    return spark.createDataFrame([(round(rules.improvement(made.before, made.after), 6),)], "better double")
+
+
+@query("rules_follow_ups", "SELECT * FROM (VALUES ('amount', 'coerce_numeric()'), ('word', 'coerce_bool()')) AS f(col, action)")
+def _(t, spark):
+    df = t("orders").select(F.format_number("o_totalprice", 2).alias("amount"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("word"))
+    found = profile.facts(df)
+    schema = roles.Schema("", [roles.ColumnSchema(c, "string", "text", 0.5) for c in df.columns])
+    todo = rules.follow_ups(schema, found)
+    return spark.createDataFrame([(c, todo[c][0]) for c in df.columns], "col string, action string")
+
+
+@query("layout_plan", "SELECT 'trend: value' AS title, 'line' AS chart, 2::BIGINT AS place UNION ALL SELECT 'kpi: value', 'kpi', 1")
+def _(t, spark):
+    some = topics.as_frame(spark, [topics.Topic("trend", ["value"], charts=["line"]), topics.Topic("kpi", ["value"])]).withColumn("score_total", F.when(F.col("family") == "kpi", 9.0).otherwise(1.0))
+    made = layout.plan(some, "events")["sections"]
+    return spark.createDataFrame([(s["title"], s["chart"], i + 1) for i, s in enumerate(made)], "title string, chart string, place long")
+
+
+@query("narrative", "SELECT '# events' || chr(10) || chr(10) || '## Files' || chr(10) || '- parquet events: 1' || chr(10) || chr(10) || '## Topics' || chr(10) || '- kpi: value (score 2.50)' || chr(10) AS text, 1::BIGINT AS topics")
+def _(t, spark):
+    counts = spark.createDataFrame([("parquet", "events", 1)], "kind string, slug string, n long").collect()
+    chosen = topics.as_frame(spark, [topics.Topic("kpi", ["value"])]).withColumn("score_total", F.lit(2.5)).collect()
+    made = layout.payload("events", counts, chosen)
+    return spark.createDataFrame([(made["text"], len(made["topics"]))], "text string, topics long")
+
+
+@query("suggested_actions", "SELECT * FROM (VALUES ('a', '{\"drop\": true, \"normalize\": {\"lower\": false, \"strip\": true}}'), ('b', '{\"drop\": false, \"impute\": \"median\"}'), ('c', '{\"drop\": false, \"flag_low_uniqueness_for_id\": true}')) AS s(col, todo)")
+def _(t, spark):
+    m = lambda cover, unique: {"non_null_ratio": cover, "unique_ratio": unique}
+    got = [("a", pipeline.suggested("string", "text", m(0.05, 0.1))), ("b", pipeline.suggested("float", "numeric", m(0.9, 0.5))), ("c", pipeline.suggested("int", "id", m(1.0, 0.5)))]
+    return spark.createDataFrame([(c, json.dumps(x, sort_keys=True)) for c, x in got], "col string, todo string")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
+from ..sources.staged import mark, release
 from . import tokens
 from .common import grouped, small, stage, table, unstage
 from .components import components
@@ -230,6 +231,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no shingles and are alone. Rows that repeat an id and its text are copies. Null ids are links like any other, and
     are the class_id only of classes that have no other. Other columns are ignored, whatever their names.
     """
+    since = mark()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("xx", F.xxhash64("text"))
     every = stage(rows.select("id", "xx", _described("text").alias("d"), F.monotonically_increasing_id().alias("rid")).select("id", "xx", "rid", "d.*"))
     key = ["n", "f1", "f2"]
@@ -245,7 +247,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     heads = named.groupBy("root").agg(F.min("head").alias("first"), F.min("rep").alias("any"))
     named = named.join(heads, "root").join(links, "rep", "left").select(*key, "rep", "copies", "first", "any", "links")
-    out = every.join(stage(named), key, "left")
+    named = stage(named)
+    release(docs.sparkSession, since, every, named)
+    out = every.join(named, key, "left")
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
@@ -272,7 +276,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Staged a, b of the pairs (rep, center) whose sketches make a candidate."""
     ours, theirs = sketches.select("rep", F.col("sig").alias("one")), sketches.select(F.col("rep").alias("center"), F.col("sig").alias("other"))
-    return stage(stage(pairs).join(ours, "rep").join(theirs, "center").where(_alike("one", "other")).select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    return stage(pairs.join(ours, "rep").join(theirs, "center").where(_alike("one", "other")).select(F.col("rep").alias("a"), F.col("center").alias("b")))
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -285,7 +289,7 @@ def _candidate_clusters(sketches: DataFrame) -> DataFrame:
     two = lambda mixed: mixed.where("many = 2").select(F.col("last").alias("rep"), "center")
     members = _buckets(sketches.select("rep", "sig", F.col("rep").alias("comp")), range(FIRST))
     mixed = _mixed(members)
-    near = members.select("bucket", "rep").join(small(stage(mixed.where("many > 2").select("bucket", "center"))), "bucket").where("rep <> center").select("rep", "center")
+    near = members.select("bucket", "rep").join(small(mixed.where("many > 2").select("bucket", "center")), "bucket").where("rep <> center").select("rep", "center")
     known = components(_alike_pairs(two(mixed).unionAll(near).distinct(), sketches))
     unstage(members, mixed)
 
@@ -293,7 +297,7 @@ def _candidate_clusters(sketches: DataFrame) -> DataFrame:
     members = _buckets(placed, range(RUNS))
     mixed = _mixed(members)
     pairs = _alike_pairs(two(mixed).distinct(), sketches)
-    now = stage(members.join(small(stage(mixed.where("many > 2").select("bucket", "many"))), "bucket"))
+    now = stage(members.join(small(mixed.where("many > 2").select("bucket", "many")), "bucket"))
     unstage(members, mixed)
     leaves = None
     for depth in range(START, DEEPEST + 1):

@@ -274,9 +274,13 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _alike_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Staged a, b of the pairs (rep, center) whose sketches make a candidate."""
-    ours, theirs = sketches.select("rep", F.col("sig").alias("one")), sketches.select(F.col("rep").alias("center"), F.col("sig").alias("other"))
-    return stage(pairs.join(ours, "rep").join(theirs, "center").where(_alike("one", "other")).select(F.col("rep").alias("a"), F.col("center").alias("b")))
+    """Staged a, b of the pairs (rep, center) whose sketches make a candidate. Only the sketches of sets that are in a pair
+    are moved: most sets are in none."""
+    pairs = stage(pairs)
+    named = stage(pairs.select("rep").unionAll(pairs.select(F.col("center").alias("rep"))).distinct())
+    own = stage(sketches.select("rep", "sig").join(small(named), "rep"))
+    ours, theirs = own.select("rep", F.col("sig").alias("one")), own.select(F.col("rep").alias("center"), F.col("sig").alias("other"))
+    return stage(ours.join(small(pairs), "rep").join(theirs, "center").where(_alike("one", "other")).select(F.col("rep").alias("a"), F.col("center").alias("b")))
 
 
 def _joined(known: DataFrame, links: DataFrame) -> DataFrame:

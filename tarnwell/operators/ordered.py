@@ -61,10 +61,19 @@ def windowed(df: DataFrame, order_by: list[str], before: int, after: int, column
     return rows.withColumns(columns(w)).where("_block = _own").drop("_i", "_own", "_block")
 
 
+def around(df: DataFrame, by: list[str], order_by: list[str], known: str, before: str, after: str) -> DataFrame:
+    """df with the last value of the column known at or before each row of its group, and the first at or after it. What
+    comes after is looked up in the reverse order of the rows' numbers: a frame that ends with the group is gone through anew
+    for each row, and ties have one order both ways."""
+    w = Window.partitionBy(*by).orderBy(*order_by)
+    numbered = df.withColumn(before, F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_place", F.row_number().over(w))
+    back = Window.partitionBy(*by).orderBy(F.col("_place").desc())
+    return numbered.withColumn(after, F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0))).drop("_place")
+
+
 def neighbours(df: DataFrame, order_by: list[str], known: Column, before: str, after: str) -> DataFrame:
     """df with the last value of known at or before each row, and the first at or after it."""
     cut = sliced(df.withColumn("_known", known), order_by)
-    w = _inside(order_by)
     place = F.struct(*[F.col(c) for c in order_by])
     has = F.col("_known").isNotNull()
     ends = cut.groupBy("_slice").agg(F.max_by(F.when(has, F.col("_known")), F.when(has, place)).alias("_last"), F.min_by(F.when(has, F.col("_known")), F.when(has, place)).alias("_first"))
@@ -73,10 +82,8 @@ def neighbours(df: DataFrame, order_by: list[str], known: Column, before: str, a
         "_slice", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_before"),
         F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_from_after"),
     )
-    met = cut.join(F.broadcast(handed), "_slice")
-    last = F.last("_known", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_known", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return met.withColumn(before, F.coalesce(last, "_from_before")).withColumn(after, F.coalesce(first, "_from_after")).drop("_slice", "_known", "_from_before", "_from_after")
+    met = around(cut.join(F.broadcast(handed), "_slice"), ["_slice"], order_by, "_known", "_back", "_ahead")
+    return met.withColumn(before, F.coalesce("_back", "_from_before")).withColumn(after, F.coalesce("_ahead", "_from_after")).drop("_slice", "_known", "_from_before", "_from_after", "_back", "_ahead")
 
 
 def quantiles(df: DataFrame, wanted: list[tuple[Column, float]]) -> list[float | None]:

@@ -209,3 +209,19 @@ def test_staged_tables_can_be_released(spark):
 def test_facts_without_rows(spark):
     f = profile.facts(spark.createDataFrame([], "a int, b string, c double"))
     assert all(x["rows"] == 0 and x["nunique"] == 0 for x in f.values()) and f["c"]["iqr"] is None
+
+
+def _look_ahead(df) -> bool:
+    """Whether a window of rows runs to its group's end, which Spark goes through anew for every row."""
+    return "currentrow$(), unboundedfollowing$()" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fills_of_whole_orders_look_ahead_in_one_pass(spark):
+    df = spark.createDataFrame([(i, i // 4, float(i) if i % 3 == 0 else None) for i in range(60)], "i int, t int, x double").repartition(3)
+    made = ordered.neighbours(df, ["t"], F.col("x"), "a", "b")  # four rows of each t are ties
+    assert not _look_ahead(made) and not _look_ahead(frames.impute(df, "x", "bfill", ["t"]))
+    rows = made.collect()
+    assert len(rows) == 60 and all(r.x is None or r.a == r.b == r.x for r in rows)
+    for r in rows:  # of ties, each one's neighbours are next to each other in the one order that all have
+        assert r.x is not None or r.a is None or r.b is None or r.a != r.b
+    assert [r.x for r in frames.impute(df, "x", "bfill", ["i"]).orderBy("i").collect()] == [float(i + -i % 3) if i < 58 else None for i in range(60)]

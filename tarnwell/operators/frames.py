@@ -50,9 +50,7 @@ def impute(df: DataFrame, col: str, method: str, order_by: list[str] | None = No
     else:
         known = x
     if by:
-        w = Window.partitionBy(*by).orderBy(*order_by)
-        df = df.withColumn("_k", known)
-        df = df.withColumn("_a", F.last("_k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_k", True).over(w.rowsBetween(0, Window.unboundedFollowing))).drop("_k")
+        df = ordered.around(df.withColumn("_k", known), by, order_by, "_k", "_a", "_b").drop("_k")
     else:
         df = ordered.neighbours(df, order_by, known, "_a", "_b")
     if method != "interpolate":

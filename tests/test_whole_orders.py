@@ -225,3 +225,15 @@ def test_fills_of_whole_orders_look_ahead_in_one_pass(spark):
     for r in rows:  # of ties, each one's neighbours are next to each other in the one order that all have
         assert r.x is not None or r.a is None or r.b is None or r.a != r.b
     assert [r.x for r in frames.impute(df, "x", "bfill", ["i"]).orderBy("i").collect()] == [float(i + -i % 3) if i < 58 else None for i in range(60)]
+
+
+def test_interpolation_looks_ahead_in_one_pass(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i * i) if i % 6 < 2 else None) for i in range(40)], "i int, g int, x double").repartition(3)
+    for by in (None, ["g"]):
+        for method in ("interpolate", "bfill"):
+            assert not _look_ahead(frames.impute(df, "x", method, ["i"], by=by))
+        got = frames.impute(df, "x", "interpolate", ["i"], by=by).orderBy("i").collect()
+        for part in ([got] if by is None else [[r for r in got if r.g == g] for g in (0, 1)]):
+            known = [(k, float(r.i**2)) for k, r in enumerate(part) if r.i % 6 < 2]
+            assert len(part) == 40 // (1 if by is None else 2)
+            assert [r.x for r in part] == pytest.approx(list(np.interp(range(len(part)), *zip(*known, strict=True))))

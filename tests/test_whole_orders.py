@@ -237,3 +237,13 @@ def test_interpolation_looks_ahead_in_one_pass(spark):
             known = [(k, float(r.i**2)) for k, r in enumerate(part) if r.i % 6 < 2]
             assert len(part) == 40 // (1 if by is None else 2)
             assert [r.x for r in part] == pytest.approx(list(np.interp(range(len(part)), *zip(*known, strict=True))))
+
+
+def test_a_vertical_timeline_looks_ahead_in_one_pass(spark):
+    values = [0.0, None, 4.0, None, None, 10.0]
+    df = spark.createDataFrame([(i, i, v) for i, v in enumerate(values)], "k int, t int, v double").repartition(3)
+    made = shapes.vertical_timeline(df, "t", "v", "k")
+    assert not _look_ahead(made)
+    at = {r.key: r.x for r in made.collect()}
+    mean, width = 14 / 3, float(np.quantile([0.0, 4.0, 10.0], 0.97) - np.quantile([0.0, 4.0, 10.0], 0.03))
+    assert [at[i] for i in range(6)] == pytest.approx([(v - mean) / (width / 2) * 0.9 for v in (0, 2, 4, 6, 8, 10)])

@@ -128,8 +128,6 @@ def shipped() -> list[Rule]:
             continue
         if r.id == "postal-width":
             r = replace(r, then="zero_pad(0)")
-        elif r.id == "drop-constant":
-            r = replace(r, when=r.when.replace("nunique <= 1 and ", ""))
         out.append(r)
         if r.id in ("words-for-missing", "words-for-missing-again"):
             out.append(Rule(f"{r.id}:lower", r.priority - 1, r.when, "text_normalize(strip=true, lower=true)"))

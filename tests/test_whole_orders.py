@@ -247,3 +247,8 @@ def test_a_vertical_timeline_looks_ahead_in_one_pass(spark):
     at = {r.key: r.x for r in made.collect()}
     mean, width = 14 / 3, float(np.quantile([0.0, 4.0, 10.0], 0.97) - np.quantile([0.0, 4.0, 10.0], 0.03))
     assert [at[i] for i in range(6)] == pytest.approx([(v - mean) / (width / 2) * 0.9 for v in (0, 2, 4, 6, 8, 10)])
+
+
+def test_few_values_on_many_rows_are_no_constant_as_shipped(spark):
+    df = spark.range(40_000).select(F.col("id").alias("row_key"), (F.col("id") % 25).cast("int").alias("nation"), F.lit(7).alias("always"))
+    assert rules.clean(df, compat=True).df.columns == rules.clean(df).df.columns == ["row_key", "nation"]

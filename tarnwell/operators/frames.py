@@ -159,14 +159,20 @@ def extract_anchor(df: DataFrame, col: str, least: int = 3, digits: bool = False
 
 def column_stats(df: DataFrame) -> DataFrame:
     """column_name, rows, non_null, missing_pct, nunique, unique_ratio of each column, in two aggregates."""
+    return _stats(df).drop("most")
+
+
+def _stats(df: DataFrame) -> DataFrame:
+    """column_stats with most: the rows of the column's most frequent value."""
     cols = df.columns
     base = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(cols)])
     one = base.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("non_null")) for i, c in enumerate(cols)])).alias("s")).select("s.*", "n")
     names = F.array(*map(F.lit, cols))
-    distinct = distinct_counts(df, cols).select(F.get(names, F.col("c")).alias("column_name"), F.col("n").alias("nunique"))
+    distinct = distinct_counts(df, cols).select(F.get(names, F.col("c")).alias("column_name"), F.col("n").alias("nunique"), "most")
     return one.join(distinct, "column_name", "left").select(
         "column_name", F.col("n").alias("rows"), "non_null", (1 - F.col("non_null") / F.col("n")).alias("missing_pct"),
         F.coalesce("nunique", F.lit(0).cast("long")).alias("nunique"), (F.coalesce("nunique", F.lit(0)) / F.col("n")).alias("unique_ratio"),
+        F.coalesce("most", F.lit(0).cast("long")).alias("most"),
     )
 
 
@@ -178,13 +184,15 @@ def hash_sample(df: DataFrame, share: float, key: list[str], seed: int = 42) ->
 
 
 def prune(df: DataFrame, missing: float = 0.9, unique: float = 0.001, keep: tuple = ()) -> tuple[DataFrame, dict[str, str]]:
-    """Without sparse and constant-like columns; why each went."""
+    """Without sparse and constant-like columns; why each went. A column is constant-like where at most that share of its
+    non-null values is another than its most frequent one: the share of distinct values says it only of columns of one
+    size, as it falls with the rows."""
     why = {}
-    for r in column_stats(df).collect():
+    for r in _stats(df).collect():
         if r.column_name not in keep:
             if r.missing_pct >= missing:
                 why[r.column_name] = "sparse"
-            elif r.unique_ratio <= unique:
+            elif r.non_null - r.most <= unique * r.non_null:
                 why[r.column_name] = "constant"
     return df.drop(*why), why
 

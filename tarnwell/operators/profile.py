@@ -87,10 +87,11 @@ def facts(df: DataFrame, columns: list[str] | None = None, formats: tuple = V.DA
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """c (place in cols), n: distinct non-null values, of all columns in one aggregate, by 128 bits of hash each."""
+    """c (place in cols), n: distinct non-null values, most: rows of the most frequent one, of all columns in one aggregate, by
+    128 bits of hash each."""
     x = lambda c: F.col(f"`{c}`") if not df.schema[c].dataType.simpleString().startswith("map") else F.to_json(F.col(f"`{c}`"))
     marks = [F.when(x(c).isNotNull(), F.struct(F.lit(i).alias("c"), F.xxhash64(x(c)).alias("h"), F.xxhash64(x(c), F.lit(1)).alias("g"))) for i, c in enumerate(cols)]
-    return df.select(F.explode(F.array(*marks)).alias("s")).where("s IS NOT NULL").select("s.*").groupBy("c", "h", "g").agg(F.lit(1).alias("one")).groupBy("c").agg(F.count("*").alias("n"))
+    return df.select(F.explode(F.array(*marks)).alias("s")).where("s IS NOT NULL").select("s.*").groupBy("c", "h", "g").agg(F.count("*").alias("rows")).groupBy("c").agg(F.count("*").alias("n"), F.max("rows").alias("most"))
 
 
 def _made(c: str, df: DataFrame, row, own: dict) -> dict:

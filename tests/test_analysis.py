@@ -77,6 +77,13 @@ def test_prune_quarantine_rare_and_anchor(spark):
     assert [r.x for r in anchored.orderBy("i").collect()] == ["mcdonals", "mcdonals", "mcdonals", None]
 
 
+def test_prune_keeps_few_values_on_many_rows_and_drops_one_value_on_few(spark):
+    df = spark.range(8_000).select(F.col("id"), (F.col("id") % 5).alias("segment"), (F.col("id") == 7).alias("once"), F.when(F.col("id") % 2 == 0, "x").alias("constant"))
+    kept, why = frames.prune(df)
+    assert kept.columns == ["id", "segment"] and why == {"once": "constant", "constant": "constant"}
+    assert frames.prune(df.limit(6).select("id", "segment", "constant"))[1] == {"constant": "constant"}
+
+
 def test_statistics(spark):
     assert stats.trend_slope(column(spark, [0.0, 1.0, 2.0, 3.0, 4.0]), "x", ["i"]).first().slope == pytest.approx(0.5)
     assert stats.concentration(column(spark, [0.0, 2.0]), "i", "x").first().gini == pytest.approx(0.5)

@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 
 from ..sources.staged import mark, release
 from . import tokens
-from .common import grouped, small, stage, table, unstage
+from .common import broadcast_rows, grouped, small, stage, table, unstage
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -126,7 +126,8 @@ def _buckets(sketches: DataFrame, runs: range) -> DataFrame:
 
 def _split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        row, path = children(_matrix(frame["sig"]), np.arange(len(frame)), frame["bucket"].to_numpy().view(np.uint64))
+        own = [np.array([x["bucket"] for x in rows], np.int64) for rows in frame["own"]]
+        row, path = children(_matrix(frame["sig"]), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).view(np.uint64))
         yield pd.DataFrame({"bucket": path.view(np.int64), "rep": frame["rep"].to_numpy()[row], "comp": frame["comp"].to_numpy()[row]}).drop_duplicates()
 
 
@@ -260,8 +261,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _with_sketches(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """members (staged) with the column sig."""
-    return sketches.select("rep", "sig").join(small(members), "rep")
+    """rep, sig, comp and own, the list of the other columns, of members (staged): a set is in tens of buckets, and its sketch
+    moves once. The lists are broadcast where members' rows would be."""
+    lists = members.groupBy("rep", "comp").agg(F.collect_list(F.struct(*[c for c in members.columns if c not in ("rep", "comp")])).alias("own"))
+    return sketches.select("rep", "sig").join(F.broadcast(lists) if members.count() <= broadcast_rows(members) else lists, "rep")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -316,7 +319,7 @@ def _candidate_clusters(sketches: DataFrame) -> DataFrame:
     chosen = stage(sizes.groupBy("many", "x1", "x2").agg(F.min(F.struct("level", "bucket")).alias("one")).select("one.level", "one.bucket"))
     if chosen.isEmpty():
         return _joined(known, pairs)
-    in_them = _with_sketches(stage(leaves.join(small(chosen), ["level", "bucket"])), sketches)
+    in_them = _with_sketches(stage(leaves.join(small(chosen), ["level", "bucket"])), sketches).select("rep", "sig", "comp", F.inline("own"))
     blocked = _blocked(in_them, F.ceil(F.col("many") / BLOCK_SKETCHES))
     found = stage(grouped(blocked.select("level", "bucket", "p", "q", "block", "rep", "comp", "sig"), ["level", "bucket", "p", "q"], _near, "a long, b long").distinct())
     return _joined(known, stage(pairs.unionAll(found)))

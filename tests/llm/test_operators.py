@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from tarnwell.llm import chat, components, decontam, exact, html, jaccard, licences, mixing, packing, quality, registry, tokens, toxicity
+from tarnwell.sources import staged
 
 SF = "/root/testdata/sf0.001"
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
@@ -122,6 +123,24 @@ def test_jaccard_join_is_that_of_all_pairs(spark, monkeypatch, small):
     assert sorted(map(repr, got)) == sorted(map(repr, brute_classes(rows)))
 
 
+def test_jaccard_join_moves_a_sketch_once_however_many_buckets_its_set_is_in(spark):
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 32, (40, jaccard.COORDINATES), dtype=np.uint32)
+    sketches = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "rep long, sig binary")
+    rows = [(int(b), i, i % 3) for i in range(30) for b in rng.integers(-(1 << 63), (1 << 63) - 1, i % 7 + 1)]
+    members = staged.stage(spark.createDataFrame(rows, "bucket long, rep long, comp long"))
+    met = jaccard._with_sketches(members, sketches)
+    assert met.count() == 30  # and not a row for each bucket
+    assert sorted((r.bucket, r.rep, r.comp) for r in met.select("rep", "comp", F.inline("own")).collect()) == sorted(rows)
+    assert all(bytes(r.sig) == sig[r.rep].tobytes() for r in met.collect())
+    got = sorted(map(tuple, met.mapInPandas(jaccard._split, jaccard._MEMBERS).collect()))
+    want = set()
+    for b, i, c in rows:
+        _, paths = jaccard.children(sig[i : i + 1], np.array([0]), np.array([b], np.int64).view(np.uint64))
+        want |= {(int(p), i, c) for p in paths.view(np.int64)}
+    assert got == sorted(want) and want
+
+
 def test_jaccard_join_keeps_one_of_each_class_and_takes_an_empty_table(spark):
     rows = odd_rows()
     got = jaccard.jaccard_classes(docs_of(spark, rows)).collect()

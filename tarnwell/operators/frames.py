@@ -40,19 +40,20 @@ def impute(df: DataFrame, col: str, method: str, order_by: list[str] | None = No
         raise ValueError(f"{method} needs an order")
     if method not in ("ffill", "bfill", "interpolate"):
         raise ValueError(f"no such method: {method}")
+    if not by and not df.where(x.isNull()).agg(F.count("*")).first()[0]:  # no gap: no order is needed
+        return df.withColumn(out, x.cast("double") if method == "interpolate" else x)
     at = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double") if time_col else None
+    number = "_at" if method == "interpolate" and at is None and not by else None  # as the order is dealt out
     if method == "interpolate":
-        if at is None and not by:
-            df = ordered.numbered(df, order_by, "_at").withColumn("_at", F.col("_at").cast("double"))
-        else:
+        if not number:
             df = df.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)).cast("double") if at is None else at)
-        known = F.when(x.isNotNull(), F.struct(F.col("_at").alias("t"), x.cast("double").alias("v")))
+        known = F.when(x.isNotNull(), F.struct(F.col("_at").cast("double").alias("t"), x.cast("double").alias("v")))
     else:
         known = x
     if by:
         df = ordered.around(df.withColumn("_k", known), by, order_by, "_k", "_a", "_b").drop("_k")
     else:
-        df = ordered.neighbours(df, order_by, known, "_a", "_b")
+        df = ordered.neighbours(df, order_by, known, "_a", "_b", number)
     if method != "interpolate":
         return df.withColumn(out, F.col("_a" if method == "ffill" else "_b")).drop("_a", "_b")
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_at") - F.col("_a.t")) / F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0.0))

@@ -20,28 +20,34 @@ FEW = 50_000
 
 
 def sliced(df: DataFrame, order_by: list[str], descending: bool = False) -> DataFrame:
-    """df, staged, with _slice: rows of a slice come before those of the next one in the order."""
+    """df, staged, with _slice and _place: rows of a slice come before those of the next one in the order, and inside a slice
+    they are numbered by it from 0. Rows are sorted once, where they are written."""
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
-    spread = df.repartitionByRange(*order) if df.columns else df
-    return stage(spread.withColumn("_slice", F.spark_partition_id()))
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order) if df.columns else df
+    cut = stage(spread.withColumn("_row_id", F.monotonically_increasing_id()))
+    return cut.withColumns({"_slice": F.shiftright("_row_id", 33).cast("int"), "_place": F.col("_row_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_row_id")
 
 
-def _inside(order_by: list[str], descending: bool = False):
-    return Window.partitionBy("_slice").orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order_by])
+def _before(cut: DataFrame, amount: Column) -> DataFrame:
+    """cut with _before: the sum of amount over the slices before a row's own."""
+    sums = cut.groupBy("_slice").agg(F.sum(amount).alias("_sum"))
+    before = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return cut.join(F.broadcast(before), "_slice")
 
 
 def running(df: DataFrame, order_by: list[str], amount: Column, out: str, descending: bool = False) -> DataFrame:
     """df with the sum of amount over the rows up to each one."""
-    cut = sliced(df, order_by, descending)
-    sums = cut.groupBy("_slice").agg(F.sum(amount).alias("_sum"))
-    before = sums.select("_slice", F.coalesce(F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(amount).over(_inside(order_by, descending).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(F.broadcast(before), "_slice").withColumn(out, F.col("_before") + within).drop("_slice", "_before")
+    within = F.sum(amount).over(Window.partitionBy("_slice").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    return _before(sliced(df, order_by, descending), amount).withColumn(out, F.col("_before") + within).drop("_slice", "_place", "_before")
+
+
+def _number(cut: DataFrame, out: str) -> DataFrame:
+    return _before(cut, F.lit(1).cast("long")).withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_before")
 
 
 def numbered(df: DataFrame, order_by: list[str], out: str, descending: bool = False) -> DataFrame:
     """df with each row's place in the order, from 1."""
-    return running(df, order_by, F.lit(1).cast("long"), out, descending)
+    return _number(sliced(df, order_by, descending), out).drop("_slice", "_place")
 
 
 #: Rows of a block of a window over the whole order.
@@ -65,25 +71,29 @@ def around(df: DataFrame, by: list[str], order_by: list[str], known: str, before
     """df with the last value of the column known at or before each row of its group, and the first at or after it. What
     comes after is looked up in the reverse order of the rows' numbers: a frame that ends with the group is gone through anew
     for each row, and ties have one order both ways."""
-    w = Window.partitionBy(*by).orderBy(*order_by)
-    numbered = df.withColumn(before, F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_place", F.row_number().over(w))
-    back = Window.partitionBy(*by).orderBy(F.col("_place").desc())
-    return numbered.withColumn(after, F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0))).drop("_place")
+    return _around(df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))), by, known, before, after).drop("_place")
+
+
+def _around(df: DataFrame, by: list[str], known: str, before: str, after: str) -> DataFrame:
+    """around, in the order of _place."""
+    last = lambda place: F.last(known, True).over(Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(before, last(F.col("_place"))).withColumn(after, last(F.col("_place").desc()))
 
 
-def neighbours(df: DataFrame, order_by: list[str], known: Column, before: str, after: str) -> DataFrame:
-    """df with the last value of known at or before each row, and the first at or after it."""
-    cut = sliced(df.withColumn("_known", known), order_by)
-    place = F.struct(*[F.col(c) for c in order_by])
+def neighbours(df: DataFrame, order_by: list[str], known: Column, before: str, after: str, number: str | None = None) -> DataFrame:
+    """df with the last value of known at or before each row, and the first at or after it. number: a column more, each
+    row's place in the order from 1, which known may read; it takes no further pass over the order."""
+    cut = sliced(df, order_by)
+    cut = (_number(cut, number) if number else cut).withColumn("_known", known)
     has = F.col("_known").isNotNull()
-    ends = cut.groupBy("_slice").agg(F.max_by(F.when(has, F.col("_known")), F.when(has, place)).alias("_last"), F.min_by(F.when(has, F.col("_known")), F.when(has, place)).alias("_first"))
+    ends = cut.groupBy("_slice").agg(*[f(F.when(has, F.col("_known")), F.when(has, F.col("_place"))).alias(n) for n, f in (("_last", F.max_by), ("_first", F.min_by))])
     over = Window.orderBy("_slice")
     handed = ends.select(
         "_slice", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_before"),
         F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_from_after"),
     )
-    met = around(cut.join(F.broadcast(handed), "_slice"), ["_slice"], order_by, "_known", "_back", "_ahead")
-    return met.withColumn(before, F.coalesce("_back", "_from_before")).withColumn(after, F.coalesce("_ahead", "_from_after")).drop("_slice", "_known", "_from_before", "_from_after", "_back", "_ahead")
+    met = _around(cut.join(F.broadcast(handed), "_slice"), ["_slice"], "_known", "_back", "_ahead")
+    return met.withColumn(before, F.coalesce("_back", "_from_before")).withColumn(after, F.coalesce("_ahead", "_from_after")).drop("_slice", "_place", "_known", "_from_before", "_from_after", "_back", "_ahead")
 
 
 def quantiles(df: DataFrame, wanted: list[tuple[Column, float]]) -> list[float | None]:

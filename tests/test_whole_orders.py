@@ -249,6 +249,21 @@ def test_a_vertical_timeline_looks_ahead_in_one_pass(spark):
     assert [at[i] for i in range(6)] == pytest.approx([(v - mean) / (width / 2) * 0.9 for v in (0, 2, 4, 6, 8, 10)])
 
 
+def test_a_whole_order_is_staged_once_and_not_at_all_without_gaps(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(ordered, "stage", lambda df, kept=ordered.stage: staged.append(kept(df)) or staged[-1])
+    rows = [(i, i // 3, float(i * i) if i % 4 < 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").repartition(5)
+    for frame, times in ((df, 1), (df.withColumn("v", F.coalesce("v", F.lit(1.0))), 0)):
+        staged.clear()
+        got = shapes.vertical_timeline(frame, "t", "v", "k").orderBy("key").collect()
+        assert len(staged) == times and len(got) == 60
+        kept = [(r.k, r.v) for r in frame.orderBy("k").collect() if r.v is not None]
+        values = [v for _, v in kept]
+        width = float(np.quantile(values, 0.97) - np.quantile(values, 0.03)) or 1.0
+        assert [r.x for r in got] == pytest.approx([(v - np.mean(values)) / (width / 2) * 0.9 for v in np.interp(range(60), *zip(*kept, strict=True))])
+
+
 def test_few_values_on_many_rows_are_no_constant_as_shipped(spark):
     df = spark.range(40_000).select(F.col("id").alias("row_key"), (F.col("id") % 25).cast("int").alias("nation"), F.lit(7).alias("always"))
     assert rules.clean(df, compat=True).df.columns == rules.clean(df).df.columns == ["row_key", "nation"]

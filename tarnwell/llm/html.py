@@ -14,8 +14,10 @@ alone: article, main, what is called content, or else the body without lists of
 
 Templates are folded where the pages are, then merged in two steps, by host and salt and by host, so a host with a
 third of all pages meets in no task; a template holds structure and hashes, no text, and its size follows the pages'
-structure and not their number: a node has at most MOST_KIDS children, beyond which those of one tag are one. The second
-pass reads the pages again, with their host's template.
+structure and not their number: a node has at most MOST_KIDS children, beyond which those of one tag are one. How many
+different pages a node stands on, with how many different contents and characters, is counted over all pages of the host:
+what pages have in each node is kept as marks, and aggregated by host, node, page and content. The last pass reads the
+pages again, with their host's template.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 
 #: Fixed values of HTML: elements without content, with raw text, and that start a block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,9 +60,9 @@ MAIN_WORDS = frozenset("article main content post entry story body text articleb
 #: Different pages that a host has at least before its template names the region, and before what is the same on all of
 #: them is template inside it.
 REGION_PAGES, LEAST_PAGES = 3, 5
-#: Different pages by which a host is sampled, and the share of them that counts as nearly all.
-SAMPLE, NEARLY_ALL = 10, 0.9
-#: Share of the contents of the sampled pages from which they vary; shares of a container's varying text that lead on into
+#: Different pages from which on a node's text has its full weight, and the share of a host's pages that is nearly all.
+FULL, NEARLY_ALL = 10, 0.9
+#: Different contents for a page from which on they vary; shares of a container's varying text that lead on into
 #: the one that has it, and that any other one has at most; share of linked text from which a block is a list of links.
 VARIES, LEADS, BESIDE, LINKED = 0.5, 0.5, 0.2, 0.6
 #: Levels of a template; what stands further in is no template's. Pages are read to any depth.
@@ -226,8 +228,12 @@ class Folded:
         return [x for n in self.nodes if n.tag not in RAW and (x := " ".join(" ".join(k for k in n.kids if isinstance(k, str)).split()))]
 
 
-def _hash(text: str) -> bytes:
-    return blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
+def _hash(text: str | bytes) -> bytes:
+    return blake2b(text if isinstance(text, bytes) else text.encode("utf-8", "replace"), digest_size=8).digest()
+
+
+def _long(hashed: bytes) -> int:
+    return int.from_bytes(hashed, "little", signed=True)
 
 
 def _page(root: Node) -> tuple[bytes, bytes]:
@@ -237,33 +243,72 @@ def _page(root: Node) -> tuple[bytes, bytes]:
 
 
 class Slot:
-    """A node of a template: of the SAMPLE pages with the least hashes on which it stands, its text's hash and length;
-    hashes of up to LEAST_PAGES pages that are no near copies; hashes of the texts that are in it on every page; and
-    whether it is boilerplate by tag or name. region, beside and total are settled by decide()."""
+    """A node of a template: hashes of the texts that are in it on every page; of pages that are no near copies the least
+    LEAST_PAGES hashes, by which up to so many are counted exactly; whether it ever has text; and whether it is boilerplate
+    by tag or name. counts: different pages on which it stands, their different contents, and their characters, over all
+    pages. They come from pages (by page its content and characters) where all of a host are merged in one place, and else
+    from the aggregate of all marks; pages are never written. region, beside and total are settled by decide()."""
 
-    __slots__ = ("apart", "beside", "boiler", "kids", "label", "pages", "region", "same", "total")
+    __slots__ = ("apart", "beside", "boiler", "counts", "kids", "label", "pages", "region", "said", "same", "total")
 
     def __init__(self, folded: Folded, page: tuple[bytes, bytes] | None = None):
         page = page or _page(folded.nodes[0])
         texts = folded.texts()
         hashes = sorted(map(_hash, texts))
-        self.label, self.same = folded.label, frozenset(hashes)
-        self.pages = {page[0]: (_hash(repr(hashes)), sum(map(len, texts)))}
+        self.label, self.same, self.said, self.counts = folded.label, frozenset(hashes), bool(texts), None
+        self.pages = {_long(page[0]): (_long(_hash(b"".join(hashes))) if texts else 0, sum(map(len, texts)))}
         self.apart = frozenset(page[1:])
         self.boiler = is_boilerplate(folded.nodes[0], True) or folded.label[0] == "a"
         self.kids = [Slot(k, page) for k in folded.kids]
 
     def __getstate__(self):
-        return (self.label, self.pages, self.apart, self.same, self.boiler, self.kids)
+        return (self.label, self.apart, self.same, self.said, self.boiler, self.counts, self.kids)
 
     def __setstate__(self, state):
-        self.label, self.pages, self.apart, self.same, self.boiler, self.kids = state
+        self.label, self.apart, self.same, self.said, self.boiler, self.counts, self.kids = state
+        self.pages = {}
 
     def own(self) -> float:
-        """Characters a page of its own text that vary from page to page, over the sampled pages."""
-        if self.boiler or len({c for c, _ in self.pages.values()}) < max(2, VARIES * len(self.pages)) and len(self.pages) > 1:
+        """Characters a page of its own text that vary from page to page; less where it stands on few pages."""
+        pages, contents, chars = self.counts
+        if self.boiler or not pages or contents < max(2, VARIES * pages) and pages > 1:
             return 0.0
-        return float(sum(n for _, n in self.pages.values()))
+        return chars / pages * min(pages, FULL)
+
+
+def preorder(template: Slot) -> list[Slot]:
+    """A template's nodes; a node's place among them is its number."""
+    out, left = [], [template]
+    while left:
+        out.append(left.pop())
+        left += reversed(out[-1].kids)
+    return out
+
+
+def marks(slot: Slot) -> tuple:
+    """Of one page's own template, each node's label, content, characters and children."""
+    ((content, chars),) = slot.pages.values()
+    return (slot.label, content, chars, [marks(k) for k in slot.kids])
+
+
+class Mark:
+    """A node of a page as marks() keeps it."""
+
+    __slots__ = ("chars", "content", "kids", "label")
+
+    def __init__(self, state: tuple):
+        self.label, self.content, self.chars, kids = state
+        self.kids = [Mark(k) for k in kids]
+
+
+def standing(slot: Slot, mark: Mark, number: dict[int, int], out: list) -> None:
+    """Appends (number, content, characters) of the template's nodes on a page, but for those that never have text, and for
+    what is no main text by its tag, with all inside: nothing is read there."""
+    if slot.said or not out:  # the root counts the pages
+        out.append((number[id(slot)], mark.content, mark.chars))
+    if slot.label[0] not in NOT_MAIN or slot.label[0] == "header":
+        for x, y in _pairs(slot.kids, mark.kids, {}):
+            standing(slot.kids[x], mark.kids[y], number, out)
 
 
 def fits(a, b) -> bool:
@@ -302,27 +347,33 @@ def _pairs(xs: list, ys: list, known: dict) -> list[tuple[int, int]]:
     return out
 
 
-def merge(a: Slot, b: Slot, known: dict | None = None) -> Slot:
-    """The template of two templates whose roots match; what one lacks is kept from the other. Changes a."""
+def merge(a: Slot, b: Slot, known: dict | None = None, whole: bool = True) -> Slot:
+    """The template of two templates whose roots match; what one lacks is kept from the other. Changes a. whole: pages are
+    kept, so that all pages of a host are counted here; else they are counted by their marks."""
     known = {} if known is None else known
     pairs = [*_pairs(a.kids, b.kids, known), (len(a.kids), len(b.kids))]  # before a changes
     if a.label != b.label:
         a.label = (a.label[0], ANY)
-    a.pages = dict(sorted((a.pages | b.pages).items())[:SAMPLE])
+    for p, (content, chars) in b.pages.items() if whole else ():
+        was = a.pages.get(p, (content, chars))  # copies of a page's main text are one page
+        a.pages[p] = (min(content, was[0]), max(chars, was[1]))
+    if not whole:
+        a.pages = {}
     a.apart = frozenset(sorted(a.apart | b.apart)[:LEAST_PAGES])
     a.same &= b.same
+    a.said |= b.said
     a.boiler &= b.boiler
     kids, i, j = [], 0, 0
     for x, y in pairs:
         kids += a.kids[i:x] + b.kids[j:y]
         if x < len(a.kids):
-            kids.append(merge(a.kids[x], b.kids[y], known))
+            kids.append(merge(a.kids[x], b.kids[y], known, whole))
         i, j = x + 1, y + 1
     if len(kids) > MOST_KIDS:
         by_tag: dict[str, Slot] = {}
         for k in kids:
             tag = k.label[0]
-            by_tag[tag] = merge(by_tag[tag], k) if tag in by_tag else k
+            by_tag[tag] = merge(by_tag[tag], k, whole=whole) if tag in by_tag else k
         kids = list(by_tag.values())
         for k in kids:
             k.label = (k.label[0], ANY)
@@ -331,7 +382,12 @@ def merge(a: Slot, b: Slot, known: dict | None = None) -> Slot:
 
 
 def decide(template: Slot) -> Slot:
-    """Marks the template's region and what stands beside it; neither if too few different pages were seen, or none vary."""
+    """Marks the template's region and what stands beside it; neither if there are too few different pages, or none vary."""
+    for slot in preorder(template):
+        if slot.counts is None:
+            slot.counts = len(slot.pages), len({c for c, _ in slot.pages.values()}), sum(n for _, n in slot.pages.values())
+    if not template.counts[0]:
+        raise ValueError("a template that was written needs its host's counts")
 
     def settle(slot: Slot) -> float:
         slot.region = slot.beside = False
@@ -341,7 +397,7 @@ def decide(template: Slot) -> Slot:
                 settle(k)
         return slot.total
 
-    if not settle(template) or len(template.pages) < REGION_PAGES:
+    if not settle(template) or template.counts[0] < REGION_PAGES:
         return template
     now = template
     while True:
@@ -455,66 +511,143 @@ def read(root: Node, template: Slot | None = None) -> tuple[list[str], bool]:
 def _constant(b: tuple, to: dict, template: Slot) -> bool:
     """Whether every page repeats the block in its slot, on enough pages that are no near copies, or on nearly all."""
     slot = to.get(id(b[1]))
-    if slot is None or len(slot.pages) < LEAST_PAGES or _hash(b[0]) not in slot.same:
+    if slot is None or slot.counts[0] < LEAST_PAGES or _hash(b[0]) not in slot.same:
         return False
-    return len(slot.apart) >= LEAST_PAGES or len(slot.pages.keys() & template.pages.keys()) >= NEARLY_ALL * len(template.pages)
+    return len(slot.apart) >= LEAST_PAGES or slot.counts[0] >= NEARLY_ALL * template.counts[0]
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template (pickled), from pages: host, html."""
+#: Hosts whose templates a task holds at once.
+HOSTS = 2000
+
+
+class Known(dict):
+    """Templates by place, read from their bytes once; HOSTS at most."""
+
+    def of(self, place: int, raw: bytes) -> Slot:
+        if place not in self:
+            if len(self) >= HOSTS:
+                self.clear()
+            self[place] = pickle.loads(raw)
+        return self[place]
+
+
+def folded(pages: DataFrame) -> DataFrame:
+    """host, template, page, mark, of pages: host, html. A row a page has the hash of its main text and its marks; rows with
+    a template have those of a task's hosts."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: dict[str, Slot] = {}
         for frame in frames:
+            hashes, kept = [], []
             for host, html in zip(frame["host"], frame["html"], strict=True):
                 slot = Slot(Folded([parse(html)]))
-                made[host] = merge(made[host], slot) if host in made else slot
-            if len(made) > 2000:
+                hashes += slot.pages
+                kept.append(pickle.dumps(marks(slot)))
+                made[host] = merge(made[host], slot, whole=False) if host in made else slot
+            yield pd.DataFrame({"host": frame["host"], "template": None, "page": hashes, "mark": kept})
+            if len(made) > HOSTS:
                 yield rows(made)
                 made = {}
         if made:
             yield rows(made)
 
     def rows(made: dict[str, Slot]) -> pd.DataFrame:
-        return pd.DataFrame({"host": list(made), "template": [pickle.dumps(x) for x in made.values()]})
+        return pd.DataFrame({"host": list(made), "template": [pickle.dumps(x) for x in made.values()], "page": 0, "mark": None})
+
+    return pages.mapInPandas(fold, "host string, template binary, page long, mark binary")
+
+
+def met(parts: DataFrame) -> DataFrame:
+    """host, template: the partial templates of each host merged, by salt and then all."""
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         slots = sorted(g["template"])
         first = pickle.loads(slots[0])
         for x in slots[1:]:
-            first = merge(first, pickle.loads(x))
+            first = merge(first, pickle.loads(x), whole=False)
         return pd.DataFrame({"host": [g["host"].iloc[0]], "template": [pickle.dumps(first)]})
 
     kind = "host string, template binary"
-    parts = pages.mapInPandas(fold, kind).withColumn("salt", F.pmod(F.hash("template"), F.lit(SALTS)))
-    return parts.groupBy("host", "salt").applyInPandas(meet, kind).groupBy("host").applyInPandas(meet, kind)
+    salted = parts.where("template IS NOT NULL").select("host", "template").withColumn("salt", F.pmod(F.hash("template"), F.lit(SALTS)))
+    return salted.groupBy("host", "salt").applyInPandas(meet, kind).groupBy("host").applyInPandas(meet, kind)
+
+
+def counted(parts: DataFrame, made: DataFrame) -> DataFrame:
+    """place, node, pages, contents, chars: a row for each node of a template (made: place, host, template) that has text,
+    over the marks of all pages of its host."""
+
+    def stand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, numbers = Known(), {}
+        for frame in frames:
+            places, nodes, pages, contents, chars = [], [], [], [], []
+            for place, raw, page, mark in zip(frame["place"], frame["template"], frame["page"], frame["mark"], strict=True):
+                slot = known.of(place, raw)
+                if numbers.get(place, (None,))[0] is not slot:
+                    numbers[place] = slot, {id(x): i for i, x in enumerate(preorder(slot))}
+                out: list = []
+                standing(slot, Mark(pickle.loads(mark)), numbers[place][1], out)
+                places += [place] * len(out)
+                pages += [page] * len(out)
+                for i, content, n in out:
+                    nodes.append(i)
+                    contents.append(content)
+                    chars.append(n)
+            yield pd.DataFrame({"place": places, "node": nodes, "page": pages, "content": contents, "chars": chars}, dtype="int64")
+
+    rows = _beside(parts.where("mark IS NOT NULL").select("host", "page", "mark"), made).select("place", "template", "page", "mark")
+    each = rows.mapInPandas(stand, "place long, node long, page long, content long, chars long")
+    pages = each.groupBy("place", "node", "page").agg(F.min("content").alias("content"), F.max("chars").alias("chars"))
+    contents = pages.groupBy("place", "node", "content").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+    return contents.groupBy("place", "node").agg(F.sum("pages").alias("pages"), F.count("*").alias("contents"), F.sum("chars").alias("chars"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """place, host, template (pickled, with its counts over all pages), staged, from pages: host, html."""
+    parts = stage(folded(pages))
+    made = stage(met(parts).withColumn("place", F.monotonically_increasing_id()))
+    counts = counted(parts, made).groupBy("place").agg(F.collect_list(F.array("node", "pages", "contents", "chars")).alias("counts"))
+
+    @F.pandas_udf("binary")
+    def settled(raw: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for one, rows in zip(raw, counts, strict=True):
+            slot = pickle.loads(one)
+            by = {int(i): tuple(map(int, numbers)) for i, *numbers in rows}
+            for i, x in enumerate(preorder(slot)):
+                x.counts = by.get(i, (0, 0, 0))
+            out.append(pickle.dumps(slot))
+        return pd.Series(out)
+
+    done = stage(made.join(counts, "place").select("place", "host", settled("template", "counts").alias("template")))
+    unstage(parts, made)
+    return done
 
 
 #: Bytes of all templates up to which they are broadcast.
 BROADCAST_BYTES = 48 << 20
 
 
+def _beside(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows with their host's template."""
+    bytes_ = made.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
+    return rows.join(F.broadcast(made) if bytes_ <= BROADCAST_BYTES else made, "host", "left")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text: one row per page. A null html is empty, its text too. Pages without a host in their url, or
     without a url, are one host. A host with fewer than REGION_PAGES different pages has no template that names its
     region. Rows that repeat all stay. Other columns are ignored, whatever their names."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    made = stage(templates(rows.select("host", "html")))
-    bytes_ = made.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
-    met = rows.join(F.broadcast(made) if bytes_ <= BROADCAST_BYTES else made, "host", "left")
+    made = templates(rows.select("host", "html"))
 
     @F.pandas_udf("string")
-    def apply(html: pd.Series, template: pd.Series) -> pd.Series:
-        known: dict[bytes, Slot] = {}
-        texts = []
-        for page, raw in zip(html, template, strict=True):
-            if raw not in known:
-                known[raw] = pickle.loads(raw)
-            texts.append(extract(parse(page), known[raw]))
-        return pd.Series(texts)
-
-    return met.select(F.col("id").alias(id_col), F.col("url").alias(url_col), apply("html", "template").alias("text"))
+    def apply(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = Known()
+        for html, place, template in batches:
+            yield pd.Series([extract(parse(page), known.of(at, raw)) for page, at, raw in zip(html, place, template, strict=True)], dtype=object)
+
+    return _beside(rows, made).select(F.col("id").alias(id_col), F.col("url").alias(url_col), apply("html", "place", "template").alias("text"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,23 @@ def test_the_template_names_the_region_of_pages_without_telling_tags():
     assert not html.read(html.parse(pages[0][0]), few)[1]
 
 
+def rotating_pages(n):
+    """Pages of one host with one of 20 long adverts each, where no tag or name tells what is main text, and their texts."""
+    r = random.Random(8)
+    say = lambda n: " ".join(f"{r.choice('abcdef')}{r.randrange(9999)}" for _ in range(n))
+    adverts, texts = [say(40) for _ in range(20)], [say(60) for _ in range(n)]
+    return [f"<html><body><div class=ka>{t}</div><div class=kb>{adverts[i % 20]}</div></body></html>" for i, t in enumerate(texts)], texts
+
+
+def test_what_varies_is_counted_over_all_pages_of_a_host():
+    pages, texts = rotating_pages(120)
+    slot = host_of(pages)
+    assert [html.extract(html.parse(p), slot) for p in pages] == texts  # ten pages have about eight of the 20 adverts
+    assert slot.counts[0] == 120 and sorted(x.counts[:2] for x in html.preorder(slot) if x.said) == [(120, 20), (120, 120)]
+    with pytest.raises(ValueError):
+        html.decide(pickle.loads(pickle.dumps(host_of(pages))))
+
+
 def test_templates_do_not_grow_with_the_number_of_pages():
     def size(n, kind):
         return len(pickle.dumps(host_of([kind(k) for k in range(n)])))

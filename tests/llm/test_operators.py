@@ -268,6 +268,34 @@ def test_extraction_query_is_that_of_pages_folded_one_by_one(spark):
     assert got == {i: "\n".join(blocks) for i, (blocks, _) in read.items()}
 
 
+def test_counts_of_templates_are_those_of_all_pages(spark):
+    from .test_numpy_parts import rotating_pages
+
+    made, texts = rotating_pages(120)
+    rows = [(i, "http://a/x", p) for i, p in enumerate([*made, *made[:30]])]  # copies of a page are one page
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r.page_id: r.text for r in html.main_text(frame).collect()} == dict(enumerate([*texts, *texts[:30]]))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "html")
+    both = pages.unionByName(frame.select(F.lit("a").alias("host"), "html"))
+    got = {r.host: html.pickle.loads(r.template) for r in html.templates(both).collect()}
+    stood = {}
+    for r in both.collect():
+        root = html.parse(r.html)
+        stood.setdefault(r.host, {}).update({html._page(root)[0]: 1})
+        number = {id(x): i for i, x in enumerate(html.preorder(got[r.host]))}
+        out = []
+        html.standing(got[r.host], html.Mark(html.marks(html.Slot(html.Folded([root])))), number, out)
+        for i, content, n in out:
+            at = stood.setdefault((r.host, i), {})
+            was = at.get(html._page(root)[0], (content, n))
+            at[html._page(root)[0]] = min(content, was[0]), max(n, was[1])
+    for host, template in got.items():
+        assert template.counts[0] == len(stood[host])
+        for i, x in enumerate(html.preorder(template)):
+            seen = stood.get((host, i), {}).values()
+            assert x.counts == (len(seen), len({c for c, _ in seen}), sum(n for _, n in seen))
+
+
 def test_extraction_takes_odd_pages(spark):
     rows = [(1, "http://a/x", None), (2, None, "<p>hi"), (3, "nonsense", ""), (None, "http://a/y", "<p>a<p>b"), (1, "http://a/x", None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "template": F.lit(2), "text": F.lit(3)})

@@ -521,16 +521,21 @@ HOSTS = 2000
 
 
 class Known(dict):
-    """Templates by place, read from their bytes once; HOSTS at most."""
+    """What is read from templates' bytes, by place; HOSTS at most."""
 
-    def of(self, place: int, raw: bytes) -> Slot:
+    def of(self, place: int, raw: bytes, reads=pickle.loads):
         if place not in self:
             if len(self) >= HOSTS:
                 self.clear()
-            self[place] = pickle.loads(raw)
+            self[place] = reads(raw)
         return self[place]
 
 
+def _numbered(raw: bytes) -> tuple[Slot, dict[int, int]]:
+    slot = pickle.loads(raw)
+    return slot, {id(x): i for i, x in enumerate(preorder(slot))}
+
+
 def folded(pages: DataFrame) -> DataFrame:
     """host, template, page, mark, of pages: host, html. A row a page has the hash of its main text and its marks; rows with
     a template have those of a task's hosts."""
@@ -577,15 +582,13 @@ def counted(parts: DataFrame, made: DataFrame) -> DataFrame:
     over the marks of all pages of its host."""
 
     def stand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, numbers = Known(), {}
+        known = Known()
         for frame in frames:
             places, nodes, pages, contents, chars = [], [], [], [], []
             for place, raw, page, mark in zip(frame["place"], frame["template"], frame["page"], frame["mark"], strict=True):
-                slot = known.of(place, raw)
-                if numbers.get(place, (None,))[0] is not slot:
-                    numbers[place] = slot, {id(x): i for i, x in enumerate(preorder(slot))}
                 out: list = []
-                standing(slot, Mark(pickle.loads(mark)), numbers[place][1], out)
+                slot, number = known.of(place, raw, _numbered)
+                standing(slot, Mark(pickle.loads(mark)), number, out)
                 places += [place] * len(out)
                 pages += [page] * len(out)
                 for i, content, n in out:
